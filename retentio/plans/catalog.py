@@ -1,11 +1,20 @@
-"""Registry of named queries (one per inventory id) and their SQL oracles."""
+"""Registry of named queries (one per inventory id) and their SQL oracles.
+
+Every query starts from the driver tables through the customer mart, so its
+work grows with the data. Doubles leaving a query are rounded with
+``round_half_away(x, 6)`` -- the same IEEE arithmetic the oracle uses -- so
+the value hash does not depend on summation order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from retentio.functions.columns import round_half_away
 from retentio.plans import oracle_sql as O
 from retentio.plans.mart import customer_mart
 
@@ -22,10 +31,41 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-@register("mart_customer_features", O.with_ctes(O.MART, body="SELECT * FROM mart"))
-def q_mart(spark, sf):
+def stable(df: DataFrame, digits: int = O.DIGITS) -> DataFrame:
+    """Round every double column (presentation only)."""
+    return df.select(*[round_half_away(F.col(f"`{f.name}`"), digits).alias(f.name)
+                       if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])
+
+
+# ---------------------------------------------------------------------------
+# shared stages
+# ---------------------------------------------------------------------------
+def mart(spark, sf):
     return customer_mart(spark, sf)
 
 
+def cleaned(spark, sf, strategy="median"):
+    from retentio.plans.batch import clean_customers, materialise
+    return clean_customers(materialise(mart(spark, sf)), strategy=strategy)
+
+
+def features(spark, sf):
+    from retentio.operators.features import business_features
+    cl, st = cleaned(spark, sf)
+    return business_features(cl, st)
+
+
+def scored(spark, sf):
+    from retentio.plans.batch import score_customers
+    cl, st = cleaned(spark, sf)
+    return score_customers(cl, st)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return customer_mart(spark, sf_dir)
+    """mart -> clean -> features -> score -> risk distribution (A1-A4)."""
+    from retentio.operators.analyze import risk_summary
+    return stable(risk_summary(scored(spark, sf_dir)))
+
+
+from retentio.plans import queries_core  # noqa: E402,F401  (registers queries)

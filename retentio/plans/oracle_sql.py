@@ -3,12 +3,35 @@
 Each oracle is written independently in plain SQL over the driver's views
 (``customer``, ``orders``, ``lineitem``, ``events``); the shared stages
 (mart, statistics, cleaning, features, score) are CTEs prepended to each
-query. Doubles that come out of aggregations are rounded on both sides with
-``floor(x * 10^d + 0.5) / 10^d`` so the value hash is stable.
+query. Doubles are rounded on both sides with ``floor(x * 1e6 + 0.5) / 1e6``
+so the value hash does not depend on summation order.
 """
 
 from __future__ import annotations
 
+from retentio.functions import fixed as FX
+
+NUM_COLS = ["Tenure", "WarehouseToHome", "CityTier", "HourSpendOnApp", "SatisfactionScore", "Complain",
+            "OrderAmountHikeFromlastYear", "CouponUsed", "OrderCount", "DaySinceLastOrder", "CashbackAmount",
+            "NumberOfDeviceRegistered", "NumberOfAddress"]
+STR_COLS = ["PreferredLoginDevice", "PreferredPaymentMode", "PreferedOrderCat", "Gender", "MaritalStatus"]
+MART_COLS = ["CustomerID"] + NUM_COLS + STR_COLS + ["Churn"]
+DIGITS = 6
+
+
+def rnd(expr: str, digits: int = DIGITS) -> str:
+    s = f"1e{digits}"
+    return f"(floor(({expr}) * {s} + 0.5) / {s})"
+
+
+def dbl(v: float) -> str:
+    return f"CAST({float(v)!r} AS DOUBLE)"
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 MART = """
 ord AS (
   SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, CAST(o_orderdate AS DATE) AS od
@@ -84,5 +107,132 @@ mart AS (
 )"""
 
 
+def _mode_sql(col: str, src: str = "mart") -> str:
+    return (f"(SELECT v FROM (SELECT {col} AS v, count(*) AS n FROM {src} WHERE {col} IS NOT NULL GROUP BY 1) "
+            f"ORDER BY n DESC, v ASC LIMIT 1)")
+
+
+def stats_cte(src: str = "mart") -> str:
+    parts = []
+    for c in NUM_COLS:
+        d = dbl(FX.NUMERIC_DEFAULTS.get(c, 0.0))
+        parts.append(f"count({c}) AS n_{c}")
+        parts.append(f"coalesce(avg(CAST({c} AS DOUBLE)), {d}) AS mean_{c}")
+        parts.append(f"coalesce(median(CAST({c} AS DOUBLE)), {d}) AS med_{c}")
+    for c in STR_COLS:
+        d = q(FX.CATEGORICAL_DEFAULTS.get(c, "Missing"))
+        parts.append(f"count({c}) AS n_{c}")
+        parts.append(f"coalesce({_mode_sql(c, src)}, {d}) AS mode_{c}")
+    return "stats AS (SELECT " + ",\n  ".join(parts) + f" FROM {src})"
+
+
+def cleaned_cte(strategy: str = "median", name: str = "cleaned") -> str:
+    stat = "med" if strategy == "median" else "mean"
+    sel = ["m.CustomerID"]
+    for c in NUM_COLS:
+        raw = f"CAST(m.{c} AS DOUBLE)"
+        if c == "CashbackAmount":
+            e = f"coalesce({raw}, CAST(m.OrderCount AS DOUBLE) * {dbl(FX.AVG_ORDER_VALUE)} * {dbl(FX.CASHBACK_SHARE)}, s.{stat}_{c})"
+        elif c == "OrderCount":
+            e = (f"coalesce({raw}, CASE WHEN m.Tenure IS NOT NULL THEN greatest({dbl(1.0)}, CAST(m.Tenure AS DOUBLE) / {dbl(3.0)}) END, "
+                 f"s.{stat}_{c})")
+        elif c == "SatisfactionScore":
+            e = (f"coalesce({raw}, CAST(CASE WHEN m.Complain = 1 THEN 2 WHEN m.DaySinceLastOrder > 30 THEN 3 ELSE 4 END AS DOUBLE), "
+                 f"s.{stat}_{c})")
+        else:
+            e = f"coalesce({raw}, s.{stat}_{c})"
+        sel.append(f"{e} AS {c}")
+    for c in STR_COLS:
+        sel.append(f"coalesce(m.{c}, s.mode_{c}) AS {c}")
+    sel.append("m.Churn")
+    return f"{name} AS (SELECT " + ",\n  ".join(sel) + " FROM mart m CROSS JOIN stats s)"
+
+
+FEAT = """
+clipped AS (
+  SELECT * REPLACE (greatest(OrderCount, CAST(1.0 AS DOUBLE)) AS OrderCount,
+                    greatest(Tenure, CAST(0.0 AS DOUBLE)) AS Tenure,
+                    greatest(DaySinceLastOrder, CAST(0.0 AS DOUBLE)) AS DaySinceLastOrder)
+  FROM cleaned
+),
+feat AS (
+  SELECT *,
+    CashbackAmount * OrderCount / (Tenure + CAST(1.0 AS DOUBLE)) AS ValueScore,
+    CASE WHEN DaySinceLastOrder > 0 THEN HourSpendOnApp / DaySinceLastOrder ELSE HourSpendOnApp END AS EngagementIntensity,
+    CashbackAmount / OrderCount AS CashbackPerOrder,
+    CASE WHEN OrderCount > 0 THEN Tenure / OrderCount ELSE CAST(0.0 AS DOUBLE) END AS OrderFrequency,
+    CAST(DaySinceLastOrder > 30 AS INTEGER) AS HighRecencyFlag,
+    CAST(SatisfactionScore <= 2 AS INTEGER) AS LowSatisfactionFlag,
+    CAST(Complain = 1 AS INTEGER) AS ComplaintFlag,
+    CASE WHEN Tenure > 12 THEN 'Established' WHEN OrderCount > 10 THEN 'Active_New' ELSE 'New_LowEngagement' END AS CustomerSegment
+  FROM clipped
+)"""
+
+
+def _logit_sql() -> str:
+    z = dbl(FX.SCORECARD_INTERCEPT)
+    for col, w in FX.SCORECARD_WEIGHTS:
+        z = f"({z} + {dbl(w)} * CAST({col} AS DOUBLE))"
+    return z
+
+
+def band_batch_sql(p: str, labels=FX.BAND_BATCH) -> str:
+    low, mid, high = labels
+    return (f"CASE WHEN {p} <= {dbl(FX.BAND_LOW_CUT)} THEN {q(low)} WHEN {p} <= {dbl(FX.BAND_HIGH_CUT)} "
+            f"THEN {q(mid)} ELSE {q(high)} END")
+
+
+def band_record_sql(p: str) -> str:
+    low, mid, high = FX.BAND_RECORD
+    return (f"CASE WHEN {p} < {dbl(FX.BAND_LOW_CUT)} THEN {q(low)} WHEN {p} < {dbl(FX.BAND_HIGH_CUT)} "
+            f"THEN {q(mid)} ELSE {q(high)} END")
+
+
+def batch_reco_sql(level: str) -> str:
+    r = FX.BATCH_RECOMMENDATIONS
+    return (f"CASE WHEN {level} = 'High Risk' THEN {q(r['High Risk'])} WHEN {level} = 'Moderate Risk' "
+            f"THEN {q(r['Moderate Risk'])} ELSE {q(r['Low Risk'])} END")
+
+
+SCORED = f"""
+prob AS (
+  SELECT CustomerID, CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({_logit_sql()}))) AS p FROM feat
+),
+scored AS (
+  SELECT c.*, pr.p AS Churn_Probability, CAST(pr.p > {dbl(FX.CLASS_CUT)} AS INTEGER) AS Predicted_Churn_Numeric,
+    {band_batch_sql('pr.p')} AS Risk_Level,
+    {batch_reco_sql(band_batch_sql('pr.p'))} AS Retention_Recommendation,
+    CAST(round_even(pr.p * 100, 2) AS VARCHAR) || '%' AS Churn_Probability_Percent,
+    CASE WHEN pr.p > {dbl(FX.CLASS_CUT)} THEN 'Yes' ELSE 'No' END AS Predicted_Churn
+  FROM cleaned c JOIN prob pr ON pr.CustomerID = c.CustomerID
+)"""
+
+
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + body
+
+
+def chain(upto: str, body: str, strategy: str = "median") -> str:
+    """Prepend the shared stages up to ``upto`` (mart|stats|cleaned|feat|scored)."""
+    order = ["mart", "stats", "cleaned", "feat", "scored"]
+    parts = [MART]
+    if order.index(upto) >= 1:
+        parts.append(stats_cte())
+    if order.index(upto) >= 2:
+        parts.append(cleaned_cte(strategy))
+    if order.index(upto) >= 3:
+        parts.append(FEAT)
+    if order.index(upto) >= 4:
+        parts.append(SCORED)
+    return with_ctes(*parts, body=body)
+
+
+SCORED_DOUBLES = NUM_COLS + ["Churn_Probability"]
+
+
+def round_all(select_from: str, doubles: list[str]) -> str:
+    """``SELECT * REPLACE`` rounding the listed double columns."""
+    if not doubles:
+        return f"SELECT * FROM ({select_from})"
+    rep = ", ".join(f"{rnd(c)} AS {c}" for c in doubles)
+    return f"SELECT * REPLACE ({rep}) FROM ({select_from})"
