@@ -234,5 +234,5 @@ def round_all(select_from: str, doubles: list[str]) -> str:
     """``SELECT * REPLACE`` rounding the listed double columns."""
     if not doubles:
         return f"SELECT * FROM ({select_from})"
-    rep = ", ".join(f"{rnd(c)} AS {c}" for c in doubles)
+    rep = ", ".join(f'{rnd(chr(34) + c + chr(34))} AS "{c}"' for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM ({select_from})"
