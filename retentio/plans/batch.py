@@ -69,5 +69,8 @@ def materialise(df: DataFrame, mode: str = "persist") -> DataFrame:
     if mode == "checkpoint":
         from retentio.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        cached = df.persist()  # the checkpoint job then reads the cache, not the joins again
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+        return out
     return df.persist()
