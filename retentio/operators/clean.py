@@ -157,6 +157,22 @@ def record_clean(df: DataFrame, stats: Stats, strategy: str = "median",
     return _replace(df, out)
 
 
+# N15 ------------------------------------------------------------------------
+TRAINING_MEDIAN_COLUMNS = ["Tenure", "WarehouseToHome", "HourSpendOnApp", "OrderAmountHikeFromlastYear",
+                           "CouponUsed", "OrderCount", "DaySinceLastOrder"]
+
+
+def fill_median_columns(df: DataFrame, columns: list[str] = TRAINING_MEDIAN_COLUMNS) -> DataFrame:
+    """Median fill of a named column list (training preparation);
+    exact medians by distributed selection, one fused projection."""
+    from retentio.operators.stats import exact_medians
+    cols = [c for c in columns if c in df.columns]
+    counts = df.agg(*[F.count(_c(c)).alias(c) for c in cols]).collect()[0]  # one row
+    med = exact_medians(df, cols, {c: counts[c] for c in cols})
+    return _replace(df, {c: F.coalesce(_c(c), F.lit(med[c]).cast(df.schema[c].dataType))
+                         for c in cols if med[c] is not None})
+
+
 # N16 / N17 ------------------------------------------------------------------
 def merge_synonyms(df: DataFrame, synonyms: dict = SYNONYMS) -> DataFrame:
     """Merge category synonyms (Phone -> Mobile Phone, CC -> Credit Card, ...)."""

@@ -93,3 +93,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 from retentio.plans import queries_core  # noqa: E402,F401  (registers queries)
 from retentio.plans import queries_analysis  # noqa: E402,F401
 from retentio.plans import queries_io  # noqa: E402,F401
+from retentio.plans import queries_extra  # noqa: E402,F401
