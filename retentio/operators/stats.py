@@ -73,17 +73,23 @@ class Stats:
         return s
 
     @staticmethod
-    def from_table(stats_df: DataFrame) -> "Stats":
+    def from_rows(rows) -> "Stats":
+        """From (column, kind, n_valid, mean, median, mode) rows."""
         s = Stats()
-        for r in stats_df.collect():  # one row per column: bounded by schema width
-            s.n_valid[r["column"]] = r["n_valid"]
-            if r["kind"] == "numeric":
-                s.mean[r["column"]] = r["mean"]
-                s.median[r["column"]] = r["median"]
+        for column, kind, n_valid, mean, median, mode in rows:
+            s.n_valid[column] = n_valid
+            if kind == "numeric":
+                s.mean[column] = mean
+                s.median[column] = median
             else:
-                s.mode[r["column"]] = r["mode"]
+                s.mode[column] = mode
         return s
 
+    @staticmethod
+    def from_table(stats_df: DataFrame) -> "Stats":
+        """From a stored (versioned) statistics table; one row per column."""
+        return Stats.from_rows([tuple(r) for r in stats_df.collect()])
+
     def to_table(self, spark: SparkSession) -> DataFrame:
         rows = []
         for c in self.median:
@@ -227,7 +233,13 @@ def exact_medians(df: DataFrame, cols: list[str], counts: dict[str, int], **kw)
 def column_stats(df: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None,
                  exclude: tuple[str, ...] = DEFAULT_EXCLUDE, exact_limit: int = 2_000_000) -> DataFrame:
     """The statistics table ``(column, kind, n_valid, mean, median, mode)``."""
-    spark = df.sparkSession
+    rows = stats_rows(df, numeric, categorical, exclude, exact_limit)
+    return df.sparkSession.createDataFrame(rows, STATS_SCHEMA)
+
+
+def stats_rows(df: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None,
+               exclude: tuple[str, ...] = DEFAULT_EXCLUDE, exact_limit: int = 2_000_000) -> list[tuple]:
+    """The statistics as plain rows, one per column (already on the driver)."""
     numeric = numeric if numeric is not None else numeric_columns(df, exclude)
     categorical = categorical if categorical is not None else string_columns(df, exclude)
 
@@ -265,8 +277,8 @@ def column_stats(df: DataFrame, numeric: list[str] | None = None, categorical: l
         n = wide[f"n::{c}"]
         rows.append((c, "categorical", n, None, None,
                      modes.get(c) if n > 0 else CATEGORICAL_DEFAULTS.get(c, "Missing")))
-    return spark.createDataFrame(rows, STATS_SCHEMA)
+    return rows
 
 
 def compute_stats(df: DataFrame, **kw) -> Stats:
-    return Stats.from_table(column_stats(df, **kw))
+    return Stats.from_rows(stats_rows(df, **kw))

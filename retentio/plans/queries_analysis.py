@@ -325,7 +325,7 @@ def q_f5(spark, sf):
 for _lv in ("high", "medium", "low"):
     def _mkf(lv):
         def q(spark, sf):
-            return stable(scored(spark, sf).where(W.risk_filter(lv)))
+            return stable(W.risk_customers(scored(spark, sf), lv))
         return q
     _cond = {"high": "Churn_Probability > 0.7",
              "medium": "Churn_Probability > 0.3 AND Churn_Probability <= 0.7",

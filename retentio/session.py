@@ -13,6 +13,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # AQE sizes shuffle partitions from the data: ~128 MB each after
+    # coalescing, so a high ``spark.sql.shuffle.partitions`` on a cluster
+    # costs nothing at small scale and keeps partitions in memory at large.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -34,6 +38,13 @@ def builder(master: str | None = None, app: str = "retentio", shuffle_partitions
     return b
 
 
+def cluster_partitions(input_bytes: int, target_bytes: int = 128 * 1024 * 1024, cores: int = 8000) -> int:
+    """A starting ``spark.sql.shuffle.partitions`` for ``input_bytes`` of input:
+    enough for ~``target_bytes`` per partition, at least two waves of cores
+    (AQE then coalesces small ones)."""
+    return max(2 * cores, -(-input_bytes // target_bytes))
+
+
 def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and the local bench (``local[cores]``)."""
     spark = builder(
