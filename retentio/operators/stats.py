@@ -5,15 +5,15 @@ Scale notes
 * count / mean: one wide aggregate with partial (map-side) aggregation.
 * mode (strings): count per (column, value), then per column the minimum of
   ``(-count, value)`` -- two combinable aggregates, lowest value wins a tie.
-* median: exact, without pulling a column into one task. Spark's ``median``
-  keeps every distinct value of a global group in one buffer, which does not
-  hold at 100 TB. Instead a selection narrows the rank window: approximate
-  quantile cut points split the candidates into buckets, per-bucket counts
-  (a small, bounded result) locate the bucket that holds the middle rank(s),
-  and only that slice is kept for the next round. Once every column's slice
-  is below ``exact_limit`` rows, ``row_number`` over the slice (partitioned by
-  column, so bounded) picks the exact order statistics. A bucket whose
-  minimum equals its maximum (a hot value) resolves at once.
+* median / quantiles: exact, without pulling a column into one task. Spark's
+  ``median`` keeps every distinct value of a global group in one buffer,
+  which does not hold at 100 TB. Instead a selection narrows a rank window:
+  a mergeable ``percentile_approx`` sketch brackets the target rank, exact
+  conditional counts place the brackets, and only the rows between them are
+  kept for the next round (~1000x fewer each round). Once every column's
+  window is below ``exact_limit`` rows, ``row_number`` over the window
+  (partitioned by column, so bounded) picks the exact order statistics. A
+  window holding a single (hot) value resolves at once.
 
 The result is a small DataFrame ``(column, kind, n_valid, mean, median,
 mode)``; ``Stats`` holds it as plain values (one per column) for literal
@@ -106,12 +106,21 @@ def _long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
             .where(F.col("value").isNotNull()))
 
 
-def _refine(long: DataFrame, state: dict, exact_limit: int, buckets: int, max_rounds: int) -> None:
-    """Narrow each column's rank window until it holds <= exact_limit rows.
-
-    ``state[column]`` = {lo, hi, below, size, ranks, found}; one key per
-    column. Each round is two small jobs: approximate cut points per column
-    (``percentile_approx``), then (column, bucket) counts with min/max.
+def _refine(long: DataFrame, state: dict, exact_limit: int, max_rounds: int, accuracy: int = 10_000) -> None:
+    """Narrow each column's rank window until it holds <= ``exact_limit`` rows.
+
+    ``state[column]`` = {lo, hi, below, size, ranks, found}: the window is the
+    closed value range [lo, hi] (None = unbounded), ``below`` the exact number
+    of values under it. One round = two combinable aggregates over the
+    current windows only:
+      1. ``percentile_approx`` (a mergeable sketch, rank error <= size/accuracy)
+         gives two values bracketing the target ranks with a margin of three
+         sketch errors;
+      2. exact conditional counts of values below / at-or-below them.
+    If the targets fall between the brackets the window shrinks to them
+    (~accuracy/6 times smaller); otherwise the margin is widened. A window
+    whose two brackets are equal is a single (hot) value: resolved at once.
+    Per-row work is a map lookup and two comparisons, all codegen'd.
     """
     for _ in range(max_rounds):
         open_cols = [c for c, st in state.items()
@@ -119,51 +128,53 @@ def _refine(long: DataFrame, state: dict, exact_limit: int, buckets: int, max_ro
         if not open_cols:
             return
         cand = long.where(_any_window({c: state[c] for c in open_cols}))
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = {r["column"]: sorted(set(v for v in r["cuts"] if v is not None))
-                for r in cand.groupBy("column")
-                .agg(F.percentile_approx("value", probs, 10000).alias("cuts")).collect()}  # <= buckets per column
-        cut_map = F.create_map(*[x for c in open_cols for x in (
-            F.lit(c), F.array(*[F.lit(float(v)) for v in cuts.get(c, [])]).cast("array<double>"))])
-        bucket = F.size(F.filter(F.element_at(cut_map, F.col("column")), lambda x: x < F.col("value")))
-        per_bucket = (cand.withColumn("bucket", bucket)
-                      .groupBy("column", "bucket")
-                      .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("vmin"), F.max("value").alias("vmax"))
-                      .collect())  # <= buckets rows per column
-        by_col: dict[str, list] = {}
-        for r in per_bucket:
-            by_col.setdefault(r["column"], []).append(r)
+        # 1. brackets from the sketch, as positions relative to the window
+        probs = {}
+        for c in open_cols:
+            st = state[c]
+            m = st["size"]
+            margin = st.setdefault("margin", 3.0) / accuracy
+            lo_p = max(0.0, (min(st["ranks"]) - st["below"]) / max(m - 1, 1) - margin)
+            hi_p = min(1.0, (max(st["ranks"]) - st["below"]) / max(m - 1, 1) + margin)
+            probs[c] = (lo_p, hi_p)
+        pcts = [p for c in open_cols for p in probs[c]]
+        sk = {}
+        for r in cand.groupBy("column").agg(
+                F.percentile_approx("value", pcts, accuracy).alias("qs")).collect():  # one row per column
+            i = open_cols.index(r["column"])
+            sk[r["column"]] = (r["qs"][2 * i], r["qs"][2 * i + 1])
+        # 2. exact counts below each bracket
+        lo_v = F.create_map(*[x for c in open_cols if c in sk for x in (F.lit(c), F.lit(float(sk[c][0])))])
+        hi_v = F.create_map(*[x for c in open_cols if c in sk for x in (F.lit(c), F.lit(float(sk[c][1])))])
+        v, col = F.col("value"), F.col("column")
+        counted = {r["column"]: r for r in cand.groupBy("column").agg(
+            F.count_if(v < F.element_at(lo_v, col)).alias("n_lt"),
+            F.count_if(v <= F.element_at(hi_v, col)).alias("n_le")).collect()}  # one row per column
         for c in open_cols:
             st = state[c]
-            cum, spans = st["below"], []
-            for r in sorted(by_col.get(c, []), key=lambda r: r["bucket"]):
-                spans.append((cum, cum + r["n"], r))
-                cum += r["n"]
-            pending = []
-            for k in set(st["ranks"]):
-                for start, end, r in spans:
-                    if start <= k < end:
-                        if r["vmin"] == r["vmax"]:  # a single (hot) value: resolved
-                            st["found"][k] = r["vmin"]
-                        else:
-                            pending.append((start, end, r))
-                        break
-            if not pending:
+            if c not in sk or c not in counted:
                 st["size"] = 0
                 continue
-            first = min(pending, key=lambda t: t[0])
-            last = max(pending, key=lambda t: t[1])
-            col_cuts = cuts.get(c, [])
-            b_lo, b_hi = first[2]["bucket"], last[2]["bucket"]
-            st["lo"] = col_cuts[b_lo - 1] if b_lo >= 1 else st["lo"]
-            st["hi"] = col_cuts[b_hi] if b_hi < len(col_cuts) else st["hi"]
-            st["below"], st["size"] = first[0], last[1] - first[0]
+            lo, hi = float(sk[c][0]), float(sk[c][1])
+            n_lt, n_le = counted[c]["n_lt"], counted[c]["n_le"]
+            k_lo, k_hi = min(st["ranks"]), max(st["ranks"])
+            start, end = st["below"] + n_lt, st["below"] + n_le  # ranks [start, end) lie in [lo, hi]
+            if start <= k_lo and k_hi < end:
+                if lo == hi:  # one value holds every target rank
+                    for k in set(st["ranks"]):
+                        st["found"][k] = lo
+                    st["size"] = 0
+                    continue
+                st["lo"], st["hi"], st["below"], st["size"] = lo, hi, start, end - start
+            else:
+                st["margin"] = st["margin"] * 4  # the sketch missed: widen, keep the window
 
 
 def _window(c: str, st: dict):
+    """Rows of column ``c`` inside its current closed window [lo, hi]."""
     cond = F.col("column") == c
     if st["lo"] is not None:
-        cond = cond & (F.col("value") > st["lo"])
+        cond = cond & (F.col("value") >= st["lo"])
     if st["hi"] is not None:
         cond = cond & (F.col("value") <= st["hi"])
     return cond
@@ -177,7 +188,7 @@ def _any_window(state: dict):
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], counts: dict[str, int], qs: list[float],
-                    exact_limit: int = 2_000_000, buckets: int = 1000, max_rounds: int = 8
+                    exact_limit: int = 2_000_000, max_rounds: int = 12, accuracy: int = 10_000
                     ) -> dict[str, dict[float, float]]:
     """Exact linear-interpolated quantiles per column (see module notes).
 
@@ -200,7 +211,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], counts: dict[str, int], qs:
             keys[(c, qi)] = {"lo": None, "hi": None, "below": 0, "size": n, "found": {},
                              "ranks": (lo, int(math.ceil(pos))), "frac": pos - lo}
     for qi in range(len(qs)):  # one key per column within a quantile
-        _refine(long, {c: st for (c, i), st in keys.items() if i == qi}, exact_limit, buckets, max_rounds)
+        _refine(long, {c: st for (c, i), st in keys.items() if i == qi}, exact_limit, max_rounds, accuracy)
 
     pending = {k: st for k, st in keys.items() if len(st["found"]) < len(set(st["ranks"]))}
     if pending:

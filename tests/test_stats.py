@@ -11,8 +11,10 @@ def _np_quantile(vals, q):
     return float(np.quantile(np.array(vals, dtype=float), q, method="linear"))
 
 
-@pytest.mark.parametrize("limit", [10_000_000, 50])  # 50 forces the distributed refinement rounds
-def test_exact_quantiles_match_numpy(spark, limit):
+@pytest.mark.parametrize("limit,accuracy", [(10_000_000, 10_000), (50, 10_000), (50, 100), (200, 20)])
+def test_exact_quantiles_match_numpy(spark, limit, accuracy):
+    """Small limits force the sketch-and-count rounds; small accuracies force
+    inexact sketches (several rounds, widened margins)."""
     rnd = random.Random(7)
     rows = []
     for i in range(3000):
@@ -23,7 +25,7 @@ def test_exact_quantiles_match_numpy(spark, limit):
     cols = ["a", "b", "c"]
     counts = {c: sum(1 for r in rows if r[i] is not None) for i, c in enumerate(cols)}
     qs = [0.25, 0.5, 0.75]
-    got = exact_quantiles(df, cols, counts, qs, exact_limit=limit, buckets=16)
+    got = exact_quantiles(df, cols, counts, qs, exact_limit=limit, accuracy=accuracy)
     for i, c in enumerate(cols):
         vals = [r[i] for r in rows if r[i] is not None]
         for q in qs:
