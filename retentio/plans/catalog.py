@@ -39,6 +39,13 @@ def stable(df: DataFrame, digits: int = O.DIGITS) -> DataFrame:
                        for f in df.schema.fields])
 
 
+def widen(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Integer columns that hold NULLs leave the query as double, so a
+    pandas-based comparison sees the same dtype on both sides."""
+    return df.select(*[F.col(f"`{c}`").cast("double").alias(c) if c in cols else F.col(f"`{c}`")
+                       for c in df.columns])
+
+
 # ---------------------------------------------------------------------------
 # shared stages, built once per session and data folder
 # ---------------------------------------------------------------------------

@@ -151,7 +151,8 @@ def customer_mart(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> D
         F.datediff(asof, F.col("last_od")).cast("double").alias("DaySinceLastOrder"),
         F.when(F.col("c_acctbal") >= 0, F.col("cashback").cast("double")).alias("CashbackAmount"),
         F.when(has_hist, n_priorities).cast("int").alias("NumberOfDeviceRegistered"),
-        F.least(F.col("n_suppliers"), F.lit(10)).cast("int").alias("NumberOfAddress"),
+        F.when(F.col("n_suppliers").isNotNull(), F.least(F.col("n_suppliers"), F.lit(10))).cast("int")
+        .alias("NumberOfAddress"),
         F.when(k % 17 != 0, _pick(k % 3, LOGIN_BY_MOD3)).alias("PreferredLoginDevice"),
         _map_expr(F.when(has_hist, top_priority), PRIORITY_TO_PAYMENT).alias("PreferredPaymentMode"),
         _map_expr(F.col("c_mktsegment"), SEGMENT_TO_CATEGORY).alias("PreferedOrderCat"),

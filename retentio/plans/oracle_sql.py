@@ -87,7 +87,7 @@ mart AS (
     CAST(date_diff('day', f.last_od, DATE '1996-07-01') AS DOUBLE) AS DaySinceLastOrder,
     CASE WHEN c.c_acctbal >= 0 THEN CAST(lf.cashback AS DOUBLE) END AS CashbackAmount,
     CAST(pm.n_priorities AS INTEGER) AS NumberOfDeviceRegistered,
-    CAST(least(lf.n_suppliers, 10) AS INTEGER) AS NumberOfAddress,
+    CAST(CASE WHEN lf.n_suppliers IS NOT NULL THEN least(lf.n_suppliers, 10) END AS INTEGER) AS NumberOfAddress,
     CASE WHEN c.c_custkey % 17 <> 0 THEN
       CASE c.c_custkey % 3 WHEN 0 THEN 'Phone' WHEN 1 THEN 'Mobile Phone' WHEN 2 THEN 'Computer' END
     END AS PreferredLoginDevice,
@@ -230,6 +230,15 @@ def chain(upto: str, body: str, strategy: str = "median") -> str:
 SCORED_DOUBLES = NUM_COLS + ["Churn_Probability"]
 
 
+NULLABLE_INTS = ["SatisfactionScore", "Complain", "NumberOfDeviceRegistered", "NumberOfAddress"]
+
+
+def widen(select_from: str, cols: list[str]) -> str:
+    """Integer columns that hold NULLs leave the query as DOUBLE (both sides)."""
+    rep = ", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in cols)
+    return f"SELECT * REPLACE ({rep}) FROM ({select_from})"
+
+
 def round_all(select_from: str, doubles: list[str]) -> str:
     """``SELECT * REPLACE`` rounding the listed double columns."""
     if not doubles:

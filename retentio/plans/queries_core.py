@@ -12,7 +12,7 @@ from retentio.operators import risk as R
 from retentio.operators import validate as V
 from retentio.operators.stats import column_stats
 from retentio.plans import oracle_sql as O
-from retentio.plans.catalog import cleaned, features, mart, register, scored, stable
+from retentio.plans.catalog import cleaned, features, mart, register, scored, stable, widen
 
 NUM, STR = O.NUM_COLS, O.STR_COLS
 ALL = O.MART_COLS
@@ -21,12 +21,12 @@ ALL = O.MART_COLS
 # ---------------------------------------------------------------------------
 # mart
 # ---------------------------------------------------------------------------
-@register("mart_customer_features", O.round_all(O.chain("mart", "SELECT * FROM mart"),
-                                                ["Tenure", "WarehouseToHome", "HourSpendOnApp",
-                                                 "OrderAmountHikeFromlastYear", "CouponUsed", "OrderCount",
-                                                 "DaySinceLastOrder", "CashbackAmount"]))
+@register("mart_customer_features", O.widen(O.round_all(O.chain("mart", "SELECT * FROM mart"),
+                                                        ["Tenure", "WarehouseToHome", "HourSpendOnApp",
+                                                         "OrderAmountHikeFromlastYear", "CouponUsed", "OrderCount",
+                                                         "DaySinceLastOrder", "CashbackAmount"]), O.NULLABLE_INTS))
 def q_mart(spark, sf):
-    return stable(mart(spark, sf))
+    return widen(stable(mart(spark, sf)), O.NULLABLE_INTS)
 
 
 # ---------------------------------------------------------------------------
@@ -118,11 +118,12 @@ def q_p11(spark, sf):
     return stable(PR.class_ratio(mart(spark, sf), "Churn"))
 
 
-@register("p12_preview", O.round_all(O.chain("mart", "SELECT * FROM mart ORDER BY CustomerID LIMIT 10"),
-                                     ["Tenure", "WarehouseToHome", "HourSpendOnApp", "OrderAmountHikeFromlastYear",
-                                      "CouponUsed", "OrderCount", "DaySinceLastOrder", "CashbackAmount"]))
+@register("p12_preview", O.widen(O.round_all(O.chain("mart", "SELECT * FROM mart ORDER BY CustomerID LIMIT 10"),
+                                             ["Tenure", "WarehouseToHome", "HourSpendOnApp",
+                                              "OrderAmountHikeFromlastYear", "CouponUsed", "OrderCount",
+                                              "DaySinceLastOrder", "CashbackAmount"]), O.NULLABLE_INTS))
 def q_p12(spark, sf):
-    return stable(PR.preview(mart(spark, sf), 10, "CustomerID"))
+    return widen(stable(PR.preview(mart(spark, sf), 10, "CustomerID")), O.NULLABLE_INTS)
 
 
 # ---------------------------------------------------------------------------
@@ -244,12 +245,14 @@ def q_n16(spark, sf):
                                                     "PreferedOrderCat")
 
 
-@register("n17_binary_codes", O.chain("mart", """SELECT CustomerID,
+@register("n17_binary_codes", O.widen(O.chain("mart", """SELECT CustomerID,
   CAST(CASE WHEN d = 'Mobile Phone' THEN 0 WHEN d = 'Computer' THEN 1 END AS INTEGER) AS PreferredLoginDevice,
   CAST(CASE WHEN Gender = 'Male' THEN 0 WHEN Gender = 'Female' THEN 1 END AS INTEGER) AS Gender
-FROM (SELECT *, CASE WHEN PreferredLoginDevice = 'Phone' THEN 'Mobile Phone' ELSE PreferredLoginDevice END AS d FROM mart)"""))
+FROM (SELECT *, CASE WHEN PreferredLoginDevice = 'Phone' THEN 'Mobile Phone' ELSE PreferredLoginDevice END AS d FROM mart)"""),
+    ["PreferredLoginDevice"]))
 def q_n17(spark, sf):
-    return N.binary_codes(N.merge_synonyms(mart(spark, sf))).select("CustomerID", "PreferredLoginDevice", "Gender")
+    out = N.binary_codes(N.merge_synonyms(mart(spark, sf))).select("CustomerID", "PreferredLoginDevice", "Gender")
+    return widen(out, ["PreferredLoginDevice"])
 
 
 @register("n18_clip", O.round_all(O.chain("cleaned", f"""SELECT CustomerID,

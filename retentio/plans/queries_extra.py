@@ -13,7 +13,7 @@ from retentio.operators import clean as N
 from retentio.operators import ml as M
 from retentio.operators import rows as W
 from retentio.plans import oracle_sql as O
-from retentio.plans.catalog import mart, register, scored, stable
+from retentio.plans.catalog import mart, register, scored, stable, widen
 
 MED7 = N.TRAINING_MEDIAN_COLUMNS
 
@@ -30,6 +30,7 @@ TRAIN_NUMERIC = ["Tenure", "PreferredLoginDevice", "CityTier", "WarehouseToHome"
                  "OrderAmountHikeFromlastYear", "CouponUsed", "OrderCount", "DaySinceLastOrder", "CashbackAmount"]
 TRAIN_CATEGORICAL = ["PreferredPaymentMode", "PreferedOrderCat", "MaritalStatus"]
 TRAIN_COLUMNS = W.dedupe(TRAIN_NUMERIC + TRAIN_CATEGORICAL + ["Churn"])
+_F1_NULLABLE = ["PreferredLoginDevice"] + O.NULLABLE_INTS
 
 
 def _training_sql():
@@ -50,14 +51,15 @@ def _training_sql():
                        "AS PreferedOrderCat")
         else:
             sel.append(c)
-    return O.round_all(O.chain("mart", "SELECT " + ", ".join(sel) + " FROM mart"), MED7)
+    return O.widen(O.round_all(O.chain("mart", "SELECT " + ", ".join(sel) + " FROM mart"), MED7),
+                   _F1_NULLABLE)
 
 
 @register("f1_training_frame", _training_sql())
 def q_f1(spark, sf):
     """N15 -> N16 -> N17 -> F1 (de-duplicated column list) -> F2 (label kept)."""
     df = N.binary_codes(N.merge_synonyms(N.fill_median_columns(mart(spark, sf))))
-    return stable(df.select(*TRAIN_COLUMNS))
+    return widen(stable(df.select(*TRAIN_COLUMNS)), _F1_NULLABLE)
 
 
 @register("m2_class_weights", O.chain("mart", f"""SELECT Churn, count(*) AS n,
@@ -91,23 +93,26 @@ _MART_DOUBLES = ["Tenure", "WarehouseToHome", "HourSpendOnApp", "OrderAmountHike
                  "OrderCount", "DaySinceLastOrder", "CashbackAmount"]
 
 
-@register("s1_csv_scan", O.round_all(O.chain("mart", "SELECT * EXCLUDE (Churn) FROM mart"), _MART_DOUBLES))
+@register("s1_csv_scan", O.widen(O.round_all(O.chain("mart", "SELECT * EXCLUDE (Churn) FROM mart"), _MART_DOUBLES),
+                                 O.NULLABLE_INTS))
 def q_s1(spark, sf):
     """The mart written as header CSV (NULL as empty), read back by the
     customer CSV source with its NA tokens and typed ``try_cast``."""
     from retentio.sources.customers import read_customers_csv
     path = os.path.join(_roundtrip_dir(spark, "s1"), "customers.csv")
     mart(spark, sf).drop("Churn").write.option("header", True).csv(path)
-    return stable(read_customers_csv(spark, path))
+    return widen(stable(read_customers_csv(spark, path)), O.NULLABLE_INTS)
 
 
-@register("s2_json_records", O.round_all(O.chain("mart", "SELECT * EXCLUDE (Churn) FROM mart"), _MART_DOUBLES))
+@register("s2_json_records", O.widen(O.round_all(O.chain("mart", "SELECT * EXCLUDE (Churn) FROM mart"),
+                                                 _MART_DOUBLES), O.NULLABLE_INTS))
 def q_s2(spark, sf):
     """The mart as JSON lines, read back with the explicit customer schema."""
     from retentio.sources.customers import CUSTOMER_SCHEMA, read_customers_json
     path = os.path.join(_roundtrip_dir(spark, "s2"), "records")
     mart(spark, sf).drop("Churn").write.json(path)
-    return stable(read_customers_json(spark, path, CUSTOMER_SCHEMA).select(*[c for c in O.MART_COLS if c != "Churn"]))
+    out = read_customers_json(spark, path, CUSTOMER_SCHEMA).select(*[c for c in O.MART_COLS if c != "Churn"])
+    return widen(stable(out), O.NULLABLE_INTS)
 
 
 @register("s8_records_json")
