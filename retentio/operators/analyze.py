@@ -3,14 +3,14 @@
 Global summaries are single ``agg`` calls of combinable functions (partial
 aggregation per partition, one small final merge). Distributions are
 ``groupBy`` over bucketed/normalised values -- low-cardinality keys, so the
-shuffle carries one partial row per key per partition -- left-joined to a
-literal domain table (a handful of rows) so zero counts are kept. Shares
-are windows over the *grouped* rows only.
+shuffle carries one partial row per key per partition; the fixed domain
+levels join the same aggregation as weight-0 rows, so zero counts are kept
+without a join. Shares are windows over the *grouped* rows only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentio.functions import fixed as FX
@@ -154,10 +154,6 @@ def _share(count_col: str = "count") -> list[Column]:
             (F.col(count_col) * 100.0 / F.max(count_col).over(w)).alias("height")]
 
 
-def _domain(spark: SparkSession, values: list[str], name: str = "value") -> DataFrame:
-    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"ord int, {name} string")
-
-
 def dashboard_values(df: DataFrame) -> list[tuple[str, Column]]:
     """The normalised value per dashboard dimension (falsy defaults as the UI)."""
     def falsy(c, d):
@@ -191,30 +187,36 @@ DOMAINS = {
 
 
 def distribution(df: DataFrame, dimension: str) -> DataFrame:
-    """Counts of one dashboard dimension; fixed domains keep zeros."""
+    """Counts of one dashboard dimension; fixed domains keep zeros.
+
+    The domain levels enter the SAME aggregation as weight-0 rows (a union
+    with a few literal rows), so zero counts survive without a join.
+    """
     value = dict(dashboard_values(df))[dimension]
-    counts = df.select(value.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+    rows = df.select(value.alias("value"), F.lit(1).alias("w"))
     if dimension in DOMAINS:
-        dom = _domain(df.sparkSession, DOMAINS[dimension])
-        counts = (F.broadcast(dom).join(counts, "value", "full")
-                  .select("value", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
+        dom = df.sparkSession.createDataFrame([(v, 0) for v in DOMAINS[dimension]], "value string, w int")
+        rows = rows.unionByName(dom)
+    counts = rows.groupBy("value").agg(F.sum("w").cast("long").alias("count"))
     return counts.select("value", "count", *_share())
 
 
 def all_distributions(df: DataFrame) -> DataFrame:
-    """Every dashboard dimension in one scan: (dimension, value, count, share)."""
+    """Every dashboard dimension in one scan: (dimension, value, count, share).
+
+    One ``explode`` of (dimension, value) structs, the domain levels as
+    weight-0 rows, ONE ``groupBy``; the share window runs over grouped rows.
+    """
     vals = dashboard_values(df)
     long = df.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("value"))
-                                         for d, v in vals])).alias("d"))
-    counts = long.groupBy(F.col("d.dimension").alias("dimension"), F.col("d.value").alias("value")) \
-        .agg(F.count(F.lit(1)).alias("count"))
-    dom_rows = [(d, v) for d, vs in DOMAINS.items() for v in vs]
-    dom = df.sparkSession.createDataFrame(dom_rows, "dimension string, value string")
-    full = (F.broadcast(dom).join(counts, ["dimension", "value"], "full")
-            .select("dimension", "value", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
+                                         for d, v in vals])).alias("d")) \
+        .select("d.dimension", "d.value", F.lit(1).alias("w"))
+    dom = df.sparkSession.createDataFrame([(d, v, 0) for d, vs in DOMAINS.items() for v in vs],
+                                          "dimension string, value string, w int")
+    counts = long.unionByName(dom).groupBy("dimension", "value").agg(F.sum("w").cast("long").alias("count"))
     w = Window.partitionBy("dimension")  # grouped rows: bounded by the domains
-    return full.select("dimension", "value", "count",
-                       F.round(F.col("count") * 100.0 / F.sum("count").over(w), 1).alias("share"))
+    return counts.select("dimension", "value", "count",
+                         F.round(F.col("count") * 100.0 / F.sum("count").over(w), 1).alias("share"))
 
 
 # A20 ------------------------------------------------------------------------
