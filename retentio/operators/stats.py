@@ -215,19 +215,37 @@ def exact_quantiles(df: DataFrame, cols: list[str], counts: dict[str, int], qs:
 
     pending = {k: st for k, st in keys.items() if len(st["found"]) < len(set(st["ranks"]))}
     if pending:
-        names = {k: f"{k[0]}\u0000{k[1]}" for k in pending}
-        tags = [F.when(_window(k[0], st), F.lit(names[k])) for k, st in pending.items()]
-        cand = long.select("value", F.explode(F.array_compact(F.array(*tags))).alias("key"))
-        below = F.create_map(*[x for k, st in pending.items() for x in (F.lit(names[k]), F.lit(st["below"]))])
-        w = Window.partitionBy("key").orderBy("value")  # each key's window holds <= exact_limit rows
-        ranked = cand.withColumn("rank", F.row_number().over(w) - 1 + F.element_at(below, F.col("key")))
-        wanted = None
+        # keys whose windows coincide (e.g. all quartiles of a column that
+        # needed no refinement) share ONE ranking of that window
+        windows: dict[tuple, dict] = {}
         for k, st in pending.items():
-            t = (F.col("key") == names[k]) & F.col("rank").isin(*set(st["ranks"]))
+            wk = (k[0], st["lo"], st["hi"], st["below"])
+            w = windows.setdefault(wk, {"name": f"w{len(windows)}", "st": st, "keys": [], "ranks": set()})
+            w["keys"].append(k)
+            w["ranks"].update(st["ranks"])
+        cols_of = [wk[0] for wk in windows]
+        if len(set(cols_of)) == len(cols_of):
+            # at most one window per column: a row belongs to at most one window
+            tag = None
+            for wk, w in windows.items():
+                tag = (F.when(_window(wk[0], w["st"]), F.lit(w["name"])) if tag is None
+                       else tag.when(_window(wk[0], w["st"]), F.lit(w["name"])))
+            cand = long.select("value", tag.alias("key")).where(F.col("key").isNotNull())
+        else:  # overlapping windows of one column: a row may serve several
+            tags = [F.when(_window(wk[0], w["st"]), F.lit(w["name"])) for wk, w in windows.items()]
+            cand = long.select("value", F.explode(F.array_compact(F.array(*tags))).alias("key"))
+        below = F.create_map(*[x for w in windows.values() for x in (F.lit(w["name"]), F.lit(w["st"]["below"]))])
+        win = Window.partitionBy("key").orderBy("value")  # each window holds <= exact_limit rows
+        ranked = cand.withColumn("rank", F.row_number().over(win) - 1 + F.element_at(below, F.col("key")))
+        wanted = None
+        for w in windows.values():
+            t = (F.col("key") == w["name"]) & F.col("rank").isin(*sorted(w["ranks"]))
             wanted = t if wanted is None else wanted | t
-        back = {v: k for k, v in names.items()}
+        by_name = {w["name"]: w for w in windows.values()}
         for r in ranked.where(wanted).select("key", "rank", "value").collect():  # <= 2 rows per key
-            keys[back[r["key"]]]["found"][r["rank"]] = r["value"]
+            for k in by_name[r["key"]]["keys"]:
+                if r["rank"] in keys[k]["ranks"]:
+                    keys[k]["found"][r["rank"]] = r["value"]
     for (c, qi), st in keys.items():
         lo_r, hi_r = st["ranks"]
         a, b = st["found"][lo_r], st["found"][hi_r]

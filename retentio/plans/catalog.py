@@ -68,9 +68,17 @@ def mart(spark, sf):
     return _shared("mart", spark, sf, lambda: materialise(customer_mart(spark, sf), "checkpoint"))
 
 
+def stats(spark, sf):
+    """One statistics object (means, medians, modes) for all strategies."""
+    from retentio.operators.clean import normalise_missing
+    from retentio.operators.stats import compute_stats
+    return _shared("stats", spark, sf, lambda: compute_stats(normalise_missing(mart(spark, sf))))
+
+
 def cleaned(spark, sf, strategy="median"):
     from retentio.plans.batch import clean_customers
-    return _shared(f"cleaned:{strategy}", spark, sf, lambda: clean_customers(mart(spark, sf), strategy=strategy))
+    return _shared(f"cleaned:{strategy}", spark, sf,
+                   lambda: clean_customers(mart(spark, sf), stats(spark, sf), strategy=strategy))
 
 
 def features(spark, sf):

@@ -21,6 +21,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # PySpark 4 captures the Python call site of every Column call for error
+    # messages (a stack walk + JVM round trips each); plans here are built
+    # from many small expressions, so it is off.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
