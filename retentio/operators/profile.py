@@ -2,13 +2,14 @@
 
 Per-column profiles are computed as ONE wide aggregate (partial aggregation,
 one row out) and then unpivoted, instead of one job per column. Value counts
-are ``groupBy`` over the unpivoted (column, value) pairs; shares are windows
-over the grouped rows only.
+are ``groupBy`` over the unpivoted (column, value) pairs; shares divide by
+per-column totals from one small aggregate (no window over a column's
+distinct values).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,9 +98,16 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def value_share(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Value counts as percent of the column's non-null rows."""
-    w = Window.partitionBy("column")  # over grouped rows: bounded by the distinct values
-    return value_counts(df, cols).withColumn("pct", F.col("count") * 100.0 / F.sum("count").over(w))
+    """Value counts as percent of the column's non-null rows.
+
+    The per-column totals come from one small aggregate (one number per
+    column) applied as a literal map -- no window holding every distinct
+    value of a column in one task.
+    """
+    tot = df.agg(*[F.count(_c(c)).alias(c) for c in cols]).collect()[0]  # one row
+    totals = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(int(tot[c])))])
+    return value_counts(df, cols).withColumn(
+        "pct", F.col("count") * 100.0 / F.element_at(totals, F.col("column")))
 
 
 def dataset_rows(df: DataFrame) -> DataFrame:

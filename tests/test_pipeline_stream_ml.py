@@ -60,6 +60,12 @@ def test_ensemble_save_load_and_metrics(spark, mart, tmp_path):
     acc = M.accuracy(scored).collect()[0]["accuracy"]
     assert abs(rep["accuracy"]["f1"] - acc) < 1e-12
     assert M.importance_table(model, 15).count() == 15
+    # M6: the soft vote is the mean of the three positive-class probabilities
+    from pyspark.ml.functions import vector_to_array
+    parts = model.pipeline_model.transform(feats).select(
+        "CustomerID", *[vector_to_array(c)[1].alias(c) for c in M.EnsembleModel.PROB_COLS]).collect()
+    mean = {r["CustomerID"]: sum(r[c] for c in M.EnsembleModel.PROB_COLS) / 3 for r in parts}
+    assert all(abs(mean[cid] - p) < 1e-12 for cid, p in a)
 
 
 def test_weights_and_split(spark, mart):
