@@ -49,10 +49,6 @@ def score_customers(cleaned: DataFrame, stats: Stats, model="scorecard") -> Data
         F.when(F.col("Predicted_Churn_Numeric") == 1, "Yes").otherwise("No").alias("Predicted_Churn"))
 
 
-def features_for(cleaned: DataFrame, stats: Stats) -> DataFrame:
-    return business_features(cleaned, stats)
-
-
 def mart_scored(spark: SparkSession, sf_dir: str, model="scorecard", strategy: str = "median") -> DataFrame:
     customers = materialise(customer_mart(spark, sf_dir))
     cleaned, stats = clean_customers(customers, strategy=strategy)

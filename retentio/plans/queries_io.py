@@ -10,7 +10,7 @@ from retentio.functions import fixed as FX
 from retentio.operators import ml as M
 from retentio.operators import risk as R
 from retentio.plans import oracle_sql as O
-from retentio.plans.catalog import cleaned, features, mart, register, scored, stable
+from retentio.plans.catalog import features, mart, register, scored, stable
 from retentio.plans.queries_analysis import _factor_sql
 
 P = "Churn_Probability"

@@ -67,11 +67,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the folder is set by the cluster (a shared file system);
     only when it is unset (local tests) a scratch folder is created here.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if not current:
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not current and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    if not current:  # local runs only: a scratch folder of our own
         current = tempfile.mkdtemp(prefix="retentio-ckpt-", dir=os.environ.get("RETENTIO_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
+        try:
+            spark.conf.set("spark.checkpoint.dir", current)
+        except Exception:  # noqa: BLE001  a deployment may forbid runtime core settings
+            pass
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return current

@@ -13,7 +13,6 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.functions.columns import money_text
 from retentio.operators import analyze as A
 from retentio.operators import clean as N
 from retentio.operators import rows as W
@@ -82,7 +81,3 @@ def record_text_report(df: DataFrame, id_col: str = "CustomerID", prob_col: str
 def write_text_reports(df: DataFrame, path: str) -> None:
     """S9 sink: one text line block per customer."""
     record_text_report(df).select("report").write.mode("overwrite").text(path)
-
-
-def money(x):
-    return money_text(x)
