@@ -9,11 +9,6 @@ from pyspark.sql import types as T
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def col_or_null(df: DataFrame, name: str, dtype: str = "double") -> Column:
-    """The column if present, else a typed NULL (column-presence guard)."""
-    return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast(dtype)
-
-
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, NUMERIC_TYPES) and f.name not in exclude]
@@ -52,8 +47,3 @@ def percent_text(p: Column) -> Column:
 
 def money_text(x: Column) -> Column:
     return F.concat(F.lit("₹"), F.format_number(x, 2))
-
-
-def falsy_default(c: Column, default) -> Column:
-    """JS/Python ``x || d``: NULL, 0 and '' all take the default."""
-    return F.when(c.isNull() | (c.cast("string").isin("0", "0.0", "")), F.lit(default)).otherwise(c)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentio.functions import fixed as FX
+from retentio.functions.columns import money_text
 from retentio.operators.clean import _c
 
 P = "Churn_Probability"
@@ -110,7 +111,7 @@ def summary_report(df: DataFrame, prob_col: str = P, pred_col: str = "Predicted_
         (FX.SUMMARY_METRICS[3], F.col("high_risk").cast("string")),
         (FX.SUMMARY_METRICS[4], F.col("moderate_risk").cast("string")),
         (FX.SUMMARY_METRICS[5], F.col("low_risk").cast("string")),
-        (FX.SUMMARY_METRICS[6], F.concat(F.lit("₹"), F.format_number(F.col("expected_loss"), 2))),
+        (FX.SUMMARY_METRICS[6], money_text(F.col("expected_loss"))),
     ]
     if with_date:
         rows.append((FX.SUMMARY_METRICS[7], F.date_format(F.current_date(), "dd/MM/yyyy")))

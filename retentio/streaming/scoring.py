@@ -28,6 +28,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), name, uuid.uuid4().hex)
 
 
+def save_stats(stats: Stats, spark: SparkSession, path: str) -> None:
+    """Write a statistics version (one row per column) for streams to read."""
+    stats.to_table(spark).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_stats(spark: SparkSession, path: str) -> Stats:
+    """Read a statistics version written by ``save_stats``."""
+    return Stats.from_table(spark.read.parquet(path))
+
+
 def score_stream(records: DataFrame, stats: Stats, model="scorecard") -> DataFrame:
     """The batch scoring chain on a streaming DataFrame (projections only)."""
     cleaned, _ = clean_customers(records, stats)

@@ -28,8 +28,10 @@ def test_scored_bands_partition_the_table(spark, mart):
 
 
 def test_stream_equals_batch(spark, mart):
-    stats = compute_stats(normalise_missing(mart))
+    from retentio.streaming.scoring import load_stats, save_stats
     base = scratch_dir(spark, "test-s10")
+    save_stats(compute_stats(normalise_missing(mart)), spark, os.path.join(base, "stats-v1"))
+    stats = load_stats(spark, os.path.join(base, "stats-v1"))  # the versioned statistics the stream uses
     src = os.path.join(base, "in")
     mart.write.json(src)
     out = run_stream_scoring(spark, src, mart.schema, stats, os.path.join(base, "out"), os.path.join(base, "ck"),
