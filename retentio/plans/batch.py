@@ -64,7 +64,10 @@ def materialise(df: DataFrame, mode: str = "persist") -> DataFrame:
     """
     if mode == "checkpoint":
         from retentio.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
+        try:
+            ensure_checkpoint_dir(df.sparkSession)
+        except Exception:  # noqa: BLE001  (no SparkContext, e.g. Connect: keep lineage)
+            return df.persist()
         cached = df.persist()  # the checkpoint job then reads the cache, not the joins again
         out = cached.checkpoint(eager=True)
         cached.unpersist()

@@ -57,7 +57,11 @@ def _shared(kind: str, spark: SparkSession, sf: str, build):
     survives a lost executor), statistics are computed once, and the scored
     projection is persisted -- every report reads these instead of
     re-running the joins (the reference recomputes per request)."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf), kind)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001  (a Connect session has no SparkContext)
+        app = id(spark)
+    key = (app, os.path.abspath(sf), kind)
     if key not in _SHARED:
         _SHARED[key] = build()
     return _SHARED[key]

@@ -25,7 +25,11 @@ from retentio.session import ensure_checkpoint_dir
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared ``spark.checkpoint.dir``."""
-    return os.path.join(ensure_checkpoint_dir(spark), name, uuid.uuid4().hex)
+    try:
+        base = ensure_checkpoint_dir(spark)
+    except Exception:  # noqa: BLE001  (no SparkContext: the session setting alone)
+        base = spark.conf.get("spark.checkpoint.dir")
+    return os.path.join(base, name, uuid.uuid4().hex)
 
 
 def save_stats(stats: Stats, spark: SparkSession, path: str) -> None:
