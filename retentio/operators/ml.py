@@ -75,13 +75,28 @@ class EnsembleModel:
         self.features = features
 
     def score(self, df: DataFrame, prob_col: str = "Churn_Probability") -> DataFrame:
+        """Soft-vote probability; model features absent from ``df`` are added
+        first (fixed-vocabulary dummies, other absent features 0 -- F9), the
+        input columns themselves are left as they are."""
         from pyspark.ml.functions import vector_to_array
-        out = self.pipeline_model.transform(df)
+
+        from retentio.functions.fixed import CATEGORICAL_COLUMNS
+        added = []
+        for f in self.features:
+            if f in df.columns:
+                continue
+            expr = F.lit(0.0)
+            for c in CATEGORICAL_COLUMNS:
+                if f.startswith(c + "_"):
+                    src = F.coalesce(_c(c), F.lit("Missing")) if c in df.columns else F.lit("Missing")
+                    expr = (src == f[len(c) + 1:]).cast("double")
+                    break
+            added.append(expr.alias(f))
+        out = self.pipeline_model.transform(df.select("*", *added))
         parts = [vector_to_array(F.col(c))[1] for c in self.PROB_COLS]
         p = (parts[0] + parts[1] + parts[2]) / 3.0
-        drop = [c for c in out.columns if c.startswith("__") or c in self.PROB_COLS or c.startswith("raw_")
-                or c.startswith("pred_") or c == "features"]
-        return (out.withColumn(prob_col, p).drop(*drop)
+        keep = [_c(c) for c in df.columns if c not in (prob_col, "Predicted_Churn_Numeric")]
+        return (out.select(*keep, p.alias(prob_col))
                 .withColumn("Predicted_Churn_Numeric", (F.col(prob_col) > CLASS_CUT).cast("int")))
 
     def save(self, path: str) -> None:
