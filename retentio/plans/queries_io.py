@@ -81,11 +81,17 @@ def q_m10(spark, sf):
 
 
 def _small_ensemble(spark, sf):
+    """A small ensemble (20 trees, 10 + 10 rounds) fitted once per session
+    and data folder on the training split; shared by m6 and m13."""
     from retentio.operators.features import align_features
-    feats = align_features(features(spark, sf), keep=("CustomerID", "Churn"))
-    train = feats.where(M.key_split(F.col("CustomerID").cast("long")) == "train")
-    cfg = M.EnsembleConfig(rf_trees=20, rf_depth=6, gbt_iter=10, gbt_depth=3)
-    return M.fit_ensemble(train, cfg=cfg), feats
+    from retentio.plans.catalog import _shared
+
+    def build():
+        feats = align_features(features(spark, sf), keep=("CustomerID", "Churn"))
+        train = feats.where(M.key_split(F.col("CustomerID").cast("long")) == "train")
+        cfg = M.EnsembleConfig(rf_trees=20, rf_depth=6, gbt_iter=10, gbt_depth=3)
+        return M.fit_ensemble(train, cfg=cfg), feats
+    return _shared("small_ensemble", spark, sf, build)
 
 
 @register("m6_ensemble")
