@@ -59,9 +59,23 @@ def materialise(df: DataFrame, mode: str = "persist") -> DataFrame:
     """Reuse a table across the statistics and fill passes.
 
     ``persist`` keeps lineage (a lost executor recomputes its blocks);
-    ``checkpoint`` writes to the shared ``spark.checkpoint.dir`` and cuts
-    lineage for long chains. Never a machine-local checkpoint.
+    ``table`` writes parquet under the shared ``spark.checkpoint.dir`` and
+    reads it back -- lineage cut, and later reads get column pruning and
+    filter pushdown; ``checkpoint`` is Spark's RDD checkpoint into the same
+    folder. Never a machine-local checkpoint.
     """
+    if mode == "table":
+        import os
+        import uuid
+
+        from retentio.session import ensure_checkpoint_dir
+        try:
+            base = ensure_checkpoint_dir(df.sparkSession)
+        except Exception:  # noqa: BLE001  (no SparkContext, e.g. Connect: keep lineage)
+            return df.persist()
+        path = os.path.join(base, "tables", uuid.uuid4().hex)
+        df.write.parquet(path)
+        return df.sparkSession.read.parquet(path)
     if mode == "checkpoint":
         from retentio.session import ensure_checkpoint_dir
         try:
