@@ -130,7 +130,8 @@ def record_clean(df: DataFrame, stats: Stats, strategy: str = "median",
     """Record-style imputation over a DataFrame of records.
 
     NULL or '' -> statistic; CashbackAmount takes max(stat, OrderCount * 85)
-    when OrderCount is present; strings take the mode; columns with no
+    when OrderCount is known (imputed first when it comes earlier, as the
+    record's fields are filled in order); strings take the mode; columns with no
     statistic fall back by keyword (tenure/count/number/amount -> 0,
     score -> 3, complain -> 0, else 0).
     """
@@ -146,6 +147,10 @@ def record_clean(df: DataFrame, stats: Stats, strategy: str = "median",
             fill = F.lit(float(stats.numeric(name, strategy)))
             if name == "CashbackAmount" and "OrderCount" in df.columns:
                 oc = _c("OrderCount").cast("double")
+                # fields are imputed in column order: an OrderCount before
+                # CashbackAmount is already filled when the rule reads it
+                if df.columns.index("OrderCount") < df.columns.index(name) and "OrderCount" in stats.median:
+                    oc = F.coalesce(oc, F.lit(float(stats.numeric("OrderCount", strategy))))
                 fill = F.when(oc.isNotNull(), F.greatest(fill, oc * RECORD_CASHBACK_PER_ORDER)).otherwise(fill)
             out[name] = F.when(missing, fill.cast(f.dataType) if is_num else fill.cast("string")).otherwise(c)
         elif name in stats.mode:

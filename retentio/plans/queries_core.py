@@ -213,8 +213,8 @@ def _n13_sql():
     for c in NUM:
         fill = f"s.med_{c}"
         if c == "CashbackAmount":
-            fill = (f"CASE WHEN m.OrderCount IS NOT NULL THEN greatest(s.med_{c}, CAST(m.OrderCount AS DOUBLE) * "
-                    f"{O.dbl(85.0)}) ELSE s.med_{c} END")
+            oc = "coalesce(CAST(m.OrderCount AS DOUBLE), s.med_OrderCount)"  # OrderCount is filled first
+            fill = f"greatest(s.med_{c}, {oc} * {O.dbl(85.0)})"
         typ = "INTEGER" if c in ("CityTier", "SatisfactionScore", "Complain", "NumberOfDeviceRegistered",
                                  "NumberOfAddress") else "DOUBLE"
         sel.append(f"CASE WHEN m.{c} IS NULL THEN CAST({fill} AS {typ}) ELSE m.{c} END AS {c}")

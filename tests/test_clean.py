@@ -70,3 +70,11 @@ def test_synonyms_and_codes(spark):
     b = N.binary_codes(N.merge_synonyms(df)).collect()
     assert (b[0]["PreferredLoginDevice"], b[0]["Gender"]) == (0, 1)
     assert N.yes_no_to_int(F.lit("Yes")) is not None
+
+
+def test_record_clean_uses_imputed_order_count(spark):
+    st = Stats.defaults()
+    st.median["OrderCount"] = 100.0
+    df = _rows(spark, [("a", 5.0, None, None, 3, 0, 5.0, "Male")])
+    r = N.record_clean(df, st).collect()[0]
+    assert r["OrderCount"] == 100.0 and r["CashbackAmount"] == 8500.0  # max(5000, 100 * 85)
