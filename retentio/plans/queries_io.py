@@ -150,12 +150,10 @@ def q_s9(spark, sf):
 
 @register("s10_stream_score", O.round_all(O.chain("scored", "SELECT * FROM scored"), O.SCORED_DOUBLES))
 def q_s10(spark, sf):
-    from retentio.operators.stats import compute_stats
-    from retentio.operators.clean import normalise_missing
-    from retentio.plans.batch import materialise
+    from retentio.plans.catalog import stats as shared_stats
     from retentio.streaming.scoring import run_stream_scoring, scratch_dir
-    m = materialise(mart(spark, sf))
-    stats = compute_stats(normalise_missing(m))  # the versioned stats table for the stream
+    m = mart(spark, sf)
+    stats = shared_stats(spark, sf)  # the statistics version the stream scores against
     base = scratch_dir(spark, "s10")
     src = os.path.join(base, "in")
     m.write.mode("overwrite").json(src)
