@@ -1,7 +1,8 @@
 """Training, ensemble scoring and evaluation on MLlib.
 
-* M1  split: a deterministic hash threshold per row (scales, no sort); the
-      per-class shares are checked, not forced.
+* M1  split: a deterministic hash threshold per row (scales, no sort), or the
+      exact per-class (stratified) split: per class, the order statistic of
+      the row hash at the train count, by distributed selection.
 * M2  class weights from one aggregate of the label (``weightCol``).
 * M3-M6 one ``Pipeline``: assembler -> random forest + two gradient-boosted
       ensembles with distinct output columns; the soft vote is the mean of the
@@ -31,12 +32,51 @@ def hash_split(key: Column, train_pct: int = 80, seed: int = 42) -> Column:
 
 
 def key_split(key: Column, train_pct: int = 80, seed: int = 42) -> Column:
-    """M1 for an integer key: a Lehmer (MINSTD) step of (key + seed), mod 100.
+    """M1 for an integer key: ``lehmer_hash(key) mod 100 < train_pct``.
 
     Plain integer arithmetic, so any SQL engine reproduces it exactly.
     """
-    h = F.pmod((F.pmod(key.cast("long") + F.lit(seed), F.lit(2147483647)) * F.lit(48271)), F.lit(2147483647))
-    return F.when(F.pmod(h, F.lit(100)) < train_pct, "train").otherwise("test")
+    return F.when(F.pmod(lehmer_hash(key, seed), F.lit(100)) < train_pct, "train").otherwise("test")
+
+
+def lehmer_hash(key: Column, seed: int = 42) -> Column:
+    """A MINSTD step of (key + seed): a bijection on [1, 2^31 - 2], so distinct
+    integer keys never tie, and plain integer arithmetic any engine repeats."""
+    m = F.lit(2147483647)
+    return F.pmod(F.pmod(key.cast("long") + F.lit(seed), m) * F.lit(48271), m)
+
+
+def stratified_split(df: DataFrame, label: str = "Churn", key: Column | None = None, train_pct: int = 80,
+                     seed: int = 42, row_hash: Column | None = None) -> DataFrame:
+    """M1, exact per class: in each class the ``n_c - ceil(n_c * test%)`` rows
+    with the smallest row hash go to 'train', the rest to 'test'.
+
+    The per-class cut is the exact order statistic of the hash, found by the
+    distributed selection of ``stats.select_ranks`` -- no window over a class,
+    so a class holding most rows is never gathered into one task. Rows whose
+    hash ties the cut all go to 'train' (a 64-bit hash makes ties negligible;
+    ``lehmer_hash`` of an integer key has none). NULL labels go to 'test'.
+    """
+    from retentio.operators.stats import select_ranks
+    if row_hash is None:
+        k = key if key is not None else F.struct(*[_c(c) for c in df.columns])
+        row_hash = F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(2 ** 52))  # exact as a double
+    tagged = df.withColumn("__h", row_hash.cast("double"))
+    lab = _c(label).cast("string")
+    counts = {r["c"]: r["n"] for r in tagged.where(lab.isNotNull()).groupBy(lab.alias("c"))
+              .agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
+    keys, cut_rank = {}, {}
+    for cls, n in counts.items():
+        k_train = n - (n * (100 - train_pct) + 99) // 100
+        cut_rank[cls] = k_train - 1
+        if k_train >= 1:
+            keys[(cls, 0)] = {"size": n, "ranks": (k_train - 1, k_train - 1)}
+    if keys:
+        select_ranks(tagged.select(lab.alias("column"), F.col("__h").alias("value")), keys)
+    cut = {cls: (keys[(cls, 0)]["found"][cut_rank[cls]] if (cls, 0) in keys else -1.0) for cls in counts}
+    cut_map = F.create_map(*[x for cls, v in cut.items() for x in (F.lit(cls), F.lit(float(v)))])
+    split = F.when(F.col("__h") <= F.element_at(cut_map, lab), "train").otherwise("test")
+    return tagged.withColumn("split", split).drop("__h")
 
 
 def class_weights(df: DataFrame, label: str = "Churn", mode: str = "balanced") -> Column:

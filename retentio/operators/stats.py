@@ -187,6 +187,56 @@ def _any_window(state: dict):
     return cond
 
 
+def select_ranks(long: DataFrame, keys: dict, exact_limit: int = 2_000_000, max_rounds: int = 12,
+                 accuracy: int = 10_000) -> None:
+    """Exact order statistics of a (column, value) long table.
+
+    ``keys[(column, tag)]`` = {"size": n, "ranks": (r1, r2)} (0-based ranks
+    among the column's values); on return each key has ``found[rank]``.
+    Keys of one ``tag`` are refined together (one key per column per round).
+    """
+    for st in keys.values():
+        st.update({"lo": None, "hi": None, "below": 0})
+        st.setdefault("found", {})
+    for tag in sorted({t for _, t in keys}, key=str):
+        _refine(long, {c: st for (c, t), st in keys.items() if t == tag}, exact_limit, max_rounds, accuracy)
+
+    pending = {k: st for k, st in keys.items() if len(st["found"]) < len(set(st["ranks"]))}
+    if not pending:
+        return
+    # keys whose windows coincide (e.g. all quartiles of a column that
+    # needed no refinement) share ONE ranking of that window
+    windows: dict[tuple, dict] = {}
+    for k, st in pending.items():
+        wk = (k[0], st["lo"], st["hi"], st["below"])
+        w = windows.setdefault(wk, {"name": f"w{len(windows)}", "st": st, "keys": [], "ranks": set()})
+        w["keys"].append(k)
+        w["ranks"].update(st["ranks"])
+    cols_of = [wk[0] for wk in windows]
+    if len(set(cols_of)) == len(cols_of):
+        # at most one window per column: a row belongs to at most one window
+        tag = None
+        for wk, w in windows.items():
+            tag = (F.when(_window(wk[0], w["st"]), F.lit(w["name"])) if tag is None
+                   else tag.when(_window(wk[0], w["st"]), F.lit(w["name"])))
+        cand = long.select("value", tag.alias("key")).where(F.col("key").isNotNull())
+    else:  # overlapping windows of one column: a row may serve several
+        tags = [F.when(_window(wk[0], w["st"]), F.lit(w["name"])) for wk, w in windows.items()]
+        cand = long.select("value", F.explode(F.array_compact(F.array(*tags))).alias("key"))
+    below = F.create_map(*[x for w in windows.values() for x in (F.lit(w["name"]), F.lit(w["st"]["below"]))])
+    win = Window.partitionBy("key").orderBy("value")  # each window holds <= exact_limit rows
+    ranked = cand.withColumn("rank", F.row_number().over(win) - 1 + F.element_at(below, F.col("key")))
+    wanted = None
+    for w in windows.values():
+        t = (F.col("key") == w["name"]) & F.col("rank").isin(*sorted(w["ranks"]))
+        wanted = t if wanted is None else wanted | t
+    by_name = {w["name"]: w for w in windows.values()}
+    for r in ranked.where(wanted).select("key", "rank", "value").collect():  # <= 2 rows per key
+        for k in by_name[r["key"]]["keys"]:
+            if r["rank"] in keys[k]["ranks"]:
+                keys[k]["found"][r["rank"]] = r["value"]
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], counts: dict[str, int], qs: list[float],
                     exact_limit: int = 2_000_000, max_rounds: int = 12, accuracy: int = 10_000
                     ) -> dict[str, dict[float, float]]:
@@ -199,7 +249,6 @@ def exact_quantiles(df: DataFrame, cols: list[str], counts: dict[str, int], qs:
     result = {c: {qv: None for qv in qs} for c in cols}
     if not cols:
         return result
-    long = _long_numeric(df, cols)
     keys: dict[tuple[str, int], dict] = {}
     for c in cols:
         n = counts.get(c) or 0
@@ -208,44 +257,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], counts: dict[str, int], qs:
         for qi, qv in enumerate(qs):
             pos = qv * (n - 1)
             lo = int(math.floor(pos))
-            keys[(c, qi)] = {"lo": None, "hi": None, "below": 0, "size": n, "found": {},
-                             "ranks": (lo, int(math.ceil(pos))), "frac": pos - lo}
-    for qi in range(len(qs)):  # one key per column within a quantile
-        _refine(long, {c: st for (c, i), st in keys.items() if i == qi}, exact_limit, max_rounds, accuracy)
-
-    pending = {k: st for k, st in keys.items() if len(st["found"]) < len(set(st["ranks"]))}
-    if pending:
-        # keys whose windows coincide (e.g. all quartiles of a column that
-        # needed no refinement) share ONE ranking of that window
-        windows: dict[tuple, dict] = {}
-        for k, st in pending.items():
-            wk = (k[0], st["lo"], st["hi"], st["below"])
-            w = windows.setdefault(wk, {"name": f"w{len(windows)}", "st": st, "keys": [], "ranks": set()})
-            w["keys"].append(k)
-            w["ranks"].update(st["ranks"])
-        cols_of = [wk[0] for wk in windows]
-        if len(set(cols_of)) == len(cols_of):
-            # at most one window per column: a row belongs to at most one window
-            tag = None
-            for wk, w in windows.items():
-                tag = (F.when(_window(wk[0], w["st"]), F.lit(w["name"])) if tag is None
-                       else tag.when(_window(wk[0], w["st"]), F.lit(w["name"])))
-            cand = long.select("value", tag.alias("key")).where(F.col("key").isNotNull())
-        else:  # overlapping windows of one column: a row may serve several
-            tags = [F.when(_window(wk[0], w["st"]), F.lit(w["name"])) for wk, w in windows.items()]
-            cand = long.select("value", F.explode(F.array_compact(F.array(*tags))).alias("key"))
-        below = F.create_map(*[x for w in windows.values() for x in (F.lit(w["name"]), F.lit(w["st"]["below"]))])
-        win = Window.partitionBy("key").orderBy("value")  # each window holds <= exact_limit rows
-        ranked = cand.withColumn("rank", F.row_number().over(win) - 1 + F.element_at(below, F.col("key")))
-        wanted = None
-        for w in windows.values():
-            t = (F.col("key") == w["name"]) & F.col("rank").isin(*sorted(w["ranks"]))
-            wanted = t if wanted is None else wanted | t
-        by_name = {w["name"]: w for w in windows.values()}
-        for r in ranked.where(wanted).select("key", "rank", "value").collect():  # <= 2 rows per key
-            for k in by_name[r["key"]]["keys"]:
-                if r["rank"] in keys[k]["ranks"]:
-                    keys[k]["found"][r["rank"]] = r["value"]
+            keys[(c, qi)] = {"size": n, "ranks": (lo, int(math.ceil(pos))), "frac": pos - lo}
+    if keys:
+        select_ranks(_long_numeric(df, cols), keys, exact_limit, max_rounds, accuracy)
     for (c, qi), st in keys.items():
         lo_r, hi_r = st["ranks"]
         a, b = st["found"][lo_r], st["found"][hi_r]

@@ -44,6 +44,20 @@ def q_m1s(spark, sf):
                                          .alias("train_share")))
 
 
+def _strat_sql():
+    h = "(((CAST(CustomerID AS BIGINT) + 42) % 2147483647) * 48271) % 2147483647"
+    return O.chain("mart", f"""SELECT CustomerID, Churn,
+  CASE WHEN rk <= n - (n * 20 + 99) // 100 THEN 'train' ELSE 'test' END AS split
+FROM (SELECT CustomerID, Churn, row_number() OVER (PARTITION BY Churn ORDER BY {h}) AS rk,
+             count(*) OVER (PARTITION BY Churn) AS n FROM mart)""")
+
+
+@register("m1_stratified_split", _strat_sql())
+def q_m1x(spark, sf):
+    m = mart(spark, sf).select("CustomerID", "Churn")
+    return M.stratified_split(m, "Churn", train_pct=80, row_hash=M.lehmer_hash(F.col("CustomerID").cast("long")))
+
+
 @register("m11_confusion", O.chain("scored", "SELECT CAST(Churn AS INTEGER) AS actual, "
                                             "count(*) FILTER (WHERE Predicted_Churn_Numeric = 0) AS pred_0, "
                                             "count(*) FILTER (WHERE Predicted_Churn_Numeric = 1) AS pred_1 "

@@ -76,3 +76,19 @@ def test_weights_and_split(spark, mart):
     assert abs(tot - mart.count()) < 1e-6          # balanced weights sum to n
     shares = mart.select(M.hash_split(F.col("CustomerID")).alias("s")).groupBy("s").count().collect()
     assert {r["s"] for r in shares} == {"train", "test"}
+
+
+@pytest.mark.parametrize("limit", [10_000_000, 50])
+def test_stratified_split_is_exact_per_class(spark, limit, monkeypatch):
+    from retentio.operators import stats as S
+    if limit < 1000:  # force the refinement rounds of the selection
+        orig = S.select_ranks
+        monkeypatch.setattr(S, "select_ranks", lambda long, keys, *a, **k: orig(long, keys, exact_limit=limit))
+    rows = [(i, 1 if i % 4 == 0 else 0) for i in range(2003)]
+    df = spark.createDataFrame(rows, "id long, y int")
+    out = M.stratified_split(df, "y", train_pct=80, row_hash=M.lehmer_hash(F.col("id"))).collect()
+    for cls in (0, 1):
+        members = sorted(((r["id"] + 42) % 2147483647 * 48271 % 2147483647, r["split"]) for r in out if r["y"] == cls)
+        n = len(members)
+        k = n - (n * 20 + 99) // 100
+        assert [s for _, s in members] == ["train"] * k + ["test"] * (n - k)   # brute force: smallest k hashes
