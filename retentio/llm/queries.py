@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentio.llm import cube, licenses, secret_scan
+from retentio.llm import cube, licenses, secret_scan, sharding
 from retentio.llm.tables import read
 
 
@@ -18,6 +18,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.mix(read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents")))
 
@@ -25,6 +29,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op4_mix_sources": op4_mix_sources,
+    "op7_shard": op7_shard,
     "op9_secret_scan": op9_secret_scan,
 }
 
