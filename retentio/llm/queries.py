@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentio.llm import cube, licenses, secret_scan, sharding
+from retentio.llm import chat, cube, licenses, secret_scan, sharding
 from retentio.llm.tables import read
 
 
@@ -18,6 +18,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.mix(read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op6_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return chat.read_back(chat.format_chats(rows))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -29,6 +37,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op4_mix_sources": op4_mix_sources,
+    "op6_format_chats": op6_format_chats,
     "op7_shard": op7_shard,
     "op9_secret_scan": op9_secret_scan,
 }
