@@ -1,11 +1,11 @@
 """Sharding: label propagation under quotas, then exact fill.
 
-Documents of equal text are linked. What moves is counted, not listed: a row
-says how many documents of a group lie in a shard, so an iteration is two small
-joins however many pairs a group has. In each iteration a group's documents go
-to the shard where most of the group already lies, as far as that shard's quota
-reaches; documents without links fill the shards at the end to counts that
-differ by one at most.
+Documents of equal text are linked. All members of a group have the same
+neighbours, so a group's row says how many of its members lie in each shard,
+and a round joins these rows with the shards' quotas instead of listing pairs:
+a group's members go to the shard where most of them already lie, as far as
+that shard's quota reaches. Documents without links fill the shards at the end
+to counts that differ by one at most.
 """
 
 from __future__ import annotations
@@ -24,45 +24,55 @@ def _unit(*cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, n: a + n)
+
+
+def _loads(state: DataFrame, shards: int) -> list[int]:
+    row = state.agg(*[F.sum(F.element_at("counts", s + 1)) for s in range(shards)]).first()
+    return [n or 0 for n in row]
+
+
 def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """(id, label) for the linked documents of ``nodes`` (id, group): balanced label propagation.
+    """(group, counts): members by shard of each group of two or more of ``nodes`` (group, label).
 
-    Labels start by hash. A round: per group, how many documents lie in each
-    shard; the best shard is the one with most of them that still has quota;
-    each group's wish to move there is granted with the probability
-    quota / wishes of that shard, for the whole group where it fits, else for
-    single documents. It ends when no one wishes to move, or after ``rounds``.
+    A round: each group's goal is the shard with most of its members among
+    those with quota left (a sixty-fourth, so that crumbs attract no one); members in shards with as many or fewer wish to go
+    there. A shard grants wishes with the chance quota / wishes: to whole groups
+    by hash where they fit, else to that share of a group's members. It ends
+    when no one wishes to move, or after ``rounds``.
     """
-    total = nodes.count()
-    quota = -(-total // shards)
-    sized = nodes.groupBy("group").agg(F.count("*").alias("members")).where("members > 1")
-    state = saved(nodes.join(sized, "group").withColumn(
-        "label", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")))
+    spark = nodes.sparkSession
+    quota = -(-nodes.count() // shards)
+    counted = nodes.groupBy("group").agg(F.array(*[F.count_if(F.col("label") == s) for s in range(shards)]).alias("counts"))
+    state = saved(counted.where(_total(F.col("counts")) > 1))
     for turn in range(rounds):
-        here = saved(state.groupBy("group", "label").agg(F.count("*").alias("n"), F.max("members").alias("members")))
-        load = {r["label"]: r["n"] for r in here.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # a row a shard
-        room = F.array(*[F.lit(max(0, quota - load.get(s, 0))) for s in range(shards)])
-        free = F.element_at(room, F.col("label") + 1)
-        # most members first; a full shard can only keep what it has
-        order = F.struct((F.when(free > 0, 1).otherwise(0)).alias("open"), F.col("n").alias("n"),
-                         F.xxhash64("group", "label", F.lit(turn)).alias("tie"), F.col("label").alias("label"))
-        best = here.groupBy("group").agg(F.max(order).alias("best"))
-        wish = here.join(best.select("group", F.col("best.label").alias("to"), F.col("best.n").alias("there")), "group")
-        # a document leaves a shard only for one where its group is at least as strong, or while its group is split
-        wish = saved(wish.where((F.col("label") != F.col("to")) & (F.col("n") <= F.col("there"))))
-        asked = {r["to"]: r["n"] for r in wish.groupBy("to").agg(F.sum("n").alias("n")).collect()}
+        load = _loads(state, shards)
+        room = F.array(*[F.lit(max(0, quota - n)).cast("long") for n in load])
+        best = F.array_max(F.transform("counts", lambda n, i: F.struct(
+            (F.element_at(room, i + 1) > quota // 64).alias("open"), n.alias("n"),
+            F.xxhash64("group", i, F.lit(turn)).alias("tie"), i.alias("label"))))
+        wish = state.withColumn("best", best).where("best.open").select(
+            "group", "counts", F.col("best.label").alias("to"),
+            F.transform("counts", lambda n, i: F.when((i != F.col("best.label")) & (n <= F.col("best.n")), n)
+                        .otherwise(F.lit(0).cast("long"))).alias("leave"))
+        asked = {r["to"]: r["n"] for r in wish.groupBy("to").agg(F.sum(_total(F.col("leave"))).alias("n")).collect() if r["n"]}
         if not asked:
             break
-        chance = F.array(*[F.lit(min(1.0, max(0, quota - load.get(s, 0)) / asked[s]) if s in asked else 0.0)
-                           for s in range(shards)])
-        p = F.element_at(chance, F.col("to") + 1)
-        fits = F.col("members") <= F.element_at(room, F.col("to") + 1)
-        moved = (state.join(wish.select("group", "label", "to"), ["group", "label"], "left")
-                 .withColumn("go", F.col("to").isNotNull()
-                             & (F.when(fits, _unit("group", F.lit(turn))).otherwise(_unit("id", F.lit(turn))) < p)))
-        state = saved(moved.select("group", "id", "members",
-                                   F.when(F.col("go"), F.col("to")).otherwise(F.col("label")).alias("label")))
-    return state.select("id", "group", "label")
+        # a row a shard
+        quotas = spark.createDataFrame([(s, max(0, quota - load[s]), min(1.0, max(0, quota - load[s]) / n))
+                                        for s, n in asked.items()], "to int, room long, chance double")
+        granted = (wish.where(_total(F.col("leave")) > 0).join(F.broadcast(quotas), "to")
+                   .withColumn("whole", _total(F.col("counts")) <= F.col("room"))
+                   .withColumn("share", F.when(~F.col("whole"), F.col("chance"))
+                               .when(_unit("group", F.lit(turn)) < F.col("chance"), 1.0).otherwise(0.0))
+                   .withColumn("gone", F.transform("leave", lambda n: F.floor(n * F.col("share"))))
+                   .select(F.col("group").alias("__group"), F.zip_with(
+                       F.zip_with("counts", "gone", lambda n, g: n - g), F.sequence(F.lit(0), F.lit(shards - 1)),
+                       lambda n, i: n + F.when(i == F.col("to"), _total(F.col("gone"))).otherwise(0)).alias("now")))
+        state = saved(state.join(granted, state["group"] == granted["__group"], "left")
+                      .select("group", F.coalesce("now", "counts").alias("counts")))
+    return state
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -75,36 +85,47 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, keep: tup
     other columns are not read; an empty table gives an empty table.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", *keep, (F.octet_length(raw) + 8).cast("long").alias("size"),
-                       F.crc32(raw).alias("text_crc32"), text_key().alias("group"))
-    # ranks make repeated rows distinct, and are the same in every run
-    base = saved(ranked(rows, "doc_id", "group", "size", *keep, name="id"))
-    total = base.count()
+    rows = saved(docs.select("doc_id", *keep, (F.octet_length(raw) + 8).cast("long").alias("size"),
+                             F.crc32(raw).alias("text_crc32"), text_key().alias("group")))
+    total = rows.count()
     exact = [total // shards + (s < total % shards) for s in range(shards)]
-    placed = propagate(base.select("id", "group"), shards, rounds)
-    # beyond a shard's exact count, the last of its documents by group give way
-    load = {r["label"]: r["n"] for r in placed.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    offsets, seen = [], 0
+    state = propagate(rows.select("group", F.pmod(F.xxhash64("doc_id", *keep), F.lit(shards)).alias("label")), shards, rounds)
+    load = _loads(state, shards)
+    # a member's place among its group decides which of the group's shards it has
+    placed = ranked(rows, "group", "doc_id", *keep, name="__r")
+    first = placed.groupBy("group").agg(F.min("__r").alias("__first"))
+    groups = state.join(first, "group").select(F.col("group").alias("__group"), "__first", "counts")
+    upto = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda k: _total(F.slice("counts", 1, k)))
+    inside = F.col("__r") - F.col("__first")
+    label = F.size(F.filter(upto, lambda end: end <= inside))
+    labelled = (placed.join(groups, placed["group"] == groups["__group"], "left")
+                .select("doc_id", *keep, "size", "text_crc32", "group", "__r",
+                        F.when(F.col("__group").isNotNull(), label).otherwise(shards).alias("__label")))
+    # equal texts stand together within a shard; whoever is beyond its exact count, and all
+    # documents without links, fill what is left of the others
+    order = ranked(labelled, "__label", "__r", name="__pos")
+    kept = [min(n, e) for n, e in zip(load, exact)]
+    starts, spare, bounds, seen_load, seen_spare, seen_free = [], [], [], 0, 0, 0
     for s in range(shards):
-        offsets.append(seen)
-        seen += load.get(s, 0)
-    inside = ranked(placed, "label", "group", "id", name="__r")
-    at = F.element_at(F.array(*map(F.lit, offsets)), F.col("label") + 1)
-    limit = F.element_at(F.array(*map(F.lit, exact)), F.col("label") + 1)
-    kept = saved(inside.where(F.col("__r") - at < limit).select(F.col("id").alias("__id"), F.col("label").alias("shard")))
-    bounds, seen = [], 0
-    for s in range(shards):
-        seen += exact[s] - min(load.get(s, 0), exact[s])
-        bounds.append(seen)
-    # all others fill what is left, in order of their group
-    with_label = base.join(kept, base["id"] == kept["__id"], "left").drop("__id")
-    rest = ranked(with_label.where("shard is null").drop("shard"), "group", "id", name="__r")
-    fill = F.lit(shards - 1)
-    for s in reversed(range(shards - 1)):
-        fill = F.when(F.col("__r") < bounds[s], F.lit(s)).otherwise(fill)
-    everyone = with_label.where("shard is not null").unionByName(rest.withColumn("shard", fill).drop("__r"))
-    # equal texts stand together within a shard
-    final = ranked(everyone, "shard", "group", "id", name="__r")
-    first = F.element_at(F.array(*[F.lit(sum(exact[:s])) for s in range(shards)]).cast("array<long>"), F.col("shard") + 1)
-    return final.select("doc_id", *keep, "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"),
-                        (F.col("__r") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        starts.append(seen_load)
+        spare.append(seen_spare)
+        seen_load += load[s]
+        seen_spare += load[s] - kept[s]
+        seen_free += exact[s] - kept[s]
+        bounds.append(seen_free)
+    starts.append(seen_load)
+    spare.append(seen_spare)
+
+    def at(values: list[int], index: Column) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)).cast("array<long>"), index + 1)
+
+    place = F.col("__pos") - at(starts, F.col("__label"))
+    over = place - at([*kept, 0], F.col("__label"))  # 0, 1, .. for those who give way
+    queue = at(spare, F.col("__label")) + over
+    refuge = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b <= F.col("__queue")))
+    return (order.withColumn("__place", place).withColumn("__over", over).withColumn("__queue", queue)
+            .withColumn("shard", F.when(F.col("__over") < 0, F.col("__label")).otherwise(refuge).cast("int"))
+            .withColumn("slot", F.when(F.col("__over") < 0, F.col("__place")).otherwise(
+                at(kept, F.col("shard")) + F.col("__queue") - at([0, *bounds[:-1]], F.col("shard"))))
+            .select("doc_id", *keep, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard")))
