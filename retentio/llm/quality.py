@@ -178,3 +178,90 @@ def predict(model: Model, raw: np.ndarray, at: np.ndarray, lo: int, hi: int) ->
             evidence = np.minimum(MOST, np.bincount(pairs // len(kinds), odds[pairs % len(kinds)], hi - lo))
         out[:, k] = 1 / (1 + np.exp(-np.clip(np.c_[evidence, x] @ c[:-1] + c[-1], -30, 30)))
     return out
+
+
+def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataFrame:
+    """(doc_id, key, host, path, toxic, poor, good): the classifier's probabilities for each row."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            raw, at = utf8(batch.column(4))
+            p = [predict(sent.value, raw, at, lo, hi) for lo, hi in pieces(at)]
+            p = np.concatenate(p) if p else np.empty((0, 2))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(4)), pa.array(p[:, 0]), pa.array(p[:, 1]),
+                 pa.array((1 - p[:, 0]) * (1 - p[:, 1]))], ["doc_id", "key", "host", "path", "toxic", "poor", "good"])
+
+    none = F.lit("")
+    return docs.select("doc_id", text_key().alias("key"), F.coalesce(host, none).alias("host"),
+                       F.coalesce(path, none).alias("path"), "text").mapInArrow(
+        batches, "doc_id long, key binary, host string, path string, toxic double, poor double, good double")
+
+
+def _strength(rates: DataFrame, mean: Column) -> Column:
+    """Documents that a prior is worth, by moments: sites that differ no more than chance makes a strong one.
+
+    ``rates``: n documents with the sum s, around ``mean``. Between sites the
+    variance is what is left of the spread after binomial noise.
+    """
+    between = F.sum(F.col("n") * ((F.col("s") / F.col("n") - mean) ** 2 - mean * (1 - mean) / F.col("n"))) / F.sum("n")
+    inside = F.sum(F.col("n") * mean * (1 - mean)) / F.sum("n")
+    return F.least(F.greatest(inside / F.greatest(between, F.lit(1e-6)) - 1, F.lit(2.0)), F.lit(1e6))
+
+
+def sites(scored: DataFrame) -> DataFrame:
+    """(host, path, path_n, path_s, host_rate, prior, global_rate): what each path is shrunk to, and how much.
+
+    Three aggregations that combine before the shuffle, each of the one before:
+    rows to paths, paths to hosts, hosts to the whole.
+    """
+    paths = saved(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("s")))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    whole = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    m = F.lit(min(max((whole.s + 0.5) / (whole.n + 1), 1e-6), 1 - 1e-6) if whole.n else 0.5)
+    k_host = hosts.agg(_strength(hosts, m).alias("k")).first().k or 2.0
+    hosts = hosts.select(F.col("host").alias("__host"), F.col("n").alias("host_n"), F.col("s").alias("host_s"),
+                         ((F.col("s") + k_host * m) / (F.col("n") + k_host)).alias("host_rate"))
+    both = saved(paths.join(hosts, F.col("host") == F.col("__host")).drop("__host"))
+    k_path = both.agg(_strength(both, F.col("host_rate")).alias("k")).first().k or 2.0
+    return both.select("host", "path", F.col("n").alias("path_n"), F.col("s").alias("path_s"), "host_n", "host_s",
+                       "host_rate", F.lit(float(k_host)).alias("host_prior"), F.lit(float(k_path)).alias("path_prior"),
+                       m.alias("global_rate"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None,
+             sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text; by default source as host and lang as path).
+
+    Returns doc_id, key of the text, host, path, toxic, poor, good (the
+    document's own evidence), host_rate, path_rate (posteriors without the
+    document itself), score (posterior of the document) and accepted
+    (score >= threshold). A null or empty text is judged by its shape and site;
+    null ids, hosts and paths and repeated rows are rows as others; other
+    columns are not read; an empty table gives an empty table, and without
+    labels everything is accepted.
+    """
+    host = F.col("source") if host is None else host
+    path = F.col("lang") if path is None else path
+    scored = saved(evidence(docs, fit(docs, labels, sample), host, path))
+    s = sites(scored).withColumnsRenamed({"host": "__host", "path": "__path"})
+    j = scored.join(s, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")))
+    host_rate = ((F.col("host_s") - F.col("good") + F.col("host_prior") * F.col("global_rate"))
+                 / (F.col("host_n") - 1 + F.col("host_prior")))
+    j = j.withColumn("host_rate", host_rate).withColumn(
+        "path_rate", (F.col("path_s") - F.col("good") + F.col("path_prior") * F.col("host_rate"))
+        / (F.col("path_n") - 1 + F.col("path_prior")))
+
+    def odds(p: Column) -> Column:
+        q = F.greatest(F.least(p, F.lit(1 - 1e-9)), F.lit(1e-9))
+        return F.log(q / (1 - q))
+
+    logit = odds(F.col("good")) + odds(F.col("path_rate")) - odds(F.col("global_rate"))
+    return (j.withColumn("score", 1 / (1 + F.exp(-logit))).withColumn("accepted", F.col("score") >= threshold)
+            .select("doc_id", "key", "host", "path", "toxic", "poor", "good", "host_rate", "path_rate", "score", "accepted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` accepts, with all their columns."""
+    return without(docs, saved(classify(docs, labels).where(~F.col("accepted")).select("doc_id", "key")))

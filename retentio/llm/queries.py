@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentio.llm import chat, cube, decontaminate, licenses, secret_scan, sharding
+from retentio.llm import chat, cube, decontaminate, licenses, quality, secret_scan, sharding
 from retentio.llm.tables import read
 
 
@@ -38,6 +38,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op3_decontaminate": op3_decontaminate,
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_format_chats": op6_format_chats,
     "op7_shard": op7_shard,
     "op9_secret_scan": op9_secret_scan,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,7 @@ in ``spark.checkpoint.dir``, so a lost executor costs only the tasks at hand.
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,17 @@ from retentio.session import ensure_checkpoint_dir
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver does, from whatever folder they start."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
