@@ -25,7 +25,7 @@ WINDOW = 32
 NEIGHBOURS = 32
 WINS = 12
 #: Texts of fewer bytes have features of their own kind.
-SHORT = 4 * WINDOW
+SHORT = 8 * WINDOW
 LEVELS = 256
 FILTER_BITS = 2048
 BITS_PER_FEATURE = 5
