@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentio.llm import chat, cube, decontaminate, digest, licenses, quality, secret_scan, sharding
+from retentio.llm import chat, cube, decontaminate, digest, licenses, ngram_join, quality, secret_scan, sharding
 from retentio.llm.tables import read
 
 
@@ -38,6 +38,10 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents")))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op6_format_chats": op6_format_chats,
     "op7_shard": op7_shard,
+    "op8_ngram_join": op8_ngram_join,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality": op10_quality,
 }
