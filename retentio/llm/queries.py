@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentio.llm import chat, cube, decontaminate, digest, licenses, ngram_join, quality, secret_scan, sharding
+from retentio.llm import chat, cube, decontaminate, digest, licenses, line_chunks, ngram_join, quality, secret_scan, sharding
 from retentio.llm.tables import read
 
 
@@ -26,6 +26,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.mix(read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.dedup(read(spark, sf_dir, "documents"))
+
+
 def op6_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprint": op2_fingerprint,
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
+    "op5_line_chunks": op5_line_chunks,
     "op6_format_chats": op6_format_chats,
     "op7_shard": op7_shard,
     "op8_ngram_join": op8_ngram_join,
@@ -62,4 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_line_chunks": line_chunks.ORACLE,
+}
