@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.tables import ranked, saved
+from retentio.llm.tables import ranked, saved, text_key
 from retentio.llm.words import NOT_SPACE, Words, pieces, utf8
 
 #: Documents of a first block; later blocks join so many blocks (14 documents each).
@@ -33,15 +33,16 @@ CAP = 3.0
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): ``size`` counts the runs of characters that are not ASCII white space; null has none."""
+    """(doc_id, key, source, size): ``size`` counts the runs of characters that are not ASCII white space; null has none."""
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            raw, at = utf8(batch.column(2))
+            raw, at = utf8(batch.column(3))
             n = [c for lo, hi in pieces(at) for c in Words(raw, at, lo, hi, NOT_SPACE, hashed=False).counts()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())],
-                                             ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n, pa.int64())],
+                                             ["doc_id", "key", "source", "size"])
 
-    return docs.select("doc_id", "source", "text").mapInArrow(batches, "doc_id long, source string, size long")
+    return docs.select("doc_id", text_key().alias("key"), "source", "text").mapInArrow(
+        batches, "doc_id long, key binary, source string, size long")
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP) -> DataFrame:
@@ -142,14 +143,15 @@ def _flight(last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source): size, source, source_size, target, copies, taken.
+    """One row per row of ``docs`` (doc_id, text, source): key (of the text), source, size,
+    source_size, target, copies, taken.
 
     ``copies`` (0 .. ceil(cap)) says how often the mix takes the document,
     ``taken`` = copies * size. A null or empty text has size 0 and may be taken
     without cost; null ids, a null source and repeated rows are rows as others;
     other columns are not read; an empty table gives an empty table.
     """
-    narrow = saved(sizes(docs).withColumn("spread", F.xxhash64("doc_id", "size", "source")))
+    narrow = saved(sizes(docs).withColumn("spread", F.xxhash64("doc_id", "key", "source")))
     totals = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
     goal = saved(targets(totals, weights, cap))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -162,7 +164,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP,
     blocks = -(-most // block)
     number: Column = F.pmod(F.col("spread"), F.col("blocks"))
     state = state.withColumn("block", number).select(
-        "doc_id", "source", "size", "spread", "source_size", "target", "whole", "p", "block")
+        "doc_id", "key", "source", "size", "spread", "source_size", "target", "whole", "p", "block")
     schema = state.schema
     done = []
     while True:
@@ -178,5 +180,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP,
     for d in done[1:]:
         out = out.unionByName(d)
     copies = (F.col("whole") + F.col("p")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
+    return out.select("doc_id", "key", "source", "size", "source_size", "target", copies.alias("copies"),
                       (copies * F.col("size")).alias("taken"))
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it, with all their columns.
+
+    Rows of equal id, text and source share what the mix takes of them.
+    """
+    taken = saved(mix(docs, weights, cap).where("copies > 0").groupBy("doc_id", "key", "source").agg(
+        F.sum("copies").alias("__copies")))
+    t = taken.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("source").alias("__s"), "__copies")
+    keyed = docs.withColumn("__key", text_key())
+    alike = keyed.groupBy("doc_id", "__key", "source").agg(F.count("*").alias("__n")).where("__n > 1").select(
+        F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), F.col("source").alias("__s"))
+    if alike.head(1):  # equal rows: one of them stands for all
+        keyed = keyed.dropDuplicates(["doc_id", "__key", "source"])
+    return (keyed.join(t, keyed["doc_id"].eqNullSafe(t["__id"]) & (keyed["__key"] == t["__k"])
+                       & keyed["source"].eqNullSafe(t["__s"]))
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+            .select(*docs.columns))

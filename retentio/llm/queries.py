@@ -23,7 +23,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube.mix(read(spark, sf_dir, "documents")).drop("copies")
+    return cube.mix(read(spark, sf_dir, "documents")).drop("key", "copies")
 
 
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
