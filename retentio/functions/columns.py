@@ -25,9 +25,14 @@ def nan_to_null(c: Column) -> Column:
     return F.when(F.isnan(d) | d.isin(float("inf"), float("-inf")), F.lit(None).cast("double")).otherwise(c)
 
 
-def to_number(c: Column) -> Column:
-    """Coerce to double; text that is not a number becomes NULL (ANSI-safe)."""
-    return c.try_cast("double")
+def js_round(c: Column) -> Column:
+    """To the nearest whole number, halves upwards (also below zero)."""
+    return F.floor(c + 0.5)
+
+
+def js_number(c: Column) -> Column:
+    """A number as text: whole ones without a decimal point."""
+    return F.when(c == F.floor(c), F.floor(c).cast("bigint").cast("string")).otherwise(c.cast("double").cast("string"))
 
 
 def round_half_away(c: Column, digits: int) -> Column:

@@ -83,6 +83,14 @@ REQUIRED_COLUMNS = [
 # id column names looked for, first match wins
 ID_CANDIDATES = ["Customer_ID", "CustomerID", "customer_id", "Customer Id", "Customer"]
 
+# FIXED VALUES: example figures of the impact panel
+IMPACT_EXAMPLES = {"estimated_clv": 18750.0, "retention_budget": 1250.0, "potential_revenue_loss": 4250.0,
+                   "roi_retention": 3.4}
+
+# FIXED VALUES: prediction columns that end a report, in this order
+REPORT_LAST = ["Churn_Probability", "Churn_Probability_Percent", "Risk_Level", "Predicted_Churn",
+               "Retention_Recommendation"]
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES: category synonyms and binary codes (training data cleanup)
 # ---------------------------------------------------------------------------
@@ -192,6 +200,8 @@ DRIVER_LABELS = {
 KPI_CHURN_TARGET = 0.15
 KPI_TENURE_TARGET = 12.0
 KPI_DAYS_TARGET = 7.0
+KPI_DAYS_SCALE = 30.0  # full width of the progress bars
+KPI_SATISFACTION_SCALE = 5.0
 KPI_SATISFACTION_TARGET = 4.0
 
 # executive wording per record band: (category, level, advice)
@@ -233,3 +243,32 @@ SUMMARY_METRICS = [
 # number of importances considered and kept by the contribution operator
 CONTRIBUTION_CANDIDATES = 30
 CONTRIBUTION_TOP_N = 10
+
+# FIXED VALUES: lines of the per-customer text report ({..}: what Spark fills in)
+TEXT_REPORT = [
+    "CUSTOMER CHURN RISK ANALYSIS REPORT",
+    "===================================",
+    "Generated: {generated}",
+    "",
+    "EXECUTIVE SUMMARY",
+    "-----------------",
+    "• Churn Probability: {percent}%",
+    "• Risk Level: {band}",
+    "• Potential Revenue Loss (Estimated): {loss}",
+    "• Primary Risk Factor: {factor}",
+    "",
+    "RETENTION RECOMMENDATIONS",
+    "-------------------------",
+    "PRIORITY: {band}",
+    "1. {reco1}",
+    "2. {reco2}",
+    "3. {reco3}",
+    "",
+    "BUSINESS IMPACT ANALYSIS",
+    "------------------------",
+    "• Estimated Customer Value: {clv}",
+    "• Recommended Retention Budget: {budget}",
+    "• ROI Potential: {roi}",
+    "",
+    "--- END OF REPORT",
+]

@@ -70,7 +70,7 @@ def stratified_split(df: DataFrame, label: str = "Churn", key: Column | None = N
         k_train = n - (n * (100 - train_pct) + 99) // 100
         cut_rank[cls] = k_train - 1
         if k_train >= 1:
-            keys[(cls, 0)] = {"size": n, "ranks": (k_train - 1, k_train - 1)}
+            keys[(cls, 0)] = {"ranks": (k_train - 1, k_train - 1)}
     if keys:
         select_ranks(tagged.select(lab.alias("column"), F.col("__h").alias("value")), keys)
     cut = {cls: (keys[(cls, 0)]["found"][cut_rank[cls]] if (cls, 0) in keys else -1.0) for cls in counts}

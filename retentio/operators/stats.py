@@ -7,13 +7,11 @@ Scale notes
   ``(-count, value)`` -- two combinable aggregates, lowest value wins a tie.
 * median / quantiles: exact, without pulling a column into one task. Spark's
   ``median`` keeps every distinct value of a global group in one buffer,
-  which does not hold at 100 TB. Instead a selection narrows a rank window:
-  a mergeable ``percentile_approx`` sketch brackets the target rank, exact
-  conditional counts place the brackets, and only the rows between them are
-  kept for the next round (~1000x fewer each round). Once every column's
-  window is below ``exact_limit`` rows, ``row_number`` over the window
-  (partitioned by column, so bounded) picks the exact order statistics. A
-  window holding a single (hot) value resolves at once.
+  which does not hold at 100 TB. Instead a selection narrows value
+  intervals: a mergeable ``percentile_approx`` sketch gives two values around
+  each rank, exact conditional counts place them, and the interval shrinks
+  several hundredfold a round. It is the same at every size, and no row is
+  ever ranked (``select_ranks``).
 
 The result is a small DataFrame ``(column, kind, n_valid, mean, median,
 mode)``; ``Stats`` holds it as plain values (one per column) for literal
@@ -25,12 +23,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentio.functions.columns import nan_to_null, numeric_columns, string_columns
-from retentio.functions.fixed import CATEGORICAL_DEFAULTS, NUMERIC_DEFAULTS
+from retentio.functions.fixed import CATEGORICAL_DEFAULTS, ID_CANDIDATES, NUMERIC_DEFAULTS
 
 STATS_SCHEMA = T.StructType([
     T.StructField("column", T.StringType(), False),
@@ -41,7 +39,8 @@ STATS_SCHEMA = T.StructType([
     T.StructField("mode", T.StringType(), True),
 ])
 
-DEFAULT_EXCLUDE = ("CustomerID", "Customer_ID", "customer_id", "Churn")
+#: Every spelling of the id column, and the label.
+DEFAULT_EXCLUDE = (*ID_CANDIDATES, "Churn")
 
 
 @dataclass
@@ -106,140 +105,97 @@ def _long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
             .where(F.col("value").isNotNull()))
 
 
-def _refine(long: DataFrame, state: dict, exact_limit: int, max_rounds: int, accuracy: int = 10_000) -> None:
-    """Narrow each column's rank window until it holds <= ``exact_limit`` rows.
-
-    ``state[column]`` = {lo, hi, below, size, ranks, found}: the window is the
-    closed value range [lo, hi] (None = unbounded), ``below`` the exact number
-    of values under it. One round = two combinable aggregates over the
-    current windows only:
-      1. ``percentile_approx`` (a mergeable sketch, rank error <= size/accuracy)
-         gives two values bracketing the target ranks with a margin of three
-         sketch errors;
-      2. exact conditional counts of values below / at-or-below them.
-    If the targets fall between the brackets the window shrinks to them
-    (~accuracy/6 times smaller); otherwise the margin is widened. A window
-    whose two brackets are equal is a single (hot) value: resolved at once.
-    Per-row work is a map lookup and two comparisons, all codegen'd.
-    """
-    for _ in range(max_rounds):
-        open_cols = [c for c, st in state.items()
-                     if st["size"] > exact_limit and len(st["found"]) < len(set(st["ranks"]))]
-        if not open_cols:
-            return
-        cand = long.where(_any_window({c: state[c] for c in open_cols}))
-        # 1. brackets from the sketch, as positions relative to the window
-        probs = {}
-        for c in open_cols:
-            st = state[c]
-            m = st["size"]
-            margin = st.setdefault("margin", 3.0) / accuracy
-            lo_p = max(0.0, (min(st["ranks"]) - st["below"]) / max(m - 1, 1) - margin)
-            hi_p = min(1.0, (max(st["ranks"]) - st["below"]) / max(m - 1, 1) + margin)
-            probs[c] = (lo_p, hi_p)
-        pcts = [p for c in open_cols for p in probs[c]]
-        sk = {}
-        for r in cand.groupBy("column").agg(
-                F.percentile_approx("value", pcts, accuracy).alias("qs")).collect():  # one row per column
-            i = open_cols.index(r["column"])
-            sk[r["column"]] = (r["qs"][2 * i], r["qs"][2 * i + 1])
-        # 2. exact counts below each bracket
-        lo_v = F.create_map(*[x for c in open_cols if c in sk for x in (F.lit(c), F.lit(float(sk[c][0])))])
-        hi_v = F.create_map(*[x for c in open_cols if c in sk for x in (F.lit(c), F.lit(float(sk[c][1])))])
-        v, col = F.col("value"), F.col("column")
-        counted = {r["column"]: r for r in cand.groupBy("column").agg(
-            F.count_if(v < F.element_at(lo_v, col)).alias("n_lt"),
-            F.count_if(v <= F.element_at(hi_v, col)).alias("n_le")).collect()}  # one row per column
-        for c in open_cols:
-            st = state[c]
-            if c not in sk or c not in counted:
-                st["size"] = 0
-                continue
-            lo, hi = float(sk[c][0]), float(sk[c][1])
-            n_lt, n_le = counted[c]["n_lt"], counted[c]["n_le"]
-            k_lo, k_hi = min(st["ranks"]), max(st["ranks"])
-            start, end = st["below"] + n_lt, st["below"] + n_le  # ranks [start, end) lie in [lo, hi]
-            if start <= k_lo and k_hi < end:
-                if lo == hi:  # one value holds every target rank
-                    for k in set(st["ranks"]):
-                        st["found"][k] = lo
-                    st["size"] = 0
-                    continue
-                st["lo"], st["hi"], st["below"], st["size"] = lo, hi, start, end - start
-            else:
-                st["margin"] = st["margin"] * 4  # the sketch missed: widen, keep the window
-
+#: Grid of the sketch: a round narrows an interval to a few of so many parts.
+GRID = 1000
+#: Far more rounds than any column needs (each narrows several hundredfold).
+MOST_ROUNDS = 64
 
-def _window(c: str, st: dict):
-    """Rows of column ``c`` inside its current closed window [lo, hi]."""
-    cond = F.col("column") == c
-    if st["lo"] is not None:
-        cond = cond & (F.col("value") >= st["lo"])
-    if st["hi"] is not None:
-        cond = cond & (F.col("value") <= st["hi"])
-    return cond
 
+def _number(of: dict[str, tuple], i: int) -> Column:
+    """The i-th number that ``of`` holds for a row's column."""
+    return F.element_at(F.create_map(*[x for c, v in of.items() for x in (F.lit(c), F.lit(float(v[i])))]), F.col("column"))
 
-def _any_window(state: dict):
-    cond = None
-    for c, st in state.items():
-        cond = _window(c, st) if cond is None else cond | _window(c, st)
-    return cond
 
-
-def select_ranks(long: DataFrame, keys: dict, exact_limit: int = 2_000_000, max_rounds: int = 12,
-                 accuracy: int = 10_000) -> None:
+def select_ranks(long: DataFrame, keys: dict, accuracy: int = 10 * GRID) -> None:
     """Exact order statistics of a (column, value) long table.
 
-    ``keys[(column, tag)]`` = {"size": n, "ranks": (r1, r2)} (0-based ranks
-    among the column's values); on return each key has ``found[rank]``.
-    Keys of one ``tag`` are refined together (one key per column per round).
+    ``keys[(column, tag)]`` = {"ranks": (r1, r2)} (0-based ranks among the
+    column's values); on return each key has ``found[rank]``.
+
+    Every open rank lies in a value interval (lo, hi]. A round is two
+    combinable aggregates over all open intervals of all columns: a mergeable
+    sketch gives two values of the interval on either side of the rank, exact
+    counts place both, and the nearest values beyond them are noted. A rank
+    within the run of one of these values is found, also when it lies at the
+    edge between two hot values; else its interval shrinks to what lies
+    between them. Rows are never ranked or gathered, whatever the column.
     """
-    for st in keys.values():
-        st.update({"lo": None, "hi": None, "below": 0})
-        st.setdefault("found", {})
-    for tag in sorted({t for _, t in keys}, key=str):
-        _refine(long, {c: st for (c, t), st in keys.items() if t == tag}, exact_limit, max_rounds, accuracy)
-
-    pending = {k: st for k, st in keys.items() if len(st["found"]) < len(set(st["ranks"]))}
-    if not pending:
-        return
-    # keys whose windows coincide (e.g. all quartiles of a column that
-    # needed no refinement) share ONE ranking of that window
-    windows: dict[tuple, dict] = {}
-    for k, st in pending.items():
-        wk = (k[0], st["lo"], st["hi"], st["below"])
-        w = windows.setdefault(wk, {"name": f"w{len(windows)}", "st": st, "keys": [], "ranks": set()})
-        w["keys"].append(k)
-        w["ranks"].update(st["ranks"])
-    cols_of = [wk[0] for wk in windows]
-    if len(set(cols_of)) == len(cols_of):
-        # at most one window per column: a row belongs to at most one window
-        tag = None
-        for wk, w in windows.items():
-            tag = (F.when(_window(wk[0], w["st"]), F.lit(w["name"])) if tag is None
-                   else tag.when(_window(wk[0], w["st"]), F.lit(w["name"])))
-        cand = long.select("value", tag.alias("key")).where(F.col("key").isNotNull())
-    else:  # overlapping windows of one column: a row may serve several
-        tags = [F.when(_window(wk[0], w["st"]), F.lit(w["name"])) for wk, w in windows.items()]
-        cand = long.select("value", F.explode(F.array_compact(F.array(*tags))).alias("key"))
-    below = F.create_map(*[x for w in windows.values() for x in (F.lit(w["name"]), F.lit(w["st"]["below"]))])
-    win = Window.partitionBy("key").orderBy("value")  # each window holds <= exact_limit rows
-    ranked = cand.withColumn("rank", F.row_number().over(win) - 1 + F.element_at(below, F.col("key")))
-    wanted = None
-    for w in windows.values():
-        t = (F.col("key") == w["name"]) & F.col("rank").isin(*sorted(w["ranks"]))
-        wanted = t if wanted is None else wanted | t
-    by_name = {w["name"]: w for w in windows.values()}
-    for r in ranked.where(wanted).select("key", "rank", "value").collect():  # <= 2 rows per key
-        for k in by_name[r["key"]]["keys"]:
-            if r["rank"] in keys[k]["ranks"]:
-                keys[k]["found"][r["rank"]] = r["value"]
+    ranks: dict[tuple[str, int], dict] = {}
+    for (c, _), st in keys.items():
+        for r in st["ranks"]:
+            ranks.setdefault((c, r), {"lo": -math.inf, "hi": math.inf, "below": 0, "upto": None, "value": None})
+    value, column = F.col("value"), F.col("column")
+    for _ in range(MOST_ROUNDS):
+        open_ = {k: st for k, st in ranks.items() if st["value"] is None}
+        if not open_:
+            break
+        # ranks of one column with one interval share a slot
+        slots: dict[str, list[tuple[float, float]]] = {}
+        for (c, _), st in open_.items():
+            slots.setdefault(c, [])
+            if (st["lo"], st["hi"]) not in slots[c]:
+                slots[c].append((st["lo"], st["hi"]))
+        width = max(map(len, slots.values()))
+        cand = long.where(column.isin(*slots))
+        aggs = []
+        for j in range(width):
+            of = {c: v[j] for c, v in slots.items() if j < len(v)}
+            inside = (column.isin(*of) & (value > _number(of, 0)) & (value <= _number(of, 1)))
+            aggs += [F.percentile_approx(F.when(inside, value), [i / GRID for i in range(GRID + 1)], accuracy).alias(f"q{j}"),
+                     F.count_if(inside).alias(f"n{j}")]
+        sketch = {r["column"]: r for r in cand.groupBy("column").agg(*aggs).collect()}  # one row per column
+        pivots: dict[str, list[float]] = {c: [] for c in slots}
+        for (c, r), st in open_.items():
+            j = slots[c].index((st["lo"], st["hi"]))
+            if c not in sketch or not sketch[c][f"n{j}"]:
+                raise ValueError(f"rank {r} is beyond the values of column {c}")
+            at = (r - st["below"]) / sketch[c][f"n{j}"] * GRID
+            for i in (math.floor(at) - 1, math.ceil(at) + 1):
+                v = float(sketch[c][f"q{j}"][min(max(i, 0), GRID)])
+                if v not in pivots[c]:
+                    pivots[c].append(v)
+        placed: dict[tuple[str, float], tuple] = {}
+        aggs = []
+        for i in range(max(map(len, pivots.values()))):
+            of = {c: (v[i],) for c, v in pivots.items() if i < len(v)}
+            mine, pivot = column.isin(*of), _number(of, 0)
+            aggs += [F.count_if(mine & (value < pivot)).alias(f"lt{i}"), F.count_if(mine & (value <= pivot)).alias(f"le{i}"),
+                     F.max(F.when(mine & (value < pivot), value)).alias(f"before{i}"),
+                     F.min(F.when(mine & (value > pivot), value)).alias(f"after{i}")]
+        for row in cand.groupBy("column").agg(*aggs).collect():  # one row per column
+            for i, v in enumerate(pivots[row["column"]]):
+                placed[row["column"], v] = (row[f"lt{i}"], row[f"le{i}"], row[f"before{i}"], row[f"after{i}"])
+        for (c, r), st in open_.items():
+            for v in pivots[c]:
+                lt, le, before, after = placed[c, v]
+                if lt <= r < le:
+                    st["value"] = v
+                elif r == lt - 1:
+                    st["value"] = float(before)
+                elif r == le:
+                    st["value"] = float(after)
+                elif r > le and v > st["lo"]:
+                    st["lo"], st["below"] = v, le
+                elif r < lt and before < st["hi"]:
+                    st["hi"] = float(before)
+    else:
+        raise RuntimeError(f"order statistics not found in {MOST_ROUNDS} rounds")
+    for (c, _), st in keys.items():
+        st["found"] = {r: ranks[c, r]["value"] for r in st["ranks"]}
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], counts: dict[str, int], qs: list[float],
-                    exact_limit: int = 2_000_000, max_rounds: int = 12, accuracy: int = 10_000
-                    ) -> dict[str, dict[float, float]]:
+                    accuracy: int = 10 * GRID) -> dict[str, dict[float, float]]:
     """Exact linear-interpolated quantiles per column (see module notes).
 
     Quantile q of n values sits at position q*(n-1); the two neighbouring
@@ -257,9 +213,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], counts: dict[str, int], qs:
         for qi, qv in enumerate(qs):
             pos = qv * (n - 1)
             lo = int(math.floor(pos))
-            keys[(c, qi)] = {"size": n, "ranks": (lo, int(math.ceil(pos))), "frac": pos - lo}
+            keys[(c, qi)] = {"ranks": (lo, int(math.ceil(pos))), "frac": pos - lo}
     if keys:
-        select_ranks(_long_numeric(df, cols), keys, exact_limit, max_rounds, accuracy)
+        select_ranks(_long_numeric(df, cols), keys, accuracy)
     for (c, qi), st in keys.items():
         lo_r, hi_r = st["ranks"]
         a, b = st["found"][lo_r], st["found"][hi_r]
@@ -274,14 +230,14 @@ def exact_medians(df: DataFrame, cols: list[str], counts: dict[str, int], **kw)
 
 
 def column_stats(df: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None,
-                 exclude: tuple[str, ...] = DEFAULT_EXCLUDE, exact_limit: int = 2_000_000) -> DataFrame:
+                 exclude: tuple[str, ...] = DEFAULT_EXCLUDE) -> DataFrame:
     """The statistics table ``(column, kind, n_valid, mean, median, mode)``."""
-    rows = stats_rows(df, numeric, categorical, exclude, exact_limit)
+    rows = stats_rows(df, numeric, categorical, exclude)
     return df.sparkSession.createDataFrame(rows, STATS_SCHEMA)
 
 
 def stats_rows(df: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None,
-               exclude: tuple[str, ...] = DEFAULT_EXCLUDE, exact_limit: int = 2_000_000) -> list[tuple]:
+               exclude: tuple[str, ...] = DEFAULT_EXCLUDE) -> list[tuple]:
     """The statistics as plain rows, one per column (already on the driver)."""
     numeric = numeric if numeric is not None else numeric_columns(df, exclude)
     categorical = categorical if categorical is not None else string_columns(df, exclude)
@@ -306,7 +262,7 @@ def stats_rows(df: DataFrame, numeric: list[str] | None = None, categorical: lis
             modes[r["column"]] = r["mode"]
 
     counts = {c: wide[f"n::{c}"] for c in numeric}
-    medians = exact_medians(df, numeric, counts, exact_limit=exact_limit)
+    medians = exact_medians(df, numeric, counts)
 
     rows = []
     for c in numeric:

@@ -8,7 +8,10 @@ reuse it several times persist or write it once (``materialise``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentio.functions.columns import percent_text
@@ -17,7 +20,7 @@ from retentio.operators.features import business_features
 from retentio.operators.risk import band_batch, batch_recommendation
 from retentio.operators.score import score_with_model
 from retentio.operators.stats import Stats
-from retentio.plans.mart import customer_mart
+from retentio.session import ensure_checkpoint_dir
 
 CLIPPED = ("OrderCount", "Tenure", "DaySinceLastOrder")
 PREDICTION_COLUMNS = ["Churn_Probability", "Predicted_Churn_Numeric", "Risk_Level", "Retention_Recommendation",
@@ -49,41 +52,14 @@ def score_customers(cleaned: DataFrame, stats: Stats, model="scorecard") -> Data
         F.when(F.col("Predicted_Churn_Numeric") == 1, "Yes").otherwise("No").alias("Predicted_Churn"))
 
 
-def mart_scored(spark: SparkSession, sf_dir: str, model="scorecard", strategy: str = "median") -> DataFrame:
-    customers = materialise(customer_mart(spark, sf_dir))
-    cleaned, stats = clean_customers(customers, strategy=strategy)
-    return score_customers(cleaned, stats, model)
-
+def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """``df`` as a parquet table in the shared folder (``spark.checkpoint.dir``).
 
-def materialise(df: DataFrame, mode: str = "persist") -> DataFrame:
-    """Reuse a table across the statistics and fill passes.
-
-    ``persist`` keeps lineage (a lost executor recomputes its blocks);
-    ``table`` writes parquet under the shared ``spark.checkpoint.dir`` and
-    reads it back -- lineage cut, and later reads get column pruning and
-    filter pushdown; ``checkpoint`` is Spark's RDD checkpoint into the same
-    folder. Never a machine-local checkpoint.
+    Lineage ends here, a lost executor costs nothing that was written, and
+    later reads get column pruning, filter pushdown and, with
+    ``partition_by``, pruning by folder.
     """
-    if mode == "table":
-        import os
-        import uuid
-
-        from retentio.session import ensure_checkpoint_dir
-        try:
-            base = ensure_checkpoint_dir(df.sparkSession)
-        except Exception:  # noqa: BLE001  (no SparkContext, e.g. Connect: keep lineage)
-            return df.persist()
-        path = os.path.join(base, "tables", uuid.uuid4().hex)
-        df.write.parquet(path)
-        return df.sparkSession.read.parquet(path)
-    if mode == "checkpoint":
-        from retentio.session import ensure_checkpoint_dir
-        try:
-            ensure_checkpoint_dir(df.sparkSession)
-        except Exception:  # noqa: BLE001  (no SparkContext, e.g. Connect: keep lineage)
-            return df.persist()
-        cached = df.persist()  # the checkpoint job then reads the cache, not the joins again
-        out = cached.checkpoint(eager=True)
-        cached.unpersist()
-        return out
-    return df.persist()
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), "tables", uuid.uuid4().hex)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

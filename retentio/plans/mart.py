@@ -13,8 +13,8 @@ Plan shape (what scales):
 * order rows, line facts and event rows are UNIONed and aggregated ONCE per
   customer (partial aggregation map-side, one shuffle), then joined ONCE to
   ``customer`` -- instead of one aggregate and one join per source;
-* the priority mode is five conditional counts over TPC-H's fixed priority
-  domain (combinable, hash aggregation, ties to the lowest priority).
+* the priority mode is one conditional count for each of TPC-H's priorities
+  and one for all others (combinable, hash aggregation, ties to the lowest).
 No window, no collect, no Python.
 """
 
@@ -106,6 +106,9 @@ def customer_mart(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> D
     in_hist = F.col("od") < asof
     prio_counts = [F.count_if(in_hist & (F.col("prio") == p)).alias(f"prio_{i}")
                    for i, p in enumerate(PRIORITY_DOMAIN)]
+    # any other priority counts as one more kind, and maps to no payment mode
+    prio_counts.append(F.count_if(in_hist & ~F.coalesce(F.col("prio").isin(PRIORITY_DOMAIN), F.lit(False)))
+                       .alias("prio_other"))
     facts = facts_in.groupBy("custkey").agg(
         F.min(F.when(in_hist, F.col("od"))).alias("first_od"),
         F.max(F.when(in_hist, F.col("od"))).alias("last_od"),
@@ -123,12 +126,13 @@ def customer_mart(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> D
     j = cust.join(facts, "custkey", "left")
 
     # most frequent priority, lowest on a tie (the domain is in ascending order)
-    counts = [F.col(f"prio_{i}") for i in range(len(PRIORITY_DOMAIN))]
+    known = [F.col(f"prio_{i}") for i in range(len(PRIORITY_DOMAIN))]
+    counts = [*known, F.col("prio_other")]
     top = F.greatest(*counts)
     top_priority = None
     for i, p in enumerate(PRIORITY_DOMAIN):
-        top_priority = (F.when(counts[i] == top, F.lit(p)) if top_priority is None
-                        else top_priority.when(counts[i] == top, F.lit(p)))
+        top_priority = (F.when(known[i] == top, F.lit(p)) if top_priority is None
+                        else top_priority.when(known[i] == top, F.lit(p)))
     n_priorities = sum((c > 0).cast("int") for c in counts)
     has_hist = F.col("first_od").isNotNull()
 
@@ -151,11 +155,10 @@ def customer_mart(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> D
         F.datediff(asof, F.col("last_od")).cast("double").alias("DaySinceLastOrder"),
         F.when(F.col("c_acctbal") >= 0, F.col("cashback").cast("double")).alias("CashbackAmount"),
         F.when(has_hist, n_priorities).cast("int").alias("NumberOfDeviceRegistered"),
-        F.when(F.col("n_suppliers").isNotNull(), F.least(F.col("n_suppliers"), F.lit(10))).cast("int")
-        .alias("NumberOfAddress"),
+        F.col("n_suppliers").cast("int").alias("NumberOfAddress"),
         F.when(k % 17 != 0, _pick(k % 3, LOGIN_BY_MOD3)).alias("PreferredLoginDevice"),
         _map_expr(F.when(has_hist, top_priority), PRIORITY_TO_PAYMENT).alias("PreferredPaymentMode"),
-        _map_expr(F.col("c_mktsegment"), SEGMENT_TO_CATEGORY).alias("PreferedOrderCat"),
+        F.coalesce(_map_expr(F.col("c_mktsegment"), SEGMENT_TO_CATEGORY), F.col("c_mktsegment")).alias("PreferedOrderCat"),
         _pick(k % 2, GENDER_BY_MOD2).alias("Gender"),
         _pick(F.floor(k / 3) % 3, MARITAL_BY_MOD3).alias("MaritalStatus"),
         F.when(F.col("active_next").isNull(), 1).otherwise(0).cast("int").alias("Churn"),

@@ -87,7 +87,7 @@ mart AS (
     CAST(date_diff('day', f.last_od, DATE '1996-07-01') AS DOUBLE) AS DaySinceLastOrder,
     CASE WHEN c.c_acctbal >= 0 THEN CAST(lf.cashback AS DOUBLE) END AS CashbackAmount,
     CAST(pm.n_priorities AS INTEGER) AS NumberOfDeviceRegistered,
-    CAST(CASE WHEN lf.n_suppliers IS NOT NULL THEN least(lf.n_suppliers, 10) END AS INTEGER) AS NumberOfAddress,
+    CAST(lf.n_suppliers AS INTEGER) AS NumberOfAddress,
     CASE WHEN c.c_custkey % 17 <> 0 THEN
       CASE c.c_custkey % 3 WHEN 0 THEN 'Phone' WHEN 1 THEN 'Mobile Phone' WHEN 2 THEN 'Computer' END
     END AS PreferredLoginDevice,

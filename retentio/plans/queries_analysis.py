@@ -12,9 +12,12 @@ from retentio.plans import oracle_sql as O
 from retentio.plans.catalog import register, scored, stable
 
 P = "Churn_Probability"
-# scorecard importances: |weight|, the scorecard's own parameters, normalised
-_W = [(c, abs(w)) for c, w in FX.SCORECARD_WEIGHTS]
-IMPORTANCES = [(c, w / sum(x for _, x in _W)) for c, w in _W]
+# A stated list of driver weights (a parameter of the queries below): more than the
+# ten that are kept, so that the cut, all three labels and the multipliers are at work.
+IMPORTANCES = [("Tenure", 0.16), ("CashbackAmount", 0.12), ("DaySinceLastOrder", 0.11), ("Complain", 0.10),
+               ("SatisfactionScore", 0.09), ("WarehouseToHome", 0.08), ("NumberOfAddress", 0.07),
+               ("OrderAmountHikeFromlastYear", 0.07), ("OrderCount", 0.06), ("CouponUsed", 0.05),
+               ("HourSpendOnApp", 0.05), ("CityTier", 0.04)]
 
 
 # ---------------------------------------------------------------------------
@@ -39,7 +42,7 @@ def _contrib_sql():
             m = f"CASE WHEN {v} < {O.dbl(b)} THEN 1 + ({O.dbl(b)} - {v}) / {O.dbl(b)} ELSE {O.dbl(1.0)} END"
         else:
             m = O.dbl(1.0)
-        entries.append(f"SELECT CustomerID, {O.q(R._title(feat))} AS Feature, "
+        entries.append(f"SELECT CustomerID, {O.q(feat.title())} AS Feature, "
                        f"{O.dbl(w)} * greatest({O.dbl(0.1)}, {m}) AS raw FROM scored")
     body = f"""
 SELECT CustomerID, Feature, CAST(rk AS INTEGER) AS rank,
@@ -61,10 +64,12 @@ def q_r10(spark, sf):
 
 
 def _r12_sql():
-    top = R._title(max(IMPORTANCES, key=lambda t: t[1])[0])
-    return O.chain("scored", f"SELECT CustomerID, {O.q(top)} AS top_driver, "
-                             f"coalesce(map_extract_value(MAP {{{', '.join(f'{O.q(k)}: {O.q(v)}' for k, v in FX.DRIVER_LABELS.items())}}}, "
-                             f"lower({O.q(top)})), {O.q(top)}) AS top_driver_label FROM scored")
+    whole = _contrib_sql()
+    head = whole[:whole.index("SELECT CustomerID, Feature, CAST(rk")]
+    labels = ", ".join(f"{O.q(k)}: {O.q(v)}" for k, v in FX.DRIVER_LABELS.items())
+    rest = whole[whole.index("SELECT CustomerID, Feature, CAST(rk"):]
+    return (f"{head}SELECT CustomerID, Feature AS top_driver, coalesce(map_extract_value(MAP {{{labels}}}, lower(Feature)), "
+            f"Feature) AS top_driver_label FROM ({rest}) WHERE rank = 1")
 
 
 @register("r12_r14_top_driver", _r12_sql())
@@ -101,23 +106,32 @@ def _factor_sql():
   ELSE {O.q(FX.FACTOR_FALLBACK_LOW)} END"""
 
 
-@register("r13_primary_factor", O.chain("scored", f"SELECT CustomerID, {_factor_sql()} AS primary_risk_factor "
-                                                  f"FROM scored"))
+def _r13_sql():
+    drivers = _r12_sql()
+    head = drivers[:drivers.index("SELECT CustomerID, Feature AS top_driver")]
+    rest = drivers[drivers.index("SELECT CustomerID, Feature AS top_driver"):]
+    return (f"{head}SELECT s.CustomerID, s.factor AS primary_risk_factor, t.top_driver_label AS with_driver FROM "
+            f"(SELECT CustomerID, {_factor_sql()} AS factor FROM scored) s JOIN ({rest}) t ON t.CustomerID = s.CustomerID")
+
+
+@register("r13_primary_factor", _r13_sql())
 def q_r13(spark, sf):
-    return scored(spark, sf).select("CustomerID", R.primary_risk_factor().alias("primary_risk_factor"))
+    s = scored(spark, sf)
+    return s.select("CustomerID", R.primary_risk_factor().alias("primary_risk_factor"),
+                    R.primary_risk_factor(driver=R.top_driver(s, IMPORTANCES)).alias("with_driver"))
 
 
 def _kpi_sql():
     def prog(c, t):
         return f"least({c} / {O.dbl(t)} * 100, {O.dbl(100.0)})"
     rows = [
-        ("churn_risk", "round(Churn_Probability * 1000) / 10", "<15%", f"Churn_Probability > {O.dbl(0.15)}",
+        ("churn_risk", "floor(Churn_Probability * 1000 + 0.5) / 10", "<15%", f"Churn_Probability > {O.dbl(0.15)}",
          "CAST(NULL AS DOUBLE)"),
         ("tenure", "Tenure", ">12 mo", f"Tenure > {O.dbl(12.0)}", prog("Tenure", 12.0)),
         ("days_since_order", "DaySinceLastOrder", "<7 d", f"DaySinceLastOrder > {O.dbl(7.0)}",
-         prog("DaySinceLastOrder", 7.0)),
+         prog("DaySinceLastOrder", 30.0)),
         ("satisfaction", "SatisfactionScore", ">4/5", f"SatisfactionScore > {O.dbl(4.0)}",
-         prog("SatisfactionScore", 4.0)),
+         f"SatisfactionScore / {O.dbl(5.0)} * 100"),
     ]
     parts = [f"SELECT CustomerID, '{m}' AS metric, CAST({cur} AS DOUBLE) AS current, '{t}' AS target, "
              f"CASE WHEN {cond} THEN 'Above Target' ELSE 'Below Target' END AS comparison, "
@@ -145,8 +159,8 @@ def q_r16(spark, sf):
     return scored(spark, sf).select("CustomerID", *R.exec_wording())
 
 
-@register("r17_percentages", O.round_all(O.chain("scored", "SELECT CustomerID, round(Churn_Probability * 1000) / 10 "
-                                                 "AS churn_risk_pct, round((1 - Churn_Probability) * 1000) / 10 "
+@register("r17_percentages", O.round_all(O.chain("scored", "SELECT CustomerID, floor(Churn_Probability * 1000 + 0.5) / 10 "
+                                                 "AS churn_risk_pct, floor((1 - Churn_Probability) * 1000 + 0.5) / 10 "
                                                  "AS retention_pct FROM scored"), ["churn_risk_pct", "retention_pct"]))
 def q_r17(spark, sf):
     p = F.col(P)
@@ -353,26 +367,31 @@ def q_f10b(spark, sf):
     return stable(W.search(scored(spark, sf), "12"))
 
 
+def js_number_sql(c: str) -> str:
+    return (f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) "
+            f"ELSE CAST(CAST({c} AS DOUBLE) AS VARCHAR) END")
+
+
 def _f12_sql():
-    def falsy(c, d):
-        return f"CASE WHEN {c} IS NULL OR CAST({c} AS VARCHAR) IN ('', '0', '0.0') THEN {d} ELSE {c} END"
-    sat = "CAST(coalesce(CASE WHEN SatisfactionScore <> 0 THEN SatisfactionScore END, 3) AS INTEGER)"
+    def shown(c):
+        return f"CASE WHEN coalesce({c}, 0) = 0 THEN 'N/A' ELSE {js_number_sql(c)} END"
+    sat = "coalesce(CAST(SatisfactionScore AS DOUBLE), 0.0)"
+    stars = f"repeat('★', CAST(trunc({sat}) AS INTEGER)) || repeat('☆', CAST(trunc(5 - {sat}) AS INTEGER))"
     body = f"""SELECT CAST(CustomerID AS VARCHAR) AS customer,
-  round(coalesce(Churn_Probability, 0.0) * 100, 1) AS probability_pct,
-  coalesce(Risk_Level, 'Low Risk') AS risk,
+  format('{{:.1f}}', round(coalesce(Churn_Probability, 0.0) * 100, 1)) || '%' AS probability,
+  coalesce(nullif(Risk_Level, ''), 'Unknown') AS risk,
   CASE WHEN lower(CAST(Predicted_Churn AS VARCHAR)) IN ('yes', '1', 'true') THEN 'Yes' ELSE 'No' END AS prediction,
-  CAST({falsy('Tenure', '0')} AS DOUBLE) AS tenure,
-  CAST({falsy('OrderCount', '0')} AS DOUBLE) AS orders,
-  format('{{:,.0f}}', coalesce(CashbackAmount, 0.0)) AS cashback,
-  repeat('★', greatest(least({sat}, 5), 0)) || repeat('☆', greatest(5 - least({sat}, 5), 0)) AS satisfaction_stars,
-  coalesce(Retention_Recommendation, '') AS recommendation
+  {shown('Tenure')} AS tenure, {shown('OrderCount')} AS orders,
+  '₹' || rtrim(rtrim(format('{{:,.3f}}', round(coalesce(CashbackAmount, 0.0), 3)), '0'), '.') AS cashback,
+  {shown('DaySinceLastOrder')} AS days_since_order,
+  {shown('SatisfactionScore')} || CASE WHEN {sat} <> 0 THEN {stars} ELSE '' END AS satisfaction
 FROM scored"""
-    return O.round_all(O.chain("scored", body), ["probability_pct", "tenure", "orders"])
+    return O.chain("scored", body)
 
 
 @register("f12_table", _f12_sql())
 def q_f12(spark, sf):
-    return stable(W.display_table(scored(spark, sf)))
+    return W.display_table(scored(spark, sf))
 
 
 @register("t3_topk", O.round_all(O.chain("scored", "SELECT * FROM scored ORDER BY Churn_Probability DESC, "
@@ -384,10 +403,13 @@ def q_t3(spark, sf):
 @register("t5_page", O.round_all(O.chain("scored", "SELECT * FROM scored ORDER BY CustomerID LIMIT 50 OFFSET 100"),
                                  SCORED_ROUND))
 def q_t5(spark, sf):
-    return stable(W.page(scored(spark, sf), 3, 50))
+    s = scored(spark, sf)
+    before = W.page(s.select("CustomerID"), 100).agg(F.max("CustomerID")).first()[0]  # where page 2 of 50 ends
+    return stable(W.page(s, 50, after=before))
 
 
-@register("t5_page_count", O.chain("scored", "SELECT count(*) AS n, CAST(ceil(count(*) / 50) AS BIGINT) "
-                                            "AS total_pages FROM scored"))
+@register("t5_page_count", O.chain("scored", """SELECT page, (page - 1) * 50 + 1 AS first_row, least(page * 50, n) AS last_row,
+  n, total_pages FROM (SELECT n, total_pages, unnest(range(1, total_pages + 1)) AS page
+  FROM (SELECT count(*) AS n, CAST(ceil(count(*) / 50) AS BIGINT) AS total_pages FROM scored))"""))
 def q_t5c(spark, sf):
     return W.page_count(scored(spark, sf), 50)

@@ -228,10 +228,7 @@ def _n13_sql():
                                                        "OrderAmountHikeFromlastYear", "CouponUsed", "OrderCount",
                                                        "DaySinceLastOrder", "CashbackAmount"]))
 def q_n13(spark, sf):
-    from retentio.operators.stats import Stats
-    m = N.normalise_missing(mart(spark, sf))
-    st = Stats.from_table(column_stats(m))
-    return stable(N.record_clean(m, st))
+    return stable(_record_cleaned(spark, sf))
 
 
 @register("n16_synonyms", O.chain("mart", """SELECT CustomerID,
@@ -276,9 +273,8 @@ def q_n19(spark, sf):
 # validation (V1-V9) over record-cleaned rows
 # ---------------------------------------------------------------------------
 def _record_cleaned(spark, sf):
-    from retentio.operators.stats import Stats
-    m = N.normalise_missing(mart(spark, sf))
-    return N.record_clean(m, Stats.from_table(column_stats(m)))
+    from retentio.plans.catalog import stats
+    return N.record_clean(N.normalise_missing(mart(spark, sf)), stats(spark, sf))
 
 
 def _falsy_sql(c, d):
@@ -323,6 +319,30 @@ def q_v3(spark, sf):
     return V.accepted(_record_cleaned(spark, sf)).select("CustomerID")
 
 
+# rows that break every rule, made alike on both sides from the customer id
+_BROKEN = {"Tenure": {0: 250.0, 1: -3.0}, "DaySinceLastOrder": {2: 400.0, 3: -1.0},
+           "CashbackAmount": {4: 200000.0, 5: -5.0, 6: 10.0}, "OrderCount": {6: 0.0}, "SatisfactionScore": {7: 9}}
+
+
+def _broken_sql():
+    sel = []
+    for c in ["Tenure", "DaySinceLastOrder", "CashbackAmount", "OrderCount", "SatisfactionScore"]:
+        whens = " ".join(f"WHEN {k} THEN {v}" for k, v in _BROKEN[c].items())
+        sel.append(f"CASE CAST(CustomerID AS BIGINT) % 9 {whens} ELSE {c} END AS {c}")
+    return f"broken AS (SELECT CustomerID, {', '.join(sel)} FROM rc)"
+
+
+@register("v_broken_rows", O.with_ctes(O.MART, O.stats_cte(), "rc AS (" + _n13_body() + ")", _broken_sql(),
+                                       body=f"SELECT CustomerID, {_errors_sql()} AS errors FROM broken"))
+def q_v4(spark, sf):
+    rows = _record_cleaned(spark, sf)
+    kind = F.col("CustomerID").cast("long") % 9
+    for c, values in _BROKEN.items():
+        for k, v in values.items():
+            rows = rows.withColumn(c, F.when(kind == k, F.lit(v)).otherwise(F.col(c)))
+    return V.with_errors(rows).select("CustomerID", "errors")
+
+
 # ---------------------------------------------------------------------------
 # features and encoding
 # ---------------------------------------------------------------------------

@@ -11,7 +11,8 @@ from retentio.operators import ml as M
 from retentio.operators import risk as R
 from retentio.plans import oracle_sql as O
 from retentio.plans.catalog import features, mart, register, scored, stable
-from retentio.plans.queries_analysis import _factor_sql
+from retentio.plans.queries_analysis import IMPORTANCES, _r12_sql, _r13_sql, js_number_sql
+from retentio.plans.queries_core import _errors_sql, _n13_body, _rc_chain
 
 P = "Churn_Probability"
 
@@ -124,67 +125,131 @@ def q_m13(spark, sf):
 # ---------------------------------------------------------------------------
 # sinks and stream (S7, S9, S10), analysis bundle
 # ---------------------------------------------------------------------------
+def _impact_sql() -> dict[str, str]:
+    """Display texts of R18 over a row of ``scored``, by name."""
+    band = O.band_record_sql(P)
+    share = (f"CASE WHEN {band} = 'low' THEN {O.dbl(0.05)} WHEN {band} = 'medium' THEN {O.dbl(0.15)} "
+             f"ELSE {O.dbl(0.25)} END")
+    clv = f"(OrderCount * {O.dbl(850.0)} + CashbackAmount)"
+    budget, loss = f"({clv} * {share})", f"({clv} * {P})"
+    roi = f"(CASE WHEN {budget} > 0 THEN ({loss} - {budget}) / {budget} ELSE {O.dbl(0.0)} END)"
+
+    def shown(v, example):
+        return f"(CASE WHEN coalesce({v}, 0) = 0 THEN {O.dbl(example)} ELSE {v} END)"
+
+    def rupees(v, example):
+        return f"'₹' || format('{{:,.0f}}', floor({shown(v, example)} + 0.5))"
+    tenths = f"(floor({shown(roi, 3.4)} * 10 + 0.5) / 10)"
+    return {"estimatedCV": rupees(clv, 18750.0), "retentionBudget": rupees(budget, 1250.0),
+            "potentialLoss": rupees(loss, 4250.0), "roiPotential": f"{js_number_sql(tenths)} || 'x'"}
+
+
+GENERATED = "1/1/2026, 12:00:00 AM"  # the run's time, an argument of the report
+
+
 def _s9_sql():
     band = O.band_record_sql(P)
     arr = {k: [O.q(t) for t in v] for k, v in FX.RECORD_RECOMMENDATIONS.items()}
+    shown = _impact_sql()
 
     def reco(i):
         return f"CASE WHEN {band} = 'low' THEN {arr['low'][i]} WHEN {band} = 'medium' THEN {arr['medium'][i]} " \
                f"ELSE {arr['high'][i]} END"
-    share = (f"CASE WHEN {band} = 'low' THEN {O.dbl(0.05)} WHEN {band} = 'medium' THEN {O.dbl(0.15)} "
-             f"ELSE {O.dbl(0.25)} END")
-    clv = f"(OrderCount * {O.dbl(850.0)} + CashbackAmount)"
-    budget = f"({clv} * {share})"
-    loss = f"({clv} * {P})"
-    roi = f"(CASE WHEN {budget} > 0 THEN ({loss} - {budget}) / {budget} ELSE {O.dbl(0.0)} END)"
+    percent = js_number_sql(f"(floor({P} * 1000 + 0.5) / 10)")
     lines = [
-        "'CUSTOMER CHURN RISK ANALYSIS REPORT'", "'==================================='", "''",
+        "'CUSTOMER CHURN RISK ANALYSIS REPORT'", "'==================================='", f"'Generated: {GENERATED}'", "''",
         "'EXECUTIVE SUMMARY'", "'-----------------'",
-        f"'• Churn Probability: ' || CAST(round({P} * 1000) / 10 AS VARCHAR) || '%'",
+        f"'• Churn Probability: ' || {percent} || '%'",
         f"'• Risk Level: ' || upper({band})",
-        f"'• Potential Revenue Loss (Estimated): ₹' || format('{{:,.0f}}', round({loss}))",
-        f"'• Primary Risk Factor: ' || {_factor_sql()}",
+        f"'• Potential Revenue Loss (Estimated): ' || {shown['potentialLoss']}",
+        "'• Primary Risk Factor: ' || with_driver",
         "''", "'RETENTION RECOMMENDATIONS'", "'-------------------------'",
         f"'PRIORITY: ' || upper({band})",
         f"'1. ' || {reco(0)}", f"'2. ' || {reco(1)}", f"'3. ' || {reco(2)}",
         "''", "'BUSINESS IMPACT ANALYSIS'", "'------------------------'",
-        f"'• Estimated Customer Value: ₹' || format('{{:,.0f}}', round({clv}))",
-        f"'• Recommended Retention Budget: ₹' || format('{{:,.0f}}', round({budget}))",
-        f"'• ROI Potential: ' || CAST(round({roi} * 10) / 10 + 0.0 AS VARCHAR) || 'x'",
+        f"'• Estimated Customer Value: ' || {shown['estimatedCV']}",
+        f"'• Recommended Retention Budget: ' || {shown['retentionBudget']}",
+        f"'• ROI Potential: ' || {shown['roiPotential']}",
         "''", "'--- END OF REPORT'",
     ]
-    return O.chain("scored", "SELECT CustomerID, concat_ws(chr(10), " + ", ".join(lines) + ") AS report FROM scored")
+    factors = _r13_sql()
+    head, rest = factors[:factors.index("SELECT s.CustomerID")], factors[factors.index("SELECT s.CustomerID"):]
+    return (f"{head}SELECT c.CustomerID, concat_ws(chr(10), " + ", ".join(lines)
+            + f") AS report FROM scored c JOIN ({rest}) f ON f.CustomerID = c.CustomerID")
 
 
 @register("s9_text_report", _s9_sql())
 def q_s9(spark, sf):
     from retentio.sources.sinks import record_text_report
-    return record_text_report(scored(spark, sf))
+    return record_text_report(scored(spark, sf), GENERATED, IMPORTANCES)
 
 
-@register("s10_stream_score", O.round_all(O.chain("scored", "SELECT * FROM scored"), O.SCORED_DOUBLES))
-def q_s10(spark, sf):
+def _accepted_chain(body: str) -> str:
+    """Record-cleaned rows that break no rule, through features and score (CTE ``scored``)."""
+    types = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in O.NUM_COLS)
+    cleaned = f"cleaned AS (SELECT * REPLACE ({types}) FROM rc WHERE len({_errors_sql()}) = 0)"
+    return O.with_ctes(O.MART, O.stats_cte(), f"rc AS ({_n13_body()})", cleaned, O.FEAT, O.SCORED, body=body)
+
+
+RUN_TIME = "2026-01-01T00:00:00+00:00"  # an argument of the run
+_S10_COLUMNS = ["CustomerID", P, "Predicted_Churn", "risk_level_record", "estimated_clv", "retention_budget",
+                "potential_revenue_loss", "roi_retention", "recommendations", "primary_risk_factor", "top_driver", "timestamp"]
+
+
+def _s10_sql() -> str:
+    band = O.band_record_sql(P)
+    share = (f"CASE WHEN {band} = 'low' THEN {O.dbl(0.05)} WHEN {band} = 'medium' THEN {O.dbl(0.15)} "
+             f"ELSE {O.dbl(0.25)} END")
+    texts = {k: O.q(chr(10).join(v)) for k, v in FX.RECORD_RECOMMENDATIONS.items()}
+    ranked = _r13_sql()
+    factors = ranked[ranked.index("SELECT s.CustomerID"):]
+    drivers = _r12_sql()
+    drivers = drivers[drivers.index("SELECT CustomerID, Feature AS top_driver"):]
+    body = f"""SELECT s.CustomerID, {P}, Predicted_Churn, {band} AS risk_level_record, clv AS estimated_clv,
+  clv * share AS retention_budget, clv * {P} AS potential_revenue_loss,
+  CASE WHEN clv * share > 0 THEN (clv * {P} - clv * share) / (clv * share) ELSE {O.dbl(0.0)} END AS roi_retention,
+  CASE {band} WHEN 'low' THEN {texts['low']} WHEN 'medium' THEN {texts['medium']} ELSE {texts['high']} END AS recommendations,
+  f.with_driver AS primary_risk_factor, d.top_driver, '{RUN_TIME}' AS timestamp
+FROM (SELECT *, OrderCount * {O.dbl(850.0)} + CashbackAmount AS clv, {share} AS share FROM scored) s
+JOIN ({factors}) f ON f.CustomerID = s.CustomerID JOIN ({drivers}) d ON d.CustomerID = s.CustomerID"""
+    return O.round_all(_accepted_chain(body), [P, "estimated_clv", "retention_budget", "potential_revenue_loss",
+                                               "roi_retention"])
+
+
+def _stream(spark, sf):
+    from retentio.plans.catalog import _shared
     from retentio.plans.catalog import stats as shared_stats
     from retentio.streaming.scoring import run_stream_scoring, scratch_dir
-    m = mart(spark, sf)
-    stats = shared_stats(spark, sf)  # the statistics version the stream scores against
-    base = scratch_dir(spark, "s10")
-    src = os.path.join(base, "in")
-    m.write.mode("overwrite").json(src)
-    out = run_stream_scoring(spark, src, m.schema, stats, os.path.join(base, "out"), os.path.join(base, "ckpt"))
-    return stable(out)
+
+    def build():
+        m = mart(spark, sf)
+        base = scratch_dir(spark, "s10")
+        src, bad = os.path.join(base, "in"), os.path.join(base, "rejected")
+        m.write.mode("overwrite").json(src)
+        out = run_stream_scoring(spark, src, m.schema, shared_stats(spark, sf), os.path.join(base, "out"),
+                                 os.path.join(base, "ckpt"), bad, IMPORTANCES, scored_at=RUN_TIME)
+        return out, spark.read.schema("CustomerID string, errors array<string>").json(bad)
+    return _shared("stream", spark, sf, build)
+
+
+@register("s10_stream_score", _s10_sql())
+def q_s10(spark, sf):
+    return stable(_stream(spark, sf)[0].select(*_S10_COLUMNS))
+
+
+@register("s10_stream_rejected", _rc_chain(f"SELECT CustomerID, {_errors_sql()} AS errors FROM rc WHERE len({_errors_sql()}) > 0"))
+def q_s10r(spark, sf):
+    return _stream(spark, sf)[1]
 
 
-@register("s7_risk_export_high", O.round_all(O.chain("scored", "SELECT * FROM scored WHERE Risk_Level = 'High Risk'"),
-                                             O.SCORED_DOUBLES))
+@register("s7_risk_exports", O.round_all(O.chain("scored", "SELECT * FROM scored"), O.SCORED_DOUBLES))
 def q_s7(spark, sf):
+    """All three bands, written in one job and read back."""
     from retentio.sources.sinks import write_risk_exports
     from retentio.streaming.scoring import scratch_dir
     s = scored(spark, sf)
     path = write_risk_exports(s, scratch_dir(spark, "s7"), stamp="run")
-    schema = s.drop("Risk_Level").schema
-    back = spark.read.schema(schema).option("header", True).csv(path)  # Risk_Level from the folder names
-    return stable(back.where(F.col("Risk_Level") == "High Risk"))
+    return stable(spark.read.schema(s.schema).option("header", True).csv(path))  # Risk_Level from the folder names
 
 
 @register("a24_analysis_result")
@@ -193,15 +258,8 @@ def q_a24(spark, sf):
     return analysis_result(scored(spark, sf))
 
 
-@register("r18_impact_strings", O.chain("scored", f"""SELECT CustomerID,
-  '₹' || format('{{:,.0f}}', round(clv)) AS estimatedCV, '₹' || format('{{:,.0f}}', round(budget)) AS retentionBudget,
-  '₹' || format('{{:,.0f}}', round(clv * {P})) AS potentialLoss,
-  CAST(round((CASE WHEN budget > 0 THEN (clv * {P} - budget) / budget ELSE 0.0 END) * 10) / 10 + 0.0 AS VARCHAR)
-    || 'x'
-    AS roiPotential
-FROM (SELECT *, clv * (CASE WHEN {O.band_record_sql(P)} = 'low' THEN {O.dbl(0.05)}
-                            WHEN {O.band_record_sql(P)} = 'medium' THEN {O.dbl(0.15)} ELSE {O.dbl(0.25)} END) AS budget
-      FROM (SELECT *, OrderCount * {O.dbl(850.0)} + CashbackAmount AS clv FROM scored))"""))
+@register("r18_impact_strings", O.chain("scored", "SELECT CustomerID, " + ", ".join(
+    f"{v} AS {k}" for k, v in _impact_sql().items()) + " FROM scored"))
 def q_r18(spark, sf):
     imp = R.business_impact(scored(spark, sf))
     return imp.select("CustomerID", *R.impact_strings(imp))

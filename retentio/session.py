@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
+#: Folders of sessions that run in one process, by application.
+_OWN: dict[str, str] = {}
+
 # Settings that matter for every job of the engine. On a cluster most of these
 # come from the cluster config; ``builder`` only fills what is unset.
 DEFAULT_CONF = {
@@ -42,13 +45,6 @@ def builder(master: str | None = None, app: str = "retentio", shuffle_partitions
     return b
 
 
-def cluster_partitions(input_bytes: int, target_bytes: int = 128 * 1024 * 1024, cores: int = 8000) -> int:
-    """A starting ``spark.sql.shuffle.partitions`` for ``input_bytes`` of input:
-    enough for ~``target_bytes`` per partition, at least two waves of cores
-    (AQE then coalesces small ones)."""
-    return max(2 * cores, -(-input_bytes // target_bytes))
-
-
 def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and the local bench (``local[cores]``)."""
     spark = builder(
@@ -61,22 +57,24 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
     return spark
 
 
+class SharedFolderMissing(RuntimeError):
+    """No ``spark.checkpoint.dir`` on a cluster: executors would not see each other's files."""
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named in ``spark.checkpoint.dir``.
+    """The shared folder named in ``spark.checkpoint.dir``, set for checkpoints too.
 
-    On a cluster the folder is set by the cluster (a shared file system);
-    only when it is unset (local tests) a scratch folder is created here.
+    A session that runs in one process (``local``, as in tests) may leave it
+    unset and gets a folder of its own; on a cluster that is an error.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not current and sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    if not current:  # local runs only: a scratch folder of our own
-        current = tempfile.mkdtemp(prefix="retentio-ckpt-", dir=os.environ.get("RETENTIO_SCRATCH", "/tmp"))
-        try:
-            spark.conf.set("spark.checkpoint.dir", current)
-        except Exception:  # noqa: BLE001  a deployment may forbid runtime core settings
-            pass
+    if not current:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise SharedFolderMissing(f"set spark.checkpoint.dir to a folder that driver and executors share ({sc.master})")
+        current = _OWN.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="retentio-ckpt-"))
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return current

@@ -9,10 +9,13 @@ files partition the scored table and later reads prune by directory.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retentio.functions import fixed as FX
+from retentio.functions.columns import js_number
 from retentio.operators import analyze as A
 from retentio.operators import clean as N
 from retentio.operators import rows as W
@@ -46,38 +49,28 @@ def write_records_json(scored: DataFrame, path: str) -> None:
     N.null_defaults_by_name(scored).write.mode("overwrite").json(path)
 
 
-def record_text_report(df: DataFrame, id_col: str = "CustomerID", prob_col: str = "Churn_Probability"):
-    """The per-customer text report as one string column."""
+def record_text_report(df: DataFrame, generated: str, importances: list[tuple[str, float]] | None = None,
+                       id_col: str = "CustomerID", prob_col: str = "Churn_Probability") -> DataFrame:
+    """The per-customer text report as one string column.
+
+    ``generated`` is the run's time as shown; with ``importances`` the primary
+    risk factor is the customer's top driver (R12, R13).
+    """
     from retentio.operators import risk as R
     p = F.col(prob_col)
-    band = R.band_record(p)
     recos = R.record_recommendations(p)
+    driver = R.top_driver(df, importances)
     impact = R.business_impact(df, prob_col)
-    return impact.select(
-        F.col(id_col),
-        F.concat_ws(
-            "\n",
-            F.lit("CUSTOMER CHURN RISK ANALYSIS REPORT"), F.lit("==================================="), F.lit(""),
-            F.lit("EXECUTIVE SUMMARY"), F.lit("-----------------"),
-            F.concat(F.lit("• Churn Probability: "), R.percent_one_decimal(p).cast("string"), F.lit("%")),
-            F.concat(F.lit("• Risk Level: "), F.upper(band)),
-            F.concat(F.lit("• Potential Revenue Loss (Estimated): ₹"),
-                     F.format_number(F.round(F.col("potential_revenue_loss")), 0)),
-            F.concat(F.lit("• Primary Risk Factor: "), R.primary_risk_factor(prob_col)),
-            F.lit(""), F.lit("RETENTION RECOMMENDATIONS"), F.lit("-------------------------"),
-            F.concat(F.lit("PRIORITY: "), F.upper(band)),
-            F.concat(F.lit("1. "), F.get(recos, 0)), F.concat(F.lit("2. "), F.get(recos, 1)),
-            F.concat(F.lit("3. "), F.get(recos, 2)),
-            F.lit(""), F.lit("BUSINESS IMPACT ANALYSIS"), F.lit("------------------------"),
-            F.concat(F.lit("• Estimated Customer Value: ₹"), F.format_number(F.round(F.col("estimated_clv")), 0)),
-            F.concat(F.lit("• Recommended Retention Budget: ₹"),
-                     F.format_number(F.round(F.col("retention_budget")), 0)),
-            F.concat(F.lit("• ROI Potential: "), (F.round(F.col("roi_retention") * 10) / 10).cast("string"),
-                     F.lit("x")),
-            F.lit(""), F.lit("--- END OF REPORT"),
-        ).alias("report"))
-
-
-def write_text_reports(df: DataFrame, path: str) -> None:
+    slots = dict(zip(("clv", "budget", "loss", "roi"), R.impact_strings(impact))) | {
+        "generated": F.lit(generated), "percent": js_number(R.percent_one_decimal(p)), "band": F.upper(R.band_record(p)),
+        "factor": R.primary_risk_factor(prob_col, driver)} | {f"reco{i + 1}": F.get(recos, i) for i in range(3)}
+    lines = []
+    for line in FX.TEXT_REPORT:
+        parts = [slots[x[1:-1]] if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w+\})", line) if x]
+        lines.append(F.concat(*parts) if parts else F.lit(""))
+    return impact.select(F.col(id_col), F.concat_ws("\n", *lines).alias("report"))
+
+
+def write_text_reports(df: DataFrame, path: str, generated: str) -> None:
     """S9 sink: one text line block per customer."""
-    record_text_report(df).select("report").write.mode("overwrite").text(path)
+    record_text_report(df, generated).select("report").write.mode("overwrite").text(path)

@@ -1,35 +1,35 @@
 """Record-at-a-time scoring as Structured Streaming.
 
 The single-record route becomes a stateless stream: JSON records arrive in
-a folder, the same column pipeline as the batch run scores them against a
-*versioned* statistics table (explicit input: a stream cannot compute
-global statistics, and scores must not depend on the previous upload), and
-the results land in a parquet sink with exactly-once file commits. Invalid
-records go to their own sink (V9). ``availableNow`` drains what is there
+a folder, are imputed field by field against a *versioned* statistics table
+(explicit input: a stream cannot compute global statistics, and scores must
+not depend on the previous upload), checked, and those that pass are scored
+and explained into a parquet sink with exactly-once file commits. Records that
+break a rule are never scored; they go to their own sink (V9). ``availableNow`` drains what is there
 and stops; a long-running trigger works the same way.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from retentio.operators import risk as R
 from retentio.operators import validate as V
+from retentio.operators.clean import normalise_missing, record_clean
 from retentio.operators.stats import Stats
-from retentio.plans.batch import clean_customers, score_customers
+from retentio.plans.batch import score_customers
 from retentio.session import ensure_checkpoint_dir
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared ``spark.checkpoint.dir``."""
-    try:
-        base = ensure_checkpoint_dir(spark)
-    except Exception:  # noqa: BLE001  (no SparkContext: the session setting alone)
-        base = spark.conf.get("spark.checkpoint.dir")
-    return os.path.join(base, name, uuid.uuid4().hex)
+    return os.path.join(ensure_checkpoint_dir(spark), name, uuid.uuid4().hex)
 
 
 def save_stats(stats: Stats, spark: SparkSession, path: str) -> None:
@@ -42,23 +42,46 @@ def load_stats(spark: SparkSession, path: str) -> Stats:
     return Stats.from_table(spark.read.parquet(path))
 
 
-def score_stream(records: DataFrame, stats: Stats, model="scorecard") -> DataFrame:
-    """The batch scoring chain on a streaming DataFrame (projections only)."""
-    cleaned, _ = clean_customers(records, stats)
-    return score_customers(cleaned, stats, model)
+def imputed_records(records: DataFrame, stats: Stats) -> DataFrame:
+    """Records as the rules and the scorer see them."""
+    return record_clean(normalise_missing(records), stats)
+
+
+def score_stream(records: DataFrame, stats: Stats, importances: list[tuple[str, float]] | None = None,
+                 model="scorecard") -> DataFrame:
+    """Accepted records, scored and explained (projections only): impute, drop
+    those that break a rule, score; record band, impact, recommendations,
+    primary factor and top driver."""
+    scored = score_customers(V.accepted(imputed_records(records, stats)), stats, model)
+    p = F.col("Churn_Probability")
+    driver = R.top_driver(scored, importances)
+    factor = R.primary_risk_factor(driver=driver)
+    return R.business_impact(scored.withColumns({
+        "top_driver": driver, "primary_risk_factor": factor,
+        "recommendations": F.concat_ws("\n", R.record_recommendations(p))}))
+
+
+def reject_stream(records: DataFrame, stats: Stats) -> DataFrame:
+    """The imputed records that break a rule, with ``errors`` (V9)."""
+    return V.rejected(imputed_records(records, stats))
 
 
 def run_stream_scoring(spark: SparkSession, source_dir: str, schema: T.StructType, stats: Stats,
                        out_dir: str, checkpoint_dir: str, rejected_dir: str | None = None,
-                       model="scorecard") -> DataFrame:
-    """Drain ``source_dir`` (JSON lines) through the scorer into ``out_dir``."""
+                       importances: list[tuple[str, float]] | None = None, model="scorecard",
+                       scored_at: str | None = None) -> DataFrame:
+    """Drain ``source_dir`` (JSON lines) through the scorer into ``out_dir``, rejected records into ``rejected_dir``.
+
+    ``scored_at`` is the run's ISO time, written with every scored record (X13).
+    """
     src = spark.readStream.schema(schema).json(source_dir)
     queries = []
     if rejected_dir:
-        bad = V.rejected(src)
-        queries.append(bad.writeStream.format("json").option("checkpointLocation", checkpoint_dir + "-rejected")
+        queries.append(reject_stream(src, stats).writeStream.format("json")
+                       .option("checkpointLocation", checkpoint_dir + "-rejected")
                        .trigger(availableNow=True).start(rejected_dir))
-    scored = score_stream(src, stats, model)
+    stamp = scored_at or dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")
+    scored = score_stream(src, stats, importances, model).withColumn("timestamp", F.lit(stamp))
     queries.append(scored.writeStream.format("parquet").option("checkpointLocation", checkpoint_dir)
                    .trigger(availableNow=True).start(out_dir))
     for q in queries:

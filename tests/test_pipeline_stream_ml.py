@@ -36,11 +36,17 @@ def test_stream_equals_batch(spark, mart):
     mart.write.json(src)
     out = run_stream_scoring(spark, src, mart.schema, stats, os.path.join(base, "out"), os.path.join(base, "ck"),
                              rejected_dir=os.path.join(base, "bad"))
-    cl, _ = clean_customers(mart, stats)
-    batch = score_customers(cl, stats)
+    from retentio.operators import validate as V
+    from retentio.streaming.scoring import imputed_records
+    records = imputed_records(mart, stats)
+    good = V.accepted(records)
+    batch = score_customers(good, stats)
     cols = sorted(batch.columns)
     assert out.select(cols).exceptAll(batch.select(cols)).count() == 0
     assert batch.select(cols).exceptAll(out.select(cols)).count() == 0
+    bad = spark.read.json(os.path.join(base, "bad"))
+    assert bad.count() == records.count() - good.count() > 0
+    assert out.join(bad, "CustomerID").count() == 0          # rejected records are never scored
 
 
 def test_ensemble_save_load_and_metrics(spark, mart, tmp_path):
@@ -78,12 +84,11 @@ def test_weights_and_split(spark, mart):
     assert {r["s"] for r in shares} == {"train", "test"}
 
 
-@pytest.mark.parametrize("limit", [10_000_000, 50])
-def test_stratified_split_is_exact_per_class(spark, limit, monkeypatch):
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_stratified_split_is_exact_per_class(spark, accuracy, monkeypatch):
     from retentio.operators import stats as S
-    if limit < 1000:  # force the refinement rounds of the selection
-        orig = S.select_ranks
-        monkeypatch.setattr(S, "select_ranks", lambda long, keys, *a, **k: orig(long, keys, exact_limit=limit))
+    orig = S.select_ranks  # a small accuracy forces several rounds of the selection
+    monkeypatch.setattr(S, "select_ranks", lambda long, keys, *a, **k: orig(long, keys, accuracy=accuracy))
     rows = [(i, 1 if i % 4 == 0 else 0) for i in range(2003)]
     df = spark.createDataFrame(rows, "id long, y int")
     out = M.stratified_split(df, "y", train_pct=80, row_hash=M.lehmer_hash(F.col("id"))).collect()

@@ -50,8 +50,7 @@ def test_contributions_sum_to_one_and_labels(spark):
         rows.sort(key=lambda r: r["rank"])
         assert [r["Type"] for r in rows[:3]] == ["Top Risk Driver"] * 3
         assert [r["Type"] for r in rows[-3:]] == ["Mitigating Factor"] * 3
-    assert R._title("DaySinceLastOrder") == "Daysincelastorder"
-    assert R._title("PreferredLoginDevice_Mobile Phone") == "Preferredlogindevice Mobile Phone"
+    assert {r["Feature"] for r in out} >= {"Daysincelastorder", "Tenure"}
 
 
 def test_validation_messages(spark):

@@ -45,4 +45,4 @@ def test_report_and_exports(spark, tmp_path):
     assert spark.read.option("header", True).csv(exp).count() == 60
     K.write_records_json(s, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 60
-    K.write_text_reports(s.withColumn("CustomerID", s["Tenure"].cast("string")), str(tmp_path / "txt"))
+    K.write_text_reports(s.withColumn("CustomerID", s["Tenure"].cast("string")), str(tmp_path / "txt"), "now")

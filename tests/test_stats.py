@@ -11,10 +11,9 @@ def _np_quantile(vals, q):
     return float(np.quantile(np.array(vals, dtype=float), q, method="linear"))
 
 
-@pytest.mark.parametrize("limit,accuracy", [(10_000_000, 10_000), (50, 10_000), (50, 100), (200, 20)])
-def test_exact_quantiles_match_numpy(spark, limit, accuracy):
-    """Small limits force the sketch-and-count rounds; small accuracies force
-    inexact sketches (several rounds, widened margins)."""
+@pytest.mark.parametrize("accuracy", [10_000, 100, 20])
+def test_exact_quantiles_match_numpy(spark, accuracy):
+    """Small accuracies force inexact sketches, and so several rounds."""
     rnd = random.Random(7)
     rows = []
     for i in range(3000):
@@ -25,7 +24,7 @@ def test_exact_quantiles_match_numpy(spark, limit, accuracy):
     cols = ["a", "b", "c"]
     counts = {c: sum(1 for r in rows if r[i] is not None) for i, c in enumerate(cols)}
     qs = [0.25, 0.5, 0.75]
-    got = exact_quantiles(df, cols, counts, qs, exact_limit=limit, accuracy=accuracy)
+    got = exact_quantiles(df, cols, counts, qs, accuracy=accuracy)
     for i, c in enumerate(cols):
         vals = [r[i] for r in rows if r[i] is not None]
         for q in qs:
@@ -48,3 +47,33 @@ def test_stats_table_defaults_mode_ties_and_nan(spark):
     assert st.mode["Gender"] == "a"             # tie -> lowest value
     assert st.median["CouponUsed"] == 2.0       # NaN / inf are missing, not values
     assert st.mode["MaritalStatus"] == "Single"  # all NULL -> categorical default
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 30])
+def test_ranks_between_hot_values(spark, accuracy):
+    """The rank at the edge of two hot values, on a flag, a four-level column and with a rare value between."""
+    n = 20_000
+    rows = [(float(i % 2), float(i % 4), 1.0 if i < n // 2 - 1 else 3.0 if i > n // 2 else 2.0) for i in range(n)]
+    df = spark.createDataFrame(rows, "flag double, level double, edge double")
+    qs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    got = exact_quantiles(df, ["flag", "level", "edge"], dict.fromkeys(["flag", "level", "edge"], n), qs, accuracy=accuracy)
+    for i, c in enumerate(["flag", "level", "edge"]):
+        for q in qs:
+            assert got[c][q] == _np_quantile([r[i] for r in rows], q), (c, q)
+
+
+def test_no_row_is_ranked(spark, monkeypatch):
+    """The selection uses aggregates alone: no window, no sort of a column."""
+    from retentio.operators import stats as S
+    plans = []
+    df = spark.range(1000).selectExpr("cast(id as double) as x")
+    long = S._long_numeric(df, ["x"])
+    monkeypatch.setattr(type(long), "collect", lambda self, orig=type(long).collect: (
+        plans.append(self._jdf.queryExecution().executedPlan().toString()), orig(self))[1])
+    S.select_ranks(long, {("x", 0): {"ranks": (499, 500)}})
+    assert plans and not any("Window" in p for p in plans)
+
+
+def test_id_columns_are_no_categories(spark):
+    df = spark.createDataFrame([("a", "b", "c")], "`Customer Id` string, Customer string, Gender string")
+    assert [r["column"] for r in column_stats(df).collect()] == ["Gender"]
