@@ -12,10 +12,11 @@ probes the long ones:
    lists of its own has no partner.
 2. Candidates. Each list names a hub, and all others on it are its candidates: a
    group of copies costs a pair a member, not all pairs. Linked candidates take
-   their hub's label. On lists that still hold several labels, all pairs across
-   labels that pass the length and position bounds follow.
-3. Blocks. A hub's shingles meet its candidates' sets. Short lists are heap-merged;
-   candidates that can still reach T are probed in the long lists by bisection.
+   their hub's label. On lists that still hold several labels, pairs across
+   labels follow that pass the length and position bounds.
+3. Blocks. Each set is sent once to a block, where it is searched for among the sets
+   it is paired with: short lists are heap-merged; what can still reach T is probed
+   in the long lists by bisection.
 
 Nothing is capped: which shingles come first and who is a hub decide only the
 order of work. Shingles and sets are known by 64- and 128-bit hashes.
@@ -31,7 +32,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,8 +46,10 @@ PERCENT = 85
 FIRST = int(0.2 * (1 << 32))
 #: A list longer than this counts as so long.
 LONG_LIST = 1 << 16
-#: Candidates that meet a hub at a time, and in one task.
-BLOCK, TASK = 256, 2048
+#: Sets that meet at a time.
+BLOCK = 256
+#: Rows of a list that are paired up in one place.
+PART = 8192
 #: Classes that a task remembers, to send each one's shingles once.
 REMEMBERED = 100_000
 #: DivideSkip's weight of a probe against a merge step.
@@ -168,13 +171,6 @@ def _shared(postings: DataFrame) -> DataFrame:
             .mapInArrow(batches, "gram long, cls binary, n long, first_n int, often int"))
 
 
-def _bounds(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) -> Column:
-    """Whether sets of sizes n1, n2 that first share a shingle at places at1, at2 can be linked."""
-    t = F.floor(((n1 + n2) * percent + 99 + percent) / (100 + percent))
-    return ((F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent)
-            & (1 + F.least(n1 - at1 - 1, n2 - at2 - 1) >= t))
-
-
 def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
     """(gram, cls, n, at): the rarest shingles of each class that others have too, ``at`` their place in its order."""
     exploded = rows.where(F.size("grams") > 0).select("cls", "n", "first_n", F.explode("grams").alias("gram"))
@@ -222,21 +218,96 @@ def _hub_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross_pairs(prefixes: DataFrame, labels: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """(hub, cls): pairs of different labels on one list that the bounds allow and that have not met yet."""
-    rows = prefixes.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    rows = saved(rows)
-    kinds = rows.groupBy("gram", "label").agg(F.count("*").alias("k"))
+    """(hub, a, b): pairs of different labels on one list that the bounds allow and that have not met yet.
+
+    Lists of one hub (their least class) lie together, so a group's pairs, which
+    share many lists, are told apart where they arise. A list longer than PART is dealt
+    out: its rows fall into parts, and each pair of parts is worked through by itself.
+    """
+    rows = saved(prefixes.join(labels, "cls", "left").select(
+        "gram", "cls", "n", "at", F.xxhash64(F.coalesce("label", "cls")).alias("label")))
     # lists of two have met already
-    several = kinds.groupBy("gram").agg(F.count("*").alias("labels"), F.sum("k").alias("k")).where("labels > 1 and k > 2")
-    kinds = kinds.join(several.select("gram"), "gram").select("gram", "label")
-    across = kinds.withColumnRenamed("label", "a").join(kinds.withColumnRenamed("label", "b"), "gram").where("a < b")
-    left = rows.select("gram", F.col("label").alias("a"), F.col("cls").alias("c1"), F.col("n").alias("n1"), F.col("at").alias("at1"))
-    right = rows.select("gram", F.col("label").alias("b"), F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-    met = across.join(left, ["gram", "a"]).join(right, ["gram", "b"]).where(
-        _bounds(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent))
-    return (met.select(F.least("c1", "c2").alias("hub"), F.greatest("c1", "c2").alias("cls")).distinct()
-            .join(done.select(F.least("hub", "cls").alias("hub"), F.greatest("hub", "cls").alias("cls")),
-                  ["hub", "cls"], "left_anti"))
+    lists = rows.groupBy("gram").agg(F.count("*").alias("k"), F.min("cls").alias("hub"), F.min("label").alias("l1"),
+                                     F.max("label").alias("l2")).where("k > 2 and l1 <> l2")
+    parts = F.ceil(F.col("k") / PART)
+    own = F.pmod(F.xxhash64("cls"), parts)
+    dealt = (rows.join(lists.select("gram", "k", "hub"), "gram").withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+             .select("hub", "gram", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own",
+                     "label", "cls", "n", "at"))
+    schema = pa.schema([("hub", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, code, names, found, size = None, {}, [], [], 0
+        held, key = [], None  # rows of the list at hand: (own, label, code, n, at)
+
+        def listed() -> Iterator[np.ndarray]:
+            """Pairs (smaller code << 32 | larger) of the held rows that the bounds allow."""
+            t = np.array(held, np.int64)
+            t = t[np.argsort(t[:, 1], kind="stable")]
+            upto = np.searchsorted(t[:, 1], t[:, 1], "right")  # where other labels begin
+            todo = len(t) - upto
+            lo = 0
+            while lo < len(t):
+                hi = max(lo + 1, int(np.searchsorted(np.cumsum(todo[lo:]), 1 << 20, "right")) + lo)
+                x = np.repeat(np.arange(lo, hi), todo[lo:hi])
+                starts = np.repeat(np.cumsum(todo[lo:hi]) - todo[lo:hi], todo[lo:hi])
+                y = np.arange(len(x)) - starts + np.repeat(upto[lo:hi], todo[lo:hi])
+                n1, n2, a1, a2 = t[x, 3], t[y, 3], t[x, 4], t[y, 4]
+                ok = ((np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent)
+                      & (np.minimum(n1 - a1, n2 - a2) >= overlap(n1, n2, percent)))
+                if key[1] != key[2]:  # two parts: pairs within one arise elsewhere
+                    ok &= t[x, 0] != t[y, 0]
+                c1, c2 = t[x[ok], 2], t[y[ok], 2]
+                yield np.minimum(c1, c2) << 32 | np.maximum(c1, c2)
+                lo = hi
+
+        def told() -> pa.RecordBatch:
+            every = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+            one, two = every >> 32, every & 0xFFFFFFFF
+            all_ = pa.array(names, pa.binary())
+            x, y = all_.take(pa.array(one)), all_.take(pa.array(two))
+            return pa.RecordBatch.from_arrays([pa.array([hub] * len(every), pa.binary()), x, y], schema=schema)
+
+        def close() -> None:
+            nonlocal size
+            if len(held) > 1:
+                for f in listed():
+                    found.append(np.unique(f))
+                    size += len(found[-1])
+                if size > 1 << 21:
+                    found[:] = [np.unique(np.concatenate(found))]
+                    size = len(found[0])
+            held.clear()
+
+        for batch in it:
+            for h, g, p, q, own_, label, cls, n, at in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, p, q) != key or h != hub:
+                    if held:
+                        close()
+                    if h != hub or size > 1 << 21:
+                        if found:
+                            yield told()
+                        if h != hub:
+                            code, names = {}, []
+                        hub, found[:], size = h, [], 0
+                    key = (g, p, q)
+                i = code.get(cls)
+                if i is None:
+                    i = code[cls] = len(names)
+                    names.append(cls)
+                held.append((own_, label, i, n, at))
+        if held:
+            close()
+        if found:
+            yield told()
+
+    met = (dealt.repartition("hub").sortWithinPartitions("hub", "gram", "p", "q")
+           .select("hub", "gram", "p", "q", "own", "label", "cls", "n", "at")
+           .mapInArrow(batches, "hub binary, a binary, b binary"))
+    once = met.select("hub", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(
+        F.min("hub").alias("hub"))
+    return once.join(done.select("a", "b"), ["a", "b"], "left_anti").select("hub", "a", "b")
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], least: list[int]) -> list[int]:
@@ -278,47 +349,52 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], least: list[int]) ->
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (hub, cls) of ``pairs`` whose sets are linked. ``sets``: (cls, grams as bytes)."""
-    crowded = pairs.groupBy("hub").agg(F.count("*").alias("k")).where(F.col("k") > TASK)
-    part = F.when(F.col("k").isNotNull(), F.pmod(F.xxhash64("cls"), F.ceil(F.col("k") / TASK))).otherwise(0)
-    dealt = saved(pairs.join(crowded, "hub", "left").select("hub", "cls", part.cast("int").alias("part")))
-    candidates = dealt.join(sets, "cls").select("hub", "part", F.lit(1).alias("kind"), "cls", "grams")
-    hubs = (dealt.select("hub", "part").distinct().join(sets.withColumnRenamed("cls", "hub"), "hub")
-            .select("hub", "part", F.lit(0).alias("kind"), F.col("hub").alias("cls"), "grams"))
+    """The (a, b) of ``pairs`` (hub, a, b) whose sets are linked. ``sets``: (cls, grams as bytes).
+
+    Pairs of one hub are blocks: its classes fall into parts of about BLOCK, and each
+    pair of parts with the sets that it needs, each sent once, is worked through by itself.
+    """
+    members = pairs.select("hub", F.col("a").alias("cls")).union(pairs.select("hub", F.col("b").alias("cls"))).distinct()
+    crowded = members.groupBy("hub").agg(F.count("*").alias("k")).where(F.col("k") > 2 * BLOCK)
+    parts = F.coalesce(F.ceil(F.col("k") / BLOCK), F.lit(1).cast("long"))
+    dealt = pairs.join(crowded, "hub", "left").withColumn("parts", parts).select(
+        "hub", F.pmod(F.xxhash64("a"), "parts").alias("p"), F.pmod(F.xxhash64("b"), "parts").alias("q"), "a", "b")
+    dealt = saved(dealt)
+    needs = dealt.select("hub", "p", "q", F.col("a").alias("cls")).union(
+        dealt.select("hub", "p", "q", F.col("b").alias("cls"))).distinct()
+    none = F.lit(None).cast("binary")
+    rows = needs.join(sets, "cls").select("hub", "p", "q", F.lit(0).alias("kind"), F.col("cls").alias("a"), none.alias("b"), "grams")
+    rows = rows.unionByName(dealt.select("hub", "p", "q", F.lit(1).alias("kind"), "a", "b", none.alias("grams")))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, query, part, names, held, seen = None, None, None, [], [], set()
+        key, have, query, names = None, {}, None, []
 
         def solved() -> pa.RecordBatch:
-            least = [overlap(len(query), len(s), percent) for s in held]
-            won = divide_skip(query, held, least)
-            return pa.RecordBatch.from_arrays([pa.array([hub] * len(won), pa.binary()),
-                                               pa.array([names[i] for i in won], pa.binary())], ["hub", "cls"])
+            q, against = have[query], [have[x] for x in names]
+            won = divide_skip(q, against, [overlap(len(q), len(x), percent) for x in against])
+            return pa.RecordBatch.from_arrays([pa.array([query] * len(won), pa.binary()),
+                                               pa.array([names[i] for i in won], pa.binary())], ["a", "b"])
 
         for batch in it:
-            for i in range(len(batch)):
-                h, p = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if (h, p) != (hub, part):
-                    if held:
+            ids = list(zip(*(batch.column(i).to_pylist() for i in range(6))))
+            for i, (h, p, q, kind, one, two) in enumerate(ids):
+                if (h, p, q) != key:
+                    if names:
                         yield solved()
-                    hub, part, names, held, seen = h, p, [], [], set()
-                grams = np.frombuffer(batch.column(4)[i].as_buffer(), U64)
-                if batch.column(2)[i].as_py() == 0:
-                    query = grams
+                    key, have, query, names = (h, p, q), {}, None, []
+                if kind == 0:
+                    have[one] = np.frombuffer(batch.column(6)[i].as_buffer().to_pybytes(), U64)
                     continue
-                c = batch.column(3)[i].as_py()
-                if c not in seen:  # a class may have come twice
-                    seen.add(c)
-                    names.append(c)
-                    held.append(grams)
-                if len(held) == BLOCK:
+                if names and (one != query or len(names) == BLOCK):
                     yield solved()
-                    names, held = [], []
-        if held:
+                    names = []
+                query = one
+                names.append(two)
+        if names:
             yield solved()
 
-    return (hubs.unionByName(candidates).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", "cls")
-            .select("hub", "part", "kind", "cls", "grams").mapInArrow(batches, "hub binary, cls binary"))
+    return (rows.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q", "kind", "a")
+            .select("hub", "p", "q", "kind", "a", "b", "grams").mapInArrow(batches, "a binary, b binary"))
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -348,17 +424,16 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     several = prefixes.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     wanted = saved(prefixes.join(several, "gram", "left_semi").select("cls").distinct())
     sets = _sets(docs, rows.select("cls", "id"), wanted, k)
-    links = saved(_links(pairs, sets, percent))
+    links = saved(_links(pairs.select("hub", F.col("hub").alias("a"), F.col("cls").alias("b")), sets, percent))
     # a label is a hub that its bearers are linked with; hubs pass theirs on once
-    label = links.groupBy("cls").agg(F.min("hub").alias("label"))
+    label = links.groupBy(F.col("b").alias("cls")).agg(F.min("a").alias("label"))
     up = label.select(F.col("cls").alias("label"), F.col("label").alias("above"))
     labels = label.join(up, "label", "left").select("cls", F.least("label", F.coalesce("above", "label")).alias("label"))
-    labels = labels.unionByName(links.select(F.col("hub").alias("cls")).distinct().join(label, "cls", "left_anti")
-                                .select("cls", F.col("cls").alias("label")))
-    rest = saved(_cross_pairs(prefixes, saved(labels), pairs, percent))
+    done = pairs.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"))
+    rest = saved(_cross_pairs(prefixes, labels, done, percent))
     if rest.head(1):
         links = saved(links.unionByName(_links(rest, sets, percent)))
-    return rows, components(links, "hub", "cls").select(F.col("node").alias("cls"), "component")
+    return rows, components(links).select(F.col("node").alias("cls"), "component")
 
 
 def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
