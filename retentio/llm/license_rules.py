@@ -46,14 +46,14 @@ gpl-1.0
 2 95 spdx,gpl | spdx license identifier gpl 1 0(?: only| or later)?
 2 90 gpl | gpl ?(?:v|version )?1(?: 0)?
 gpl-2.0
-1 98 gnu,general,warranty | redistribute it and or modify it under the terms of the gnu general public license .{0,80}?version 2
+1 98 general,gnu,redistribute | redistribute it and or modify it under the terms of the gnu general public license .{0,80}?version 2
 2 95 spdx,gpl | spdx license identifier gpl 2 0(?: only| or later)?
 2 93 gnu,general | gnu general public licen[sc]e (?:as published by the free software foundation (?:either )?)?(?:version |v)?2
 2 90 gpl | gpl (?:v|version )?2(?: 0)?(?: only| or later)?
 2 90 gplv2 | gplv2(?: 0)?
 2 90 gpl2 | gpl2
 gpl-3.0
-1 98 gnu,general,warranty | redistribute it and or modify it under the terms of the gnu general public license .{0,80}?version 3
+1 98 general,gnu,redistribute | redistribute it and or modify it under the terms of the gnu general public license .{0,80}?version 3
 2 95 spdx,gpl | spdx license identifier gpl 3 0(?: only| or later)?
 2 93 gnu,general | gnu general public licen[sc]e (?:as published by the free software foundation (?:either )?)?(?:version |v)?3
 2 90 gpl | gpl (?:v|version )?3(?: 0)?(?: only| or later)?
@@ -62,13 +62,13 @@ gpl-3.0
 gpl-unversioned
 3 80 gnu,general | gnu general public licen[sc]e
 3 75 gnu,gpl | gnu gpl
-3 70 gpl,license | gpl licen[sc]ed?
+3 70 gpl | gpl licen[sc]ed?
 4 60 gpl,under | under (?:the )?gpl
 lgpl-2.0
 2 95 spdx,lgpl | spdx license identifier lgpl 2 0(?: only| or later)?
 2 93 gnu,library | gnu library general public licen[sc]e(?: version 2)?
 lgpl-2.1
-1 98 gnu,lesser,warranty | modify it under the terms of the gnu lesser general public license .{0,80}?version 2 1
+1 98 gnu,lesser,modify | modify it under the terms of the gnu lesser general public license .{0,80}?version 2 1
 2 95 spdx,lgpl | spdx license identifier lgpl 2 1(?: only| or later)?
 2 93 gnu,lesser | gnu lesser general public licen[sc]e (?:as published by the free software foundation (?:either )?)?(?:version |v)?2 1
 2 90 lgpl | lgpl (?:v|version )?2(?: 1)?
@@ -82,7 +82,7 @@ lgpl-unversioned
 3 80 lesser,general | (?:gnu )?lesser general public licen[sc]e
 3 75 lgpl | (?:gnu )?lgpl
 agpl-3.0
-1 98 affero,warranty | modify it under the terms of the gnu affero general public license .{0,80}?version 3
+1 98 affero,modify | modify it under the terms of the gnu affero general public license .{0,80}?version 3
 2 95 spdx,agpl | spdx license identifier agpl 3 0(?: only| or later)?
 2 93 affero | gnu affero general public licen[sc]e(?: version 3| v3)?
 2 90 agpl | agpl (?:v|version )?3(?: 0)?
@@ -106,7 +106,7 @@ classpath-exception
 linking-exception
 2 85 linking,exception | (?:static |dynamic )?linking exception
 bsd-2-clause
-1 98 redistributions,binary | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+1 98 disclaimer,redistributions | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
 2 95 spdx,bsd | spdx license identifier bsd 2 clause
 2 92 bsd | (?:bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[sc]e)?
 2 92 simplified,bsd | simplified bsd(?: licen[sc]e)?
@@ -129,7 +129,7 @@ bsd-unversioned
 3 78 bsd,license | bsd(?: style)? licen[sc]e
 4 60 bsd,under | under (?:the |a )?bsd
 bsl-1.0
-1 98 boost,machine | in the form of machine executable object code generated by a source language processor
+1 98 executable,machine | in the form of machine executable object code generated by a source language processor
 2 95 spdx,bsl | spdx license identifier bsl 1 0
 2 92 boost,license | boost software licen[sc]e(?: version)?(?: 1 0)?
 busl-1.1
@@ -234,7 +234,7 @@ ruby
 php-3.01
 2 92 php,license | php licen[sc]e(?: version)?(?: 3 01)?
 openssl
-1 97 openssl,toolkit | this product includes software developed by the openssl project
+1 97 openssl,project | this product includes software developed by the openssl project
 2 90 openssl,license | openssl licen[sc]e
 ssleay
 2 90 ssleay | ssleay licen[sc]e
@@ -327,36 +327,36 @@ cc-by-2.0
 2 93 attribution,creative | creative commons attribution 2 [05](?: generic)?
 cc-by-sa-4.0
 2 96 by,cc,sa | cc by sa 4 0
-2 94 creative,sharealike | creative commons attribution share ?alike 4 0(?: international)?
+2 94 attribution,commons,creative | creative commons attribution share ?alike 4 0(?: international)?
 2 92 creativecommons,sa | creativecommons org licenses by sa 4 0
 cc-by-sa-3.0
 2 96 by,cc,sa | cc by sa 3 0
-2 94 creative,sharealike | creative commons attribution share ?alike 3 0(?: unported)?
+2 94 attribution,commons,creative | creative commons attribution share ?alike 3 0(?: unported)?
 2 92 creativecommons,sa | creativecommons org licenses by sa 3 0
 cc-by-sa-2.0
 2 96 by,cc,sa | cc by sa 2 [05]
 cc-by-nc-4.0
 2 96 by,cc,nc | cc by nc 4 0
-2 94 attribution,creative,noncommercial | creative commons attribution non ?commercial 4 0(?: international)?
+2 94 attribution,commons,creative | creative commons attribution non ?commercial 4 0(?: international)?
 2 92 creativecommons,nc | creativecommons org licenses by nc 4 0
 cc-by-nc-3.0
 2 96 by,cc,nc | cc by nc 3 0
-2 94 attribution,creative,noncommercial | creative commons attribution non ?commercial 3 0(?: unported)?
+2 94 attribution,commons,creative | creative commons attribution non ?commercial 3 0(?: unported)?
 cc-by-nd-4.0
 2 96 by,cc,nd | cc by nd 4 0
-2 94 creative,noderivatives | creative commons attribution no ?derivatives 4 0(?: international)?
+2 94 attribution,commons,creative | creative commons attribution no ?derivatives 4 0(?: international)?
 cc-by-nd-3.0
 2 96 by,cc,nd | cc by nd 3 0
 cc-by-nc-sa-4.0
 2 97 by,cc,nc,sa | cc by nc sa 4 0
-2 94 creative,noncommercial,sharealike | creative commons attribution non ?commercial share ?alike 4 0(?: international)?
+2 94 attribution,commons,creative | creative commons attribution non ?commercial share ?alike 4 0(?: international)?
 2 92 creativecommons,nc,sa | creativecommons org licenses by nc sa 4 0
 cc-by-nc-sa-3.0
 2 97 by,cc,nc,sa | cc by nc sa 3 0
-2 94 creative,noncommercial,sharealike | creative commons attribution non ?commercial share ?alike 3 0(?: unported)?
+2 94 attribution,commons,creative | creative commons attribution non ?commercial share ?alike 3 0(?: unported)?
 cc-by-nc-nd-4.0
 2 97 by,cc,nc,nd | cc by nc nd 4 0
-2 94 creative,noncommercial,noderivatives | creative commons attribution non ?commercial no ?derivatives 4 0(?: international)?
+2 94 attribution,commons,creative | creative commons attribution non ?commercial no ?derivatives 4 0(?: international)?
 2 92 creativecommons,nc,nd | creativecommons org licenses by nc nd 4 0
 cc-by-nc-nd-3.0
 2 97 by,cc,nc,nd | cc by nc nd 3 0
@@ -366,13 +366,13 @@ cc-by-nc-nd
 3 85 by,cc,nc,nd | cc by nc nd
 cc-by-sa
 3 84 by,cc,sa | cc by sa
-3 80 attribution,sharealike | attribution share ?alike
+3 80 attribution | attribution share ?alike
 cc-by-nc
 3 84 by,cc,nc | cc by nc
-3 80 attribution,noncommercial | attribution non ?commercial
+3 80 attribution | attribution non ?commercial
 cc-by-nd
 3 84 by,cc,nd | cc by nd
-3 80 attribution,noderivatives | attribution no ?derivatives
+3 80 attribution | attribution no ?derivatives
 creative-commons
 3 70 commons,creative | creative commons(?: licen[sc]e)?
 4 60 creativecommons | creativecommons org

@@ -25,6 +25,10 @@ _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
                for b in range(256))
 
 
+#: Patterns take either spelling; keywords name one.
+_SPELLINGS = {b"licence": b"license", b"licenced": b"licensed"}
+
+
 class Rule(NamedTuple):
     label: str
     rank: int
@@ -57,7 +61,7 @@ def parse(rules: str) -> list[Rule]:
 class Scanner:
     def __init__(self, rules: str = RULES):
         self.rules = parse(rules)
-        self.keywords = frozenset().union(*(r.keywords for r in self.rules))
+        self.keywords = frozenset(_SPELLINGS).union(*(r.keywords for r in self.rules))
         self.by_word = defaultdict(list)  # each rule stands at one of its keywords
         for i, r in enumerate(self.rules):
             self.by_word[min(r.keywords)].append(i)
@@ -75,6 +79,7 @@ class Scanner:
         """(number of words, detections that stand), by start, longer ones first."""
         words = text.encode("utf-8", "replace").translate(_WORDS).split()
         have = self.keywords.intersection(words)
+        have |= {_SPELLINGS[w] for w in have.intersection(_SPELLINGS)}
         rules = [i for w in have for i in self.by_word.get(w, ()) if self.rules[i].keywords <= have]
         if not rules:
             return len(words), []

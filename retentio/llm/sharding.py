@@ -37,7 +37,7 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     """(group, counts): members by shard of each group of two or more of ``nodes`` (group, label).
 
     A round: each group's goal is the shard with most of its members among
-    those with quota left (a sixty-fourth, so that crumbs attract no one); members in shards with as many or fewer wish to go
+    those whose quota still holds a quarter of the others (crumbs attract no one); members in shards with as many or fewer wish to go
     there. A shard grants wishes with the chance quota / wishes: to whole groups
     by hash where they fit, else to that share of a group's members. It ends
     when no one wishes to move, or after ``rounds``.
@@ -50,7 +50,7 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
         load = _loads(state, shards)
         room = F.array(*[F.lit(max(0, quota - n)).cast("long") for n in load])
         best = F.array_max(F.transform("counts", lambda n, i: F.struct(
-            (F.element_at(room, i + 1) > quota // 64).alias("open"), n.alias("n"),
+            (F.element_at(room, i + 1) * 4 >= _total(F.col("counts")) - n).alias("open"), n.alias("n"),
             F.xxhash64("group", i, F.lit(turn)).alias("tie"), i.alias("label"))))
         wish = state.withColumn("best", best).where("best.open").select(
             "group", "counts", F.col("best.label").alias("to"),
