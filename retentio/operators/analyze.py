@@ -10,7 +10,7 @@ without a join. Shares are windows over the *grouped* rows only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentio.functions import fixed as FX
@@ -120,11 +120,12 @@ def summary_report(df: DataFrame, prob_col: str = P, pred_col: str = "Predicted_
     return s.select(F.explode(F.array(*structs)).alias("r")).select("r.position", "r.Metric", "r.Value")
 
 
-def report_metadata(df: DataFrame, data_source: str = "Uploaded CSV") -> DataFrame:
-    """Metadata rows (Field, Value) with the customer count and run time."""
+def report_metadata(df: DataFrame, data_source: str = "Uploaded CSV", run_time: str | None = None) -> DataFrame:
+    """Metadata rows (Field, Value) with the customer count and the run's time (now, if not given)."""
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss") if run_time is None else F.lit(run_time)
     n = df.agg(F.count(F.lit(1)).cast("string").alias("n"))
     rows = [("Total Customers Analyzed", F.col("n")),
-            ("Analysis Timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")),
+            ("Analysis Timestamp", stamp),
             ("Model Used", F.lit(FX.METADATA_MODEL)), ("Data Source", F.lit(data_source)),
             ("Imputation Strategy", F.lit(FX.METADATA_STRATEGY)), ("NaN Values Handled", F.lit(FX.METADATA_NAN))]
     return n.select(F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(k).alias("Field"),
@@ -139,20 +140,17 @@ def churn_rate_by(df: DataFrame, key: str, label: str = "Churn") -> DataFrame:
             .agg(F.avg(_c(label).cast("double")).alias("churn_rate"), F.count(F.lit(1)).alias("n")))
 
 
-def churn_rate_sets(df: DataFrame, keys: list[str], label: str = "Churn") -> DataFrame:
-    """A10 for several keys in one scan: (dimension, value, churn_rate, n)."""
-    structs = [F.struct(F.lit(k).alias("dimension"), _c(k).cast("string").alias("value")) for k in keys]
-    long = df.select(_c(label).cast("double").alias("y"), F.explode(F.array(*structs)).alias("d"))
-    return (long.where(F.col("d.value").isNotNull())
-            .groupBy(F.col("d.dimension").alias("dimension"), F.col("d.value").alias("value"))
-            .agg(F.avg("y").alias("churn_rate"), F.count(F.lit(1)).alias("n")))
-
-
 # A12-A19, A21-A23 -----------------------------------------------------------
-def _share(count_col: str = "count") -> list[Column]:
-    w = Window.partitionBy()  # over the grouped rows: a handful per dimension
-    return [F.round(F.col(count_col) * 100.0 / F.sum(count_col).over(w), 1).alias("share"),
-            (F.col(count_col) * 100.0 / F.max(count_col).over(w)).alias("height")]
+def _with_shares(counts: DataFrame) -> DataFrame:
+    """``counts`` (dimension, value, count) with share and height against its dimension's total and largest count.
+
+    The totals are one more aggregate of the grouped rows, joined back: values
+    of an open domain stay spread, no window gathers them.
+    """
+    totals = counts.groupBy("dimension").agg(F.sum("count").alias("__sum"), F.max("count").alias("__max"))
+    return counts.join(totals, "dimension").select(
+        *counts.columns, F.round(F.col("count") * 100.0 / F.col("__sum"), 1).alias("share"),
+        (F.col("count") * 100.0 / F.col("__max")).alias("height"))
 
 
 def dashboard_values(df: DataFrame) -> list[tuple[str, Column]]:
@@ -165,8 +163,12 @@ def dashboard_values(df: DataFrame) -> list[tuple[str, Column]]:
                      F.lit(3.0))
     tier = F.coalesce(F.when(_c("CityTier").cast("double") != 0, _c("CityTier").cast("double")), F.lit(2.0))
     churned = F.lower(_c("Predicted_Churn").cast("string")).isin("yes", "1", "true")
+    sat = F.floor(sat + 0.5).cast("double")  # a fill between two levels counts to the nearest
+    payment = falsy(_c("PreferredPaymentMode"), "Credit Card")
+    for old, new in FX.SYNONYMS["PreferredPaymentMode"].items():  # N16
+        payment = F.when(payment == old, F.lit(new)).otherwise(payment)
     return [
-        ("payment", falsy(_c("PreferredPaymentMode"), "Credit Card")),
+        ("payment", payment),
         ("tenure", F.when(tenure <= 3, "0-3").when(tenure <= 6, "3-6").when(tenure <= 9, "6-9")
          .when(tenure <= 12, "9-12").otherwise("12+")),
         ("city_tier", F.concat(F.lit("Tier "), F.when(tier == F.floor(tier), tier.cast("long").cast("string"))
@@ -199,14 +201,14 @@ def distribution(df: DataFrame, dimension: str) -> DataFrame:
         dom = df.sparkSession.createDataFrame([(v, 0) for v in DOMAINS[dimension]], "value string, w int")
         rows = rows.unionByName(dom)
     counts = rows.groupBy("value").agg(F.sum("w").cast("long").alias("count"))
-    return counts.select("value", "count", *_share())
+    return _with_shares(counts.withColumn("dimension", F.lit(dimension))).drop("dimension")
 
 
 def all_distributions(df: DataFrame) -> DataFrame:
     """Every dashboard dimension in one scan: (dimension, value, count, share).
 
     One ``explode`` of (dimension, value) structs, the domain levels as
-    weight-0 rows, ONE ``groupBy``; the share window runs over grouped rows.
+    weight-0 rows, ONE ``groupBy``; totals per dimension come from its rows.
     """
     vals = dashboard_values(df)
     long = df.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("value"))
@@ -215,9 +217,7 @@ def all_distributions(df: DataFrame) -> DataFrame:
     dom = df.sparkSession.createDataFrame([(d, v, 0) for d, vs in DOMAINS.items() for v in vs],
                                           "dimension string, value string, w int")
     counts = long.unionByName(dom).groupBy("dimension", "value").agg(F.sum("w").cast("long").alias("count"))
-    w = Window.partitionBy("dimension")  # grouped rows: bounded by the domains
-    return counts.select("dimension", "value", "count",
-                         F.round(F.col("count") * 100.0 / F.sum("count").over(w), 1).alias("share"))
+    return _with_shares(counts).drop("height")
 
 
 # A20 ------------------------------------------------------------------------
@@ -257,12 +257,3 @@ def analysis_result(scored: DataFrame, prob_col: str = P) -> DataFrame:
         fa.alias("feature_analysis"),
         F.struct(F.col("total_customers"), F.lit(len(scored.columns)).alias("total_features"),
                  "dataset_size_kb").alias("dataset_info"))
-
-
-def dataset_info(df: DataFrame) -> DataFrame:
-    """P10: rows, columns and the CSV size in KB (header + one line per row)."""
-    header_bytes = len(",".join(df.columns).encode("utf-8")) + 1
-    line = F.to_csv(F.struct(*[_c(c) for c in df.columns]))
-    return df.agg(F.count(F.lit(1)).alias("total_customers_info"),
-                  ((F.sum(F.octet_length(line) + 1) + header_bytes) / 1024.0).alias("dataset_size_kb")) \
-        .withColumn("total_features", F.lit(len(df.columns)))

@@ -94,8 +94,9 @@ def fill_categorical(df: DataFrame, stats: Stats, exclude: tuple[str, ...] = ID_
 
 
 def fill_last_resort(df: DataFrame) -> DataFrame:
-    """Anything still missing -> 0 (numeric) or 'Unknown' (string)."""
-    return df.na.fill(0).na.fill("Unknown")
+    """Anything still missing -> 0 (numeric) or 'Unknown' (string); never an id or the label."""
+    columns = [c for c in df.columns if c not in ID_AND_LABEL]
+    return df.na.fill(0, columns).na.fill("Unknown", columns)
 
 
 # N12 ------------------------------------------------------------------------

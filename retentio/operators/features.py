@@ -78,9 +78,3 @@ def align_features(df: DataFrame, features: list[str] = MODEL_FEATURES, keep: tu
     enc = one_hot_fixed(df, features)
     cols = [(_c(f).cast("double") if f in enc.columns else F.lit(0.0)).alias(f) for f in features]
     return enc.select(*[_c(k) for k in keep if k in enc.columns], *cols)
-
-
-def assemble(df: DataFrame, features: list[str] = MODEL_FEATURES, out: str = "features") -> DataFrame:
-    """Feature vector for MLlib (VectorAssembler over the aligned columns)."""
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)

@@ -108,6 +108,7 @@ class EnsembleConfig:
 class EnsembleModel:
     """Soft-voting ensemble over a fitted ``PipelineModel`` (M6)."""
 
+    MODELS = ("forest", "boosted_a", "boosted_b")
     PROB_COLS = ("p_rf", "p_gbt_a", "p_gbt_b")
 
     def __init__(self, pipeline_model, features: list[str]):
@@ -149,15 +150,16 @@ class EnsembleModel:
         pm = PipelineModel.load(path)
         return EnsembleModel(pm, list(pm.stages[0].getInputCols()))
 
-    def importances(self) -> list[tuple[str, float]]:
-        """M13 input: random-forest importances by feature name (sorted)."""
-        rf = self.pipeline_model.stages[1]
-        imp = rf.featureImportances.toArray().tolist()
+    def importances(self, model: str = "forest") -> list[tuple[str, float]]:
+        """M13 input: importances of one of MODELS by feature name (sorted)."""
+        fitted = self.pipeline_model.stages[1 + self.MODELS.index(model)]
+        imp = fitted.featureImportances.toArray().tolist()
         return sorted(zip(self.features, imp), key=lambda t: -t[1])
 
 
 def fit_ensemble(train: DataFrame, label: str = "Churn", features: list[str] = MODEL_FEATURES,
-                 cfg: EnsembleConfig | None = None, weight_col: str | None = None) -> EnsembleModel:
+                 cfg: EnsembleConfig | None = None, weight_col: str | None = None,
+                 boost_weight_col: str | None = None) -> EnsembleModel:
     """M3-M6: fit RF + two GBTs in one pipeline (training data: aligned features)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -177,8 +179,10 @@ def fit_ensemble(train: DataFrame, label: str = "Churn", features: list[str] = M
                           predictionCol="pred_gbt_b", cacheNodeIds=True, checkpointInterval=cfg.checkpoint_interval)
     gbt_b.setProbabilityCol("p_gbt_b").setRawPredictionCol("raw_gbt_b")
     if weight_col:
-        for est in (rf, gbt_a, gbt_b):
-            est.setWeightCol(weight_col)
+        rf.setWeightCol(weight_col)
+    if boost_weight_col or weight_col:
+        for est in (gbt_a, gbt_b):
+            est.setWeightCol(boost_weight_col or weight_col)
     model = Pipeline(stages=[asm, rf, gbt_a, gbt_b]).fit(train)
     return EnsembleModel(model, features)
 
@@ -227,8 +231,9 @@ def accuracy(df: DataFrame, label: str = "Churn", pred: str = "Predicted_Churn_N
 
 
 def importance_table(model: EnsembleModel, top: int = 15) -> DataFrame:
-    """(feature, importance, rank), top ``top`` by importance."""
+    """(model, feature, importance, rank), top ``top`` of each model by importance."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    rows = [(f, float(w), i + 1) for i, (f, w) in enumerate(model.importances()[:top])]  # <= 25 model features
-    return spark.createDataFrame(rows, "feature string, importance double, rank int")
+    rows = [(m, f, float(w), i + 1) for m in model.MODELS
+            for i, (f, w) in enumerate(model.importances(m)[:top])]  # <= 25 model features each
+    return spark.createDataFrame(rows, "model string, feature string, importance double, rank int")

@@ -9,7 +9,7 @@ distinct values).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,8 +127,7 @@ def preview(df: DataFrame, n: int = 10, order_by: str | None = None) -> DataFram
     return (df.orderBy(order_by) if order_by else df).limit(n)
 
 
-def observe_shape(df: DataFrame, name: str = "shape"):
-    """Row count as an observed metric of the same job (no extra pass)."""
-    from pyspark.sql import Observation
-    obs = Observation(name)
-    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+def with_row_count(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
+    """``df`` with its row count as an observed metric of whatever job runs it (no extra pass)."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen

@@ -20,6 +20,7 @@ from retentio.operators import analyze as A
 from retentio.operators import ml as M
 from retentio.operators import rows as W
 from retentio.operators.stats import Stats
+from retentio.operators.clean import merge_synonyms
 from retentio.plans.batch import clean_customers, materialise, score_customers
 from retentio.sources import customers as C
 from retentio.sources import sinks as K
@@ -70,22 +71,26 @@ def score_records(spark: SparkSession, source_dir: str, stats_path: str, out_dir
 
 def train(spark: SparkSession, path: str, model_out: str, label: str = "Churn",
           cfg: M.EnsembleConfig | None = None) -> DataFrame:
-    """§3.4: hash split, class weights, fit RF + two GBTs, evaluate on the
+    """§3.4: stratified split, class weights, fit RF + two GBTs, evaluate on the
     hold-out rows, save the pipeline. Returns the classification report."""
     from retentio.operators.features import align_features, business_features
     raw = C.read_customers_csv(spark, path)
     if label not in raw.columns:
         raise C.InputError(f"training needs the label column {label!r}")
-    raw = raw.withColumn(label, F.col(label).try_cast("int"))
-    base = materialise(raw)
+    raw = raw.withColumn(label, F.col(label).try_cast("int")).where(F.col(label).isNotNull())
+    base = materialise(merge_synonyms(raw))  # N16: one name a category before statistics and dummies
     cleaned, st = clean_customers(base)
     idc = W.find_id_column(cleaned)
     # deterministic split key: the id, else a hash of the whole row (stable
     # when a lost partition is recomputed, unlike a generated row number)
     key = F.col(idc) if idc else F.xxhash64(*[F.col(f"`{c}`") for c in cleaned.columns])
-    split = cleaned.withColumn("__split", M.hash_split(key))
-    feats = align_features(business_features(split, st), keep=(label, "__split"))
-    feats = feats.withColumn("__w", M.class_weights(feats, label))
-    model = M.fit_ensemble(feats.where("__split = 'train'"), label=label, cfg=cfg, weight_col="__w")
+    row_hash = F.pmod(F.xxhash64(key, F.lit(42)), F.lit(2 ** 52))
+    split = M.stratified_split(cleaned, label, row_hash=row_hash).withColumnRenamed("split", "__split")
+    feats = materialise(align_features(business_features(split, st), keep=(label, "__split")))
+    train_rows = feats.where("__split = 'train'")
+    # weights from the training rows alone: balanced for the forest, neg/pos for the boosted trees
+    train_rows = train_rows.withColumns({"__w": M.class_weights(train_rows, label),
+                                         "__ratio": M.class_weights(train_rows, label, mode="ratio")})
+    model = M.fit_ensemble(train_rows, label=label, cfg=cfg, weight_col="__w", boost_weight_col="__ratio")
     model.save(model_out)
     return M.classification_report(model.score(feats.where("__split = 'test'")), label=label)

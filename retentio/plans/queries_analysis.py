@@ -253,13 +253,14 @@ def _dash_values_sql():
     def num_text(x):
         return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
     return {
-        "payment": falsy("PreferredPaymentMode", "Credit Card"),
+        "payment": (f"CASE {falsy('PreferredPaymentMode', 'Credit Card')} WHEN 'CC' THEN 'Credit Card' "
+                    f"WHEN 'Cash on Delivery' THEN 'COD' ELSE {falsy('PreferredPaymentMode', 'Credit Card')} END"),
         "tenure": (f"CASE WHEN {ten} <= 3 THEN '0-3' WHEN {ten} <= 6 THEN '3-6' WHEN {ten} <= 9 THEN '6-9' "
                    f"WHEN {ten} <= 12 THEN '9-12' ELSE '12+' END"),
         "city_tier": f"'Tier ' || {num_text(tier)}",
         "marital": falsy("MaritalStatus", "Single"),
         "gender": falsy("Gender", "Male"),
-        "satisfaction": num_text(sat),
+        "satisfaction": num_text(f"floor({sat} + 0.5)"),
         "complaints": "CASE WHEN coalesce(CAST(Complain AS DOUBLE), 0.0) = 1 THEN 'Complaints' ELSE 'No Complaints' END",
         "churn_status": ("CASE WHEN lower(CAST(Predicted_Churn AS VARCHAR)) IN ('yes', '1', 'true') THEN 'Churned' "
                          "ELSE 'Retained' END"),
