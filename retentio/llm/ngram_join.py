@@ -46,6 +46,10 @@ PERCENT = 85
 FIRST = int(0.2 * (1 << 32))
 #: A list longer than this counts as so long.
 LONG_LIST = 1 << 16
+#: Bits of a set's signature: as many as two signatures differ in, at least, so many shingles do their sets.
+SIGN = 512
+#: Pairs that are looked at together.
+CHUNK = 1 << 17
 #: Sets that meet at a time.
 BLOCK = 256
 #: Rows of a list that are paired up in one place.
@@ -72,13 +76,15 @@ def lonely(size: int, percent: int) -> bool:
 
 
 def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, id, key, n, cls, first_n, grams): per row set size, 128-bit class, and the shingles to list.
+    """(doc_id, id, key, n, cls, first_n, sign, grams): per row set size, 128-bit class, and the shingles to list.
+
+    ``sign``: for each of SIGN bits the parity of the set's shingles that fall on it.
 
     ``grams``: the shingles that come first, and the least others where they
     are fewer than needed; none for a class that the task sent before.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()),
-                        ("cls", pa.binary()), ("first_n", pa.int32()), ("grams", pa.list_(pa.int64()))])
+                        ("cls", pa.binary()), ("first_n", pa.int32()), ("sign", pa.binary()), ("grams", pa.list_(pa.int64()))])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
@@ -86,7 +92,7 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             raw, at = utf8(batch.column(3))
             for lo, hi in pieces(at):
                 w = Words(raw, at, lo, hi, NOT_SPACE)
-                n, cls, first, grams = [], [], [], []
+                n, cls, first, signs, grams = [], [], [], [], []
                 for s in shingles(w, k):
                     n.append(len(s))
                     c = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
@@ -94,20 +100,22 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     upto = int(np.searchsorted(s, U64(FIRST) << U64(32)))
                     first.append(upto)
                     if c is None or c in sent or lonely(len(s), percent):
+                        signs.append(None)
                         grams.append(s[:0].view(np.int64))
                         continue
                     if len(sent) >= REMEMBERED:
                         sent.clear()
                     sent.add(c)
+                    signs.append(np.packbits(np.bincount((s >> U64(3)) % U64(SIGN), minlength=SIGN) & 1).tobytes())
                     grams.append(s[:max(upto, len(s) - needed(len(s), percent) + 1)].view(np.int64))
                 ends = np.cumsum([0] + [len(g) for g in grams])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(n, pa.int64()),
-                     pa.array(cls, pa.binary()), pa.array(first, pa.int32()),
+                     pa.array(cls, pa.binary()), pa.array(first, pa.int32()), pa.array(signs, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(grams)))], schema=schema)
 
     return docs.select("doc_id", F.xxhash64("doc_id").alias("id"), text_key().alias("key"), "text").mapInArrow(
-        batches, "doc_id long, id long, key binary, n long, cls binary, first_n int, grams array<long>")
+        batches, "doc_id long, id long, key binary, n long, cls binary, first_n int, sign binary, grams array<long>")
 
 
 def _pairs_of(column: pa.Array) -> np.ndarray:
@@ -217,9 +225,10 @@ def _hub_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(batches, "hub binary, cls binary").where("hub <> cls").distinct())
 
 
-def _cross_pairs(prefixes: DataFrame, labels: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(prefixes: DataFrame, labels: DataFrame, signs: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """(hub, a, b): pairs of different labels on one list that the bounds allow and that have not met yet.
 
+    Bounds: size, place on the list, and signatures (linked sets differ in n1 + n2 - 2 T shingles at most).
     Lists of one hub (their least class) lie together, so a group's pairs, which
     share many lists, are told apart where they arise. A list longer than PART is dealt
     out: its rows fall into parts, and each pair of parts is worked through by itself.
@@ -231,25 +240,26 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame, done: DataFrame, percen
                                      F.max("label").alias("l2")).where("k > 2 and l1 <> l2")
     parts = F.ceil(F.col("k") / PART)
     own = F.pmod(F.xxhash64("cls"), parts)
-    dealt = (rows.join(lists.select("gram", "k", "hub"), "gram").withColumn("own", own)
+    dealt = (rows.join(lists.select("gram", "k", "hub"), "gram").join(signs, "cls").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
              .select("hub", "gram", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own",
-                     "label", "cls", "n", "at"))
+                     "label", "cls", "n", "at", "sign"))
     schema = pa.schema([("hub", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, code, names, found, size = None, {}, [], [], 0
+        hub, code, names, marks, found, size = None, {}, [], [], [], 0
         held, key = [], None  # rows of the list at hand: (own, label, code, n, at)
 
         def listed() -> Iterator[np.ndarray]:
             """Pairs (smaller code << 32 | larger) of the held rows that the bounds allow."""
             t = np.array(held, np.int64)
             t = t[np.argsort(t[:, 1], kind="stable")]
+            bits = np.frombuffer(b"".join(marks), U64).reshape(len(marks), -1)
             upto = np.searchsorted(t[:, 1], t[:, 1], "right")  # where other labels begin
             todo = len(t) - upto
             lo = 0
             while lo < len(t):
-                hi = max(lo + 1, int(np.searchsorted(np.cumsum(todo[lo:]), 1 << 20, "right")) + lo)
+                hi = max(lo + 1, int(np.searchsorted(np.cumsum(todo[lo:]), CHUNK, "right")) + lo)
                 x = np.repeat(np.arange(lo, hi), todo[lo:hi])
                 starts = np.repeat(np.cumsum(todo[lo:hi]) - todo[lo:hi], todo[lo:hi])
                 y = np.arange(len(x)) - starts + np.repeat(upto[lo:hi], todo[lo:hi])
@@ -259,6 +269,9 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame, done: DataFrame, percen
                 if key[1] != key[2]:  # two parts: pairs within one arise elsewhere
                     ok &= t[x, 0] != t[y, 0]
                 c1, c2 = t[x[ok], 2], t[y[ok], 2]
+                apart = np.bitwise_count(bits[c1] ^ bits[c2]).sum(1, dtype=np.int64)
+                near = apart <= n1[ok] + n2[ok] - 2 * overlap(n1[ok], n2[ok], percent)
+                c1, c2 = c1[near], c2[near]
                 yield np.minimum(c1, c2) << 32 | np.maximum(c1, c2)
                 lo = hi
 
@@ -281,7 +294,7 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame, done: DataFrame, percen
             held.clear()
 
         for batch in it:
-            for h, g, p, q, own_, label, cls, n, at in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, g, p, q, own_, label, cls, n, at, sign in zip(*(c.to_pylist() for c in batch.columns)):
                 if (g, p, q) != key or h != hub:
                     if held:
                         close()
@@ -289,13 +302,14 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame, done: DataFrame, percen
                         if found:
                             yield told()
                         if h != hub:
-                            code, names = {}, []
+                            code, names, marks = {}, [], []
                         hub, found[:], size = h, [], 0
                     key = (g, p, q)
                 i = code.get(cls)
                 if i is None:
                     i = code[cls] = len(names)
                     names.append(cls)
+                    marks.append(sign)
                 held.append((own_, label, i, n, at))
         if held:
             close()
@@ -303,7 +317,7 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame, done: DataFrame, percen
             yield told()
 
     met = (dealt.repartition("hub").sortWithinPartitions("hub", "gram", "p", "q")
-           .select("hub", "gram", "p", "q", "own", "label", "cls", "n", "at")
+           .select("hub", "gram", "p", "q", "own", "label", "cls", "n", "at", "sign")
            .mapInArrow(batches, "hub binary, a binary, b binary"))
     once = met.select("hub", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(
         F.min("hub").alias("hub"))
@@ -430,7 +444,8 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     up = label.select(F.col("cls").alias("label"), F.col("label").alias("above"))
     labels = label.join(up, "label", "left").select("cls", F.least("label", F.coalesce("above", "label")).alias("label"))
     done = pairs.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"))
-    rest = saved(_cross_pairs(prefixes, labels, done, percent))
+    signs = rows.where("sign is not null").select("cls", "sign").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    rest = saved(_cross_pairs(prefixes, labels, signs, done, percent))
     if rest.head(1):
         links = saved(links.unionByName(_links(rest, sets, percent)))
     return rows, components(links).select(F.col("node").alias("cls"), "component")

@@ -2,7 +2,7 @@
 
 Texts stay UTF-8 bytes: only A-Z change case, and the word classes name ASCII
 characters alone, so a byte decides for itself. A batch is worked through in
-pieces of about a mebibyte, which bounds memory whatever the length of a text.
+pieces of a quarter of a mebibyte, which bounds memory whatever the length of a text.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 LONG_WORD = 1 << 16
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
