@@ -63,6 +63,22 @@ def q_f1(spark, sf):
     return widen(stable(df.select(*TRAIN_COLUMNS)), _F1_NULLABLE)
 
 
+@register("f2_features", f"SELECT * EXCLUDE (Churn) FROM ({_training_sql()})")
+def q_f2(spark, sf):
+    """the features of the training frame, without the label."""
+    return W.features_and_label(q_f1(spark, sf))[0]
+
+
+@register("m2_class_weights_ratio", O.chain("mart", f"""SELECT Churn, count(*) AS n,
+  {O.rnd("CASE WHEN Churn = 1 THEN (SELECT count(*) FROM mart WHERE Churn = 0) * 1.0 / (SELECT count(*) FROM mart WHERE Churn = 1) "
+         "ELSE 1.0 END")} AS weight
+FROM mart GROUP BY Churn"""))
+def q_m2r(spark, sf):
+    m = mart(spark, sf)
+    w = M.class_weights(m, mode="ratio")
+    return stable(m.groupBy("Churn").agg(F.count(F.lit(1)).alias("n"), F.first(w).alias("weight")))
+
+
 @register("m2_class_weights", O.chain("mart", f"""SELECT Churn, count(*) AS n,
   {O.rnd("CASE WHEN Churn = 1 THEN (SELECT count(*) FROM mart) / (2.0 * (SELECT count(*) FROM mart WHERE Churn = 1)) "
          "ELSE (SELECT count(*) FROM mart) / (2.0 * (SELECT count(*) FROM mart WHERE Churn = 0)) END")} AS weight

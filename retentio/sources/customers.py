@@ -9,7 +9,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,14 +48,17 @@ class InputError(ValueError):
 
 
 def check_csv_path(path: str | None, case_insensitive: bool = True) -> str:
-    """A path is given, not empty, and names a ``.csv`` file or folder."""
+    """A path is given, not empty, and names a ``.csv`` file or a folder (a name without an ending).
+
+    Judged by the name alone: the path may lie in a store that only Spark reads.
+    """
     if path is None:
         raise InputError("No file provided")
     if path == "":
         raise InputError("No file selected")
-    name = path.rstrip("/")
+    name = path.rstrip("/").rpartition("/")[2]
     ok = name.lower().endswith(".csv") if case_insensitive else name.endswith(".csv")
-    if not ok and not os.path.isdir(path):
+    if not ok and "." in name:
         raise InputError("Only CSV files are supported")
     return path
 
