@@ -89,10 +89,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, keep: tup
                              F.crc32(raw).alias("text_crc32"), text_key().alias("group")))
     total = rows.count()
     exact = [total // shards + (s < total % shards) for s in range(shards)]
-    state = propagate(rows.select("group", F.pmod(F.xxhash64("doc_id", *keep), F.lit(shards)).alias("label")), shards, rounds)
+    placed = ranked(rows, "group", "doc_id", *keep, name="__r")
+    # by rank, so that repeated rows too start apart and gather only where there is room
+    state = propagate(placed.select("group", F.pmod(F.xxhash64("__r"), F.lit(shards)).alias("label")), shards, rounds)
     load = _loads(state, shards)
     # a member's place among its group decides which of the group's shards it has
-    placed = ranked(rows, "group", "doc_id", *keep, name="__r")
     first = placed.groupBy("group").agg(F.min("__r").alias("__first"))
     groups = state.join(first, "group").select(F.col("group").alias("__group"), "__first", "counts")
     upto = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda k: _total(F.slice("counts", 1, k)))
