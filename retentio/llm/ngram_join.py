@@ -84,7 +84,7 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     are fewer than needed; none for a class that the task sent before.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()),
-                        ("cls", pa.binary()), ("first_n", pa.int32()), ("sign", pa.binary()), ("grams", pa.list_(pa.int64()))])
+                        ("cls", pa.binary()), ("first_n", pa.int32()), ("sign", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
@@ -106,16 +106,16 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     if len(sent) >= REMEMBERED:
                         sent.clear()
                     sent.add(c)
-                    signs.append(np.packbits(np.bincount((s >> U64(3)) % U64(SIGN), minlength=SIGN) & 1).tobytes())
+                    signs.append(np.packbits(np.bincount((s >> U64(3)) % U64(SIGN), minlength=SIGN) & 1).view(np.int64).tolist())
                     grams.append(s[:max(upto, len(s) - needed(len(s), percent) + 1)].view(np.int64))
                 ends = np.cumsum([0] + [len(g) for g in grams])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(n, pa.int64()),
-                     pa.array(cls, pa.binary()), pa.array(first, pa.int32()), pa.array(signs, pa.binary()),
+                     pa.array(cls, pa.binary()), pa.array(first, pa.int32()), pa.array(signs, pa.list_(pa.int64())),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(grams)))], schema=schema)
 
     return docs.select("doc_id", F.xxhash64("doc_id").alias("id"), text_key().alias("key"), "text").mapInArrow(
-        batches, "doc_id long, id long, key binary, n long, cls binary, first_n int, sign binary, grams array<long>")
+        batches, "doc_id long, id long, key binary, n long, cls binary, first_n int, sign array<long>, grams array<long>")
 
 
 def _pairs_of(column: pa.Array) -> np.ndarray:
@@ -254,7 +254,7 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame, signs: DataFrame, done:
             """Pairs (smaller code << 32 | larger) of the held rows that the bounds allow."""
             t = np.array(held, np.int64)
             t = t[np.argsort(t[:, 1], kind="stable")]
-            bits = np.frombuffer(b"".join(marks), U64).reshape(len(marks), -1)
+            bits = np.array(marks, np.int64).view(U64)
             upto = np.searchsorted(t[:, 1], t[:, 1], "right")  # where other labels begin
             todo = len(t) - upto
             lo = 0
@@ -324,6 +324,16 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame, signs: DataFrame, done:
     return once.join(done.select("a", "b"), ["a", "b"], "left_anti").select("hub", "a", "b")
 
 
+def _near(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (hub, cls) that their signatures allow."""
+    one = signs.select(F.col("cls").alias("hub"), F.col("n").alias("n1"), F.col("sign").alias("s1"))
+    two = signs.select("cls", F.col("n").alias("n2"), F.col("sign").alias("s2"))
+    apart = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    both = F.col("n1") + F.col("n2")
+    t = F.floor((both * percent + 99 + percent) / (100 + percent))
+    return pairs.join(one, "hub").join(two, "cls").where(apart <= both - 2 * t).select("hub", "cls")
+
+
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], least: list[int]) -> list[int]:
     """Which of ``sets`` share at least ``least`` shingles with ``query`` (all sorted, distinct).
 
@@ -430,23 +440,33 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> Dat
     return saved(every.join(wanted, "cls", "left_semi"))
 
 
+def _classes_of(pairs: DataFrame, *columns: str) -> DataFrame:
+    out = pairs.select(F.col(columns[0]).alias("cls"))
+    for c in columns[1:]:
+        out = out.union(pairs.select(c))
+    return saved(out.distinct())
+
+
 def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows (doc_id, id, n, cls), class components (cls, component)); classes without links are not among the latter."""
     rows = saved(_classes(docs, k, percent))
     prefixes = saved(_prefixes(rows, percent))
     pairs = saved(_hub_pairs(prefixes, percent))
     several = prefixes.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    wanted = saved(prefixes.join(several, "gram", "left_semi").select("cls").distinct())
-    sets = _sets(docs, rows.select("cls", "id"), wanted, k)
-    links = saved(_links(pairs.select("hub", F.col("hub").alias("a"), F.col("cls").alias("b")), sets, percent))
+    shared = prefixes.join(several, "gram", "left_semi").select("cls").distinct()
+    signs = saved(rows.where("sign is not null").select("cls", "n", "sign").join(shared, "cls", "left_semi")
+                  .dropDuplicates(["cls"]))
+    near = saved(_near(pairs, signs, percent))
+    sets = _sets(docs, rows.select("cls", "id"), _classes_of(near, "hub", "cls"), k)
+    links = saved(_links(near.select("hub", F.col("hub").alias("a"), F.col("cls").alias("b")), sets, percent))
     # a label is a hub that its bearers are linked with; hubs pass theirs on once
     label = links.groupBy(F.col("b").alias("cls")).agg(F.min("a").alias("label"))
     up = label.select(F.col("cls").alias("label"), F.col("label").alias("above"))
     labels = label.join(up, "label", "left").select("cls", F.least("label", F.coalesce("above", "label")).alias("label"))
     done = pairs.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"))
-    signs = rows.where("sign is not null").select("cls", "sign").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
-    rest = saved(_cross_pairs(prefixes, labels, signs, done, percent))
+    rest = saved(_cross_pairs(prefixes, labels, signs.select("cls", "sign"), done, percent))
     if rest.head(1):
+        sets = _sets(docs, rows.select("cls", "id"), _classes_of(rest, "a", "b"), k)
         links = saved(links.unionByName(_links(rest, sets, percent)))
     return rows, components(links).select(F.col("node").alias("cls"), "component")
 
