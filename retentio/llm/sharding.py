@@ -45,15 +45,16 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     spark = nodes.sparkSession
     quota = -(-nodes.count() // shards)
     counted = nodes.groupBy("group").agg(F.array(*[F.count_if(F.col("label") == s) for s in range(shards)]).alias("counts"))
-    state = saved(counted.where(_total(F.col("counts")) > 1))
+    # written with the counts: a sum inside the functions below would be taken anew for every shard
+    state = saved(counted.withColumn("members", _total(F.col("counts"))).where("members > 1"))
     for turn in range(rounds):
         load = _loads(state, shards)
         room = F.array(*[F.lit(max(0, quota - n)).cast("long") for n in load])
         best = F.array_max(F.transform("counts", lambda n, i: F.struct(
-            (F.element_at(room, i + 1) * 4 >= _total(F.col("counts")) - n).alias("open"), n.alias("n"),
+            (F.element_at(room, i + 1) * 4 >= F.col("members") - n).alias("open"), n.alias("n"),
             F.xxhash64("group", i, F.lit(turn)).alias("tie"), i.alias("label"))))
         wish = state.withColumn("best", best).where("best.open").select(
-            "group", "counts", F.col("best.label").alias("to"),
+            "group", "members", "counts", F.col("best.label").alias("to"),
             F.transform("counts", lambda n, i: F.when((i != F.col("best.label")) & (n <= F.col("best.n")), n)
                         .otherwise(F.lit(0).cast("long"))).alias("leave"))
         asked = {r["to"]: r["n"] for r in wish.groupBy("to").agg(F.sum(_total(F.col("leave"))).alias("n")).collect() if r["n"]}
@@ -63,7 +64,7 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
         quotas = spark.createDataFrame([(s, max(0, quota - load[s]), min(1.0, max(0, quota - load[s]) / n))
                                         for s, n in asked.items()], "to int, room long, chance double")
         granted = (wish.where(_total(F.col("leave")) > 0).join(F.broadcast(quotas), "to")
-                   .withColumn("whole", _total(F.col("counts")) <= F.col("room"))
+                   .withColumn("whole", F.col("members") <= F.col("room"))
                    .withColumn("share", F.when(~F.col("whole"), F.col("chance"))
                                .when(_unit("group", F.lit(turn)) < F.col("chance"), 1.0).otherwise(0.0))
                    .withColumn("gone", F.transform("leave", lambda n: F.floor(n * F.col("share"))))
@@ -71,7 +72,7 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
                        F.zip_with("counts", "gone", lambda n, g: n - g), F.sequence(F.lit(0), F.lit(shards - 1)),
                        lambda n, i: n + F.when(i == F.col("to"), _total(F.col("gone"))).otherwise(0)).alias("now")))
         state = saved(state.join(granted, state["group"] == granted["__group"], "left")
-                      .select("group", F.coalesce("now", "counts").alias("counts")))
+                      .select("group", "members", F.coalesce("now", "counts").alias("counts")))
     return state
 
 
