@@ -95,30 +95,33 @@ def q_m10(spark, sf):
     return stable(M.classification_report(scored(spark, sf)))
 
 
-def _small_ensemble(spark, sf):
-    """A small ensemble (20 trees, 10 + 10 rounds) fitted once per session
-    and data folder on the training split; shared by m6 and m13."""
+def _ensemble(spark, sf):
+    """The whole ensemble (EnsembleConfig's own sizes, weights per model as in
+    lifecycle.train) fitted once per session and data folder on the written
+    training split; shared by m6 and m13."""
     from retentio.operators.features import align_features
+    from retentio.plans.batch import materialise
     from retentio.plans.catalog import _shared
 
     def build():
-        feats = align_features(features(spark, sf), keep=("CustomerID", "Churn"))
+        feats = materialise(align_features(features(spark, sf), keep=("CustomerID", "Churn")))
         train = feats.where(M.key_split(F.col("CustomerID").cast("long")) == "train")
-        cfg = M.EnsembleConfig(rf_trees=20, rf_depth=6, gbt_iter=10, gbt_depth=3)
-        return M.fit_ensemble(train, cfg=cfg), feats
-    return _shared("small_ensemble", spark, sf, build)
+        train = materialise(train.withColumns({"__w": M.class_weights(train),
+                                               "__ratio": M.class_weights(train, mode="ratio")}))
+        return M.fit_ensemble(train, weight_col="__w", boost_weight_col="__ratio"), feats
+    return _shared("ensemble", spark, sf, build)
 
 
 @register("m6_ensemble")
 def q_m6(spark, sf):
-    model, feats = _small_ensemble(spark, sf)
+    model, feats = _ensemble(spark, sf)
     test = feats.where(M.key_split(F.col("CustomerID").cast("long")) == "test")
     return model.score(test).select("CustomerID", "Churn", P, "Predicted_Churn_Numeric")
 
 
 @register("m13_importance")
 def q_m13(spark, sf):
-    model, _ = _small_ensemble(spark, sf)
+    model, _ = _ensemble(spark, sf)
     return M.importance_table(model, 15)
 
 
