@@ -52,8 +52,10 @@ SIGN = 512
 CHUNK = 1 << 17
 #: Sets that meet at a time.
 BLOCK = 256
-#: Rows of a list that are paired up in one place.
+#: Classes of a hub that are paired up in one place, with as many others.
 PART = 8192
+#: Pairs that a task holds to tell repeated ones apart.
+FOUND = 1 << 21
 #: Classes that a task remembers, to send each one's shingles once.
 REMEMBERED = 100_000
 #: DivideSkip's weight of a probe against a merge step.
@@ -225,36 +227,49 @@ def _hub_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(batches, "hub binary, cls binary").where("hub <> cls").distinct())
 
 
+def _dealt(rows: DataFrame, signs: DataFrame) -> DataFrame:
+    """Lists with several labels, each row once for every part that its list meets: (hub, p, q) is worked through in one place.
+
+    The classes of a hub (the least class of each of its lists) fall into parts of about PART,
+    the same on all its lists, so a pair of classes has its place, and a place has two parts at most.
+    """
+    # lists of two have met already
+    lists = rows.groupBy("gram").agg(F.count("*").alias("k"), F.min("cls").alias("hub"), F.min("label").alias("l1"),
+                                     F.max("label").alias("l2")).where("k > 2 and l1 <> l2").select("gram", "hub")
+    listed = rows.join(lists, "gram")
+    # the number of parts decides the order of work alone: an estimate will do
+    crowded = listed.groupBy("hub").agg(F.approx_count_distinct("cls").alias("k")).where(F.col("k") > PART)
+    parts = F.coalesce(F.ceil(F.col("k") / PART), F.lit(1).cast("long"))
+    placed = listed.join(crowded, "hub", "left").withColumn("own", F.pmod(F.xxhash64("cls"), parts)).drop("k")
+    meets = (placed.join(crowded.select("hub"), "hub", "left_semi").groupBy("gram")
+             .agg(F.collect_set("own").alias("others")))
+    return (placed.join(meets, "gram", "left").join(signs, "cls")
+            .withColumn("other", F.explode(F.coalesce("others", F.array("own"))))
+            .select("hub", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "gram", "own",
+                    "label", "cls", "n", "at", "sign"))
+
+
 def _cross_pairs(prefixes: DataFrame, labels: DataFrame, signs: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """(hub, a, b): pairs of different labels on one list that the bounds allow and that have not met yet.
 
     Bounds: size, place on the list, and signatures (linked sets differ in n1 + n2 - 2 T shingles at most).
-    Lists of one hub (their least class) lie together, so a group's pairs, which
-    share many lists, are told apart where they arise. A list longer than PART is dealt
-    out: its rows fall into parts, and each pair of parts is worked through by itself.
+    Lists of one hub lie together, so a group's pairs, which share many lists, are told
+    apart where they arise; a hub of more than PART classes is dealt out by pairs of parts.
     """
     rows = saved(prefixes.join(labels, "cls", "left").select(
         "gram", "cls", "n", "at", F.xxhash64(F.coalesce("label", "cls")).alias("label")))
-    # lists of two have met already
-    lists = rows.groupBy("gram").agg(F.count("*").alias("k"), F.min("cls").alias("hub"), F.min("label").alias("l1"),
-                                     F.max("label").alias("l2")).where("k > 2 and l1 <> l2")
-    parts = F.ceil(F.col("k") / PART)
-    own = F.pmod(F.xxhash64("cls"), parts)
-    dealt = (rows.join(lists.select("gram", "k", "hub"), "gram").join(signs, "cls").withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-             .select("hub", "gram", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own",
-                     "label", "cls", "n", "at", "sign"))
+    dealt = _dealt(rows, signs)
     schema = pa.schema([("hub", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, code, names, marks, found, size = None, {}, [], [], [], 0
-        held, key = [], None  # rows of the list at hand: (own, label, code, n, at)
+        place, code, names, marks, found, size = None, {}, [], np.empty((16, SIGN // 64), np.int64), [], 0
+        held, gram = [], None  # rows of the list at hand: (own, label, code, n, at)
 
         def listed() -> Iterator[np.ndarray]:
             """Pairs (smaller code << 32 | larger) of the held rows that the bounds allow."""
             t = np.array(held, np.int64)
             t = t[np.argsort(t[:, 1], kind="stable")]
-            bits = np.array(marks, np.int64).view(U64)
+            bits = marks.view(U64)
             upto = np.searchsorted(t[:, 1], t[:, 1], "right")  # where other labels begin
             todo = len(t) - upto
             lo = 0
@@ -266,7 +281,7 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame, signs: DataFrame, done:
                 n1, n2, a1, a2 = t[x, 3], t[y, 3], t[x, 4], t[y, 4]
                 ok = ((np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent)
                       & (np.minimum(n1 - a1, n2 - a2) >= overlap(n1, n2, percent)))
-                if key[1] != key[2]:  # two parts: pairs within one arise elsewhere
+                if place[1] != place[2]:  # two parts: pairs within one arise elsewhere
                     ok &= t[x, 0] != t[y, 0]
                 c1, c2 = t[x[ok], 2], t[y[ok], 2]
                 apart = np.bitwise_count(bits[c1] ^ bits[c2]).sum(1, dtype=np.int64)
@@ -276,48 +291,50 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame, signs: DataFrame, done:
                 lo = hi
 
         def told() -> pa.RecordBatch:
-            every = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+            nonlocal size
+            every = np.unique(np.concatenate(found))
             one, two = every >> 32, every & 0xFFFFFFFF
             all_ = pa.array(names, pa.binary())
             x, y = all_.take(pa.array(one)), all_.take(pa.array(two))
-            return pa.RecordBatch.from_arrays([pa.array([hub] * len(every), pa.binary()), x, y], schema=schema)
+            found[:], size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array([place[0]] * len(every), pa.binary()), x, y], schema=schema)
 
-        def close() -> None:
+        def close() -> Iterator[pa.RecordBatch]:
             nonlocal size
             if len(held) > 1:
                 for f in listed():
                     found.append(np.unique(f))
                     size += len(found[-1])
-                if size > 1 << 21:
-                    found[:] = [np.unique(np.concatenate(found))]
-                    size = len(found[0])
+                    if size > FOUND:
+                        found[:] = [np.unique(np.concatenate(found))]
+                        size = len(found[0])
+                        if size > FOUND // 2:  # what comes again is told apart after the exchange
+                            yield told()
             held.clear()
 
         for batch in it:
-            for h, g, p, q, own_, label, cls, n, at, sign in zip(*(c.to_pylist() for c in batch.columns)):
-                if (g, p, q) != key or h != hub:
-                    if held:
-                        close()
-                    if h != hub or size > 1 << 21:
+            for h, p, q, g, own_, label, cls, n, at, sign in zip(*(c.to_pylist() for c in batch.columns)):
+                if (h, p, q) != place or g != gram:
+                    yield from close()
+                    if (h, p, q) != place:
                         if found:
                             yield told()
-                        if h != hub:
-                            code, names, marks = {}, [], []
-                        hub, found[:], size = h, [], 0
-                    key = (g, p, q)
+                        place, code, names = (h, p, q), {}, []
+                    gram = g
                 i = code.get(cls)
                 if i is None:
                     i = code[cls] = len(names)
                     names.append(cls)
-                    marks.append(sign)
+                    if i == len(marks):
+                        marks = np.concatenate([marks, np.empty_like(marks)])
+                    marks[i] = sign
                 held.append((own_, label, i, n, at))
-        if held:
-            close()
+        yield from close()
         if found:
             yield told()
 
-    met = (dealt.repartition("hub").sortWithinPartitions("hub", "gram", "p", "q")
-           .select("hub", "gram", "p", "q", "own", "label", "cls", "n", "at", "sign")
+    met = (dealt.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q", "gram")
+           .select("hub", "p", "q", "gram", "own", "label", "cls", "n", "at", "sign")
            .mapInArrow(batches, "hub binary, a binary, b binary"))
     once = met.select("hub", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(
         F.min("hub").alias("hub"))

@@ -89,3 +89,42 @@ def test_one_of_each(spark, edge_docs):
     want = {c for _, n, c in brute([(r.doc_id, r.text) for r in docs.collect()], 5, 80) if n}
     assert sorted(r.doc_id for r in left.collect() if (r.text or "").strip()) == sorted(want)
     assert left.where("trim(coalesce(text, '')) = ''").count() == docs.where("trim(coalesce(text, '')) = ''").count()
+
+
+def templated(spark, n=60, seed=5):
+    """Documents of one template that differ in about a fifth of their words at one end: few are linked, all share lists."""
+    rng = random.Random(seed)
+    head = [f"t{i}" for i in range(40)]
+    return spark.createDataFrame([(i, " ".join(head + [f"x{rng.randint(0, 9)}" for _ in range(rng.randint(1, 9))]))
+                                  for i in range(n)], "doc_id long, text string")
+
+
+def test_a_crowded_hub_is_dealt_by_pairs_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "PART", 8)
+    monkeypatch.setattr(N, "FOUND", 4)
+    monkeypatch.setattr(N, "CHUNK", 16)
+    seen = []
+    cross = N._cross_pairs
+    monkeypatch.setattr(N, "_cross_pairs", lambda *a: seen.append((a, cross(*a))) or seen[-1][1])
+    check(templated(spark))
+    (prefixes, labels, signs, done, percent), out = seen[0]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[hub#\d+, p#\d+L?, q#\d+L?\]", plan)
+
+
+def test_places_are_bounded_and_every_pair_has_one(spark, monkeypatch):
+    monkeypatch.setattr(N, "PART", 20)
+    names = [i.to_bytes(16, "big") for i in range(200)]
+    on = {g: [i for i in range(200) if i == 0 or (i * 7 + g) % 3] for g in range(6)} | {9: [0, 5, 6]}
+    rows = spark.createDataFrame([(g, names[i], 100, 1, i) for g, members in on.items() for i in members],
+                                 "gram long, cls binary, n long, at long, label long")
+    signs = spark.createDataFrame([(c, [0] * 8) for c in names], "cls binary, sign array<long>")
+    places = {}
+    for r in N._dealt(rows, signs).collect():
+        places.setdefault((r.hub, r.p, r.q), {}).setdefault(r.gram, []).append((r.own, bytes(r.cls)))
+    classes = [len({c for rows_ in lists.values() for _, c in rows_}) for lists in places.values()]
+    assert max(classes) <= 80 and len(places) >= 36
+    for g, members in on.items():
+        met = [tuple(sorted((a, b))) for (_, p, q), lists in places.items() for x, (o, a) in enumerate(lists.get(g, []))
+               for o2, b in lists[g][:x] if p == q or o != o2]
+        assert len(met) == len(set(met)) == len(members) * (len(members) - 1) // 2
