@@ -23,10 +23,18 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]*+"
 WINDOW = 20
 #: Bits a character of the best window, by character class: (class, test, least entropy).
 CLASSES = [("digits", r"^[0-9_=/+-]+$", 9.0), ("hex", r"^[0-9a-fA-F]+$", 2.9), ("other", r".", 3.75)]
-#: Never secrets: examples and fillers, UUIDs, checksums and addresses, long runs of one character, counting.
-ALLOWED = (r"(?i)example|sample|dummy|placeholder|changeme|notasecret|redacted|test_?key|^sha(1|256|384|512)-"
-           r"|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|(.)\2{7}|0123456789|abcdefgh"
-           r"|/[^/]*/[^/]*/")
+_FILLER = (r"(?i:example|sample|dummy|placeholder|changeme|notasecret|redacted|test_?key|0123456789|abcdefgh"
+           r"|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|([A-Za-z0-9+/_=-])\%d{7})")
+#: A part between separators ('/' is one, or a character of base64) that could be a secret by itself: long enough,
+#: with a digit, and no filler in it.
+_OWN = "|".join(rf"(?<![A-Za-z0-9{c}])(?=[A-Za-z0-9{c}]{{{WINDOW}}})(?=[A-Za-z{c}]*+[0-9])(?![A-Za-z0-9{c}]*{_FILLER % g})"
+                for g, c in ((1, "+"), (2, "+/")))
+#: A segment of a path: words, abbreviations, numbers and single letters, not the mixed characters of a key.
+_SEGMENT = r"(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++|[A-Za-z](?![A-Za-z]))[-_+=]*+)*+"
+#: Never secrets: checksums; examples and fillers, UUIDs, long runs of one character and counting, where no other
+#: part is long enough; paths of three slashes or more whose every segment is words.
+ALLOWED = (r"^(?i:sha(?:1|256|384|512)-)|^(?!.*(?:" + _OWN + r")).*" + _FILLER % 3
+           + r"|^(?!.*(?<![^/])(?!" + _SEGMENT + r"(?:/|$)))[^/]*/[^/]*/[^/]*/")
 
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -91,7 +99,7 @@ def scan(docs: DataFrame) -> DataFrame:
     ``base``: the key patterns, each kind's matches leftmost and non-overlapping.
     ``spans``: base and the entropy spans, by start, then kind: runs of 20 or
     more characters whose best window reaches its class's entropy, unless the
-    allow-list suppresses them or a base span already overlaps them. Null or
+    allow-list (fillers, checksums, paths of words) suppresses them or a base span already overlaps them. Null or
     empty texts have none; null ids and repeated rows pass through; other
     columns are not read; an empty table gives an empty table.
     """

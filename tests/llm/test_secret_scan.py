@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from retentio.llm import secret_scan as S
 
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 KINDS = [(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
          (r"AKIA[A-Z0-9]+", 0, 20), (r"[0-9a-f]+", 0, 24)]
 
@@ -66,3 +68,37 @@ def test_plan_has_no_python(spark, edge_docs):
     plan = S.digest(S.scan(edge_docs))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert S.scan(edge_docs.limit(0)).collect() == []
+
+
+def entropy_spans(spark, values):
+    """Which of ``values`` (as whole texts) have an entropy span over all of them."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in S.digest(S.scan(df)).collect()}
+    return [got[i] == f"entropy:0:{len(v)}" for i, v in enumerate(values)]
+
+
+def test_planted_base64_keys_are_found_at_every_length(spark):
+    rng = random.Random(3)
+    for n in (40, 64, 88, 172, 344, 400):
+        keys = ["".join(rng.choice(BASE64) for _ in range(n)) for _ in range(200)]
+        keys = [k for k in keys if re.search("[0-9]", k) and not base(k) and best(k) >= 3.75]  # no shorter kind, entropy reached
+        slashed = [k for k in keys if k.count("/") >= 3]
+        assert len(keys) > 190 and (slashed or n == 40)
+        assert all(entropy_spans(spark, keys)), n
+
+
+def test_a_secret_glued_to_a_word_or_a_path_is_found(spark):
+    key = "Zx9Qm2Lp7Rt4Vw8Yb1Nc6Kd3"
+    found = [f"/services/T0/B0/{key}", f"sample_rate={key}", f"example/{key}", f"id=12345678-1234-1234-1234-123456789abc/{key}",
+             f"dummy-{key}-test_key", "sample_rate=Zx9Qm2Lp7R/t4Vw8Yb1Nc6K/d3Hs5Gj0"]
+    never = [f"EXAMPLE{key}", f"sha256-{key}", "12345678-1234-1234-1234-123456789abc", "/usr/share/fonts/Xorg7/misc-fixed",
+             "docs/v2/api/users_and_groups/HTTPServer2/readme", "dummy/aaaaaaaaaaaaaaaaaaaaaaaaaaa9"]
+    assert entropy_spans(spark, found) == [True] * len(found)
+    assert entropy_spans(spark, never) == [False] * len(never)
+
+
+def test_a_very_long_run_is_judged(spark):
+    rng = random.Random(4)
+    long_ = "".join(rng.choice(BASE64) for _ in range(20_000))
+    assert entropy_spans(spark, ["/ab1" * 20_000, "a-" * 20_000 + "dummy9"]) == [False, False]
+    assert re.search(S.ALLOWED, long_) is None
