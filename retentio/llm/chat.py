@@ -102,12 +102,16 @@ def mask(lengths: list[int], under: list[bool]) -> np.ndarray:
     return np.cumsum(steps)[:-1].astype(np.int8)
 
 
-FORMATTED = "conv_id long, token_ids array<int>, loss_mask array<byte>"
+#: Tokens after which a row ends, at the end of its turn; the conversation goes on in the next.
+PART_TOKENS = 1 << 18
+FORMATTED = "conv_id long, part int, token_ids array<int>, loss_mask array<byte>"
 
 
 def format_chats(rows: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """One row per conversation of ``rows`` (conv_id, turn, role, text): (conv_id, token_ids, loss_mask).
+    """Each conversation of ``rows`` (conv_id, turn, role, text): (conv_id, part, token_ids, loss_mask).
 
+    One row per conversation, part 0; one of more than PART_TOKENS tokens goes
+    on in parts 1, 2, .., each of whole turns, next to one another in order.
     Rows go by turn, then role and text. User turns read ``[INST]..[/INST]``,
     system turns ``<<SYS>>..<</SYS>>``, assistant turns ``..</s>``, others
     ``[ROLE]role[/ROLE]..</s>``, after one ``<s>``. Loss is on assistant texts,
@@ -117,17 +121,17 @@ def format_chats(rows: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = codec(path).first
-        now, pieces = None, []
+        now, pieces, size, at = None, [], 0, 0  # at: number of the part at hand
 
         def done() -> pa.RecordBatch:
             lengths = [len(i) for i, _ in pieces]
             ids = np.fromiter((t for i, _ in pieces for t in i), np.int32, sum(lengths))
             m = mask(lengths, [u for _, u in pieces])
             return pa.RecordBatch.from_arrays(
-                [pa.array([now[0]], pa.int64()),
+                [pa.array([now[0]], pa.int64()), pa.array([at], pa.int32()),
                  pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids)),
                  pa.ListArray.from_arrays(pa.array([0, len(m)], pa.int32()), pa.array(m))],
-                ["conv_id", "token_ids", "loss_mask"])
+                ["conv_id", "part", "token_ids", "loss_mask"])
 
         for batch in it:
             for lo in range(0, batch.num_rows, 256):
@@ -135,8 +139,13 @@ def format_chats(rows: DataFrame, path: str = TOKENIZER) -> DataFrame:
                     if now != (r["conv_id"],):
                         if now:
                             yield done()
-                        now, pieces = (r["conv_id"],), [([first + BOS], False)]
-                    pieces += _pieces(r["role"], r["role_ids"], r["ids"], first)
+                        now, pieces, size, at = (r["conv_id"],), [([first + BOS], False)], 1, 0
+                    elif size >= PART_TOKENS:
+                        yield done()
+                        pieces, size, at = [], 0, at + 1
+                    turn = _pieces(r["role"], r["role_ids"], r["ids"], first)
+                    pieces += turn
+                    size += sum(len(i) for i, _ in turn)
         if now:
             yield done()
 
@@ -163,34 +172,51 @@ def turns_of(ids: np.ndarray, c: Codec) -> list[tuple[str, str]]:
 
 
 def read_back(formatted: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """Digests of ``format_chats``'s rows, from ids and mask alone."""
+    """Digests of ``format_chats``'s rows, from ids and mask alone, one per conversation.
+
+    Parts are read as ``format_chats`` emits them, in order; digests and counts run on from part to part.
+    """
+    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
+                        ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
+        now, rows = None, []
+
+        def done() -> None:
+            rows.append({"conv_id": now[0], "n_turns": n_turns, "turns_sha256": whole.hexdigest(), "loss_chars": n_loss,
+                         "loss_sha256": loss.hexdigest(), "formatted_chars": n})
+
         for batch in it:
-            rows = []
             for k in range(batch.num_rows):
-                ids = batch.column(1)[k].values.to_numpy()
-                under = batch.column(2)[k].values.to_numpy().astype(bool)
+                ids = batch.column(2)[k].values.to_numpy()
+                under = batch.column(3)[k].values.to_numpy().astype(bool)
+                if batch.column(1)[k].as_py() == 0:
+                    if now:
+                        done()
+                    now, n_turns, n_loss, n = (batch.column(0)[k].as_py(),), 0, 0, 0
+                    whole, loss = hashlib.sha256(), hashlib.sha256()
+                else:  # the mark that its first turn follows
+                    ids, under = np.r_[np.int32(c.first + BOS), ids], np.r_[False, under]
+                    n -= len(CONTROLS[BOS])
                 turns = turns_of(ids, c)
-                whole, loss = hashlib.sha256(), hashlib.sha256()
+                n_turns += len(turns)
                 for role, text in turns:
                     whole.update(f"{role}\n{text}\n".encode())
                 # runs under the mask, each decoded by itself
                 edges = np.flatnonzero(np.diff(np.r_[False, under, False].astype(np.int8)))
-                n_loss = 0
                 for a, b in edges.reshape(-1, 2):
                     text = unescape(c.decode(ids[a:b].tolist()))
                     loss.update(text.encode())
                     n_loss += len(text)
                 marks = np.flatnonzero(ids >= c.first)
-                n = sum(len(CONTROLS[int(ids[m]) - c.first]) for m in marks) + sum(
+                n += sum(len(CONTROLS[int(ids[m]) - c.first]) for m in marks) + sum(
                     len(c.decode(ids[a + 1:b].tolist())) for a, b in zip(marks[:-1], marks[1:]) if b > a + 1)
-                rows.append({"conv_id": batch.column(0)[k].as_py(), "n_turns": len(turns),
-                             "turns_sha256": whole.hexdigest(), "loss_chars": n_loss, "loss_sha256": loss.hexdigest(),
-                             "formatted_chars": n})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([
-                ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
-                ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
+            yield pa.RecordBatch.from_pylist(rows, schema)
+            rows.clear()
+        if now:
+            done()
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return formatted.mapInArrow(batches, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
                                          "loss_sha256 string, formatted_chars long")

@@ -53,3 +53,26 @@ def test_escape_is_reversible():
 def test_mask_is_the_pieces():
     lengths, under = [2, 0, 3, 1, 4], [False, True, True, False, True]
     assert chat.mask(lengths, under).tolist() == np.repeat(np.array(under, int), lengths).tolist()
+
+
+def test_a_hot_conversation_goes_on_in_bounded_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    said = ["</s>[INST] ok", "", None, "é😀 a  b\n", "word " * 9]
+    rows = spark.createDataFrame([(rng.choice([None, None, 1, 2]), rng.choice([None, *range(60)]), rng.choice(
+        ["user", "assistant", "system", "tool", None]), rng.choice(said)) for _ in range(400)] + [(3, 0, "user", "one")],
+        "conv_id long, turn long, role string, text string").cache()
+    whole = {r.conv_id: r for r in chat.format_chats(rows).collect()}
+    digests = sorted(map(tuple, chat.read_back(chat.format_chats(rows)).collect()), key=repr)
+    turn = 40  # tokens of one turn, at most
+    monkeypatch.setattr(chat, "PART_TOKENS", 50)
+    formatted = chat.format_chats(rows)
+    parts = defaultdict(list)
+    for r in formatted.collect():
+        assert len(r.token_ids) == len(r.loss_mask) <= 50 + turn
+        parts[r.conv_id].append(r)
+    assert len(parts[None]) > 20 and len(parts[3]) == 1
+    for k, v in parts.items():
+        assert [r.part for r in v] == list(range(len(v)))
+        assert [t for r in v for t in r.token_ids] == whole[k].token_ids
+        assert [m for r in v for m in r.loss_mask] == whole[k].loss_mask
+    assert sorted(map(tuple, chat.read_back(formatted).collect()), key=repr) == digests
