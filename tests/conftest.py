@@ -15,6 +15,3 @@ def spark():
     ensure_checkpoint_dir(s)
     yield s
     s.stop()
-
-
-SF_SMALL = "/root/testdata/sf0.001"

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from retentio.operators import ml as M
 from retentio.plans import catalog, queries_io
 

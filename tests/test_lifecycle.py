@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from retentio.operators import ml as M
 from retentio.plans import lifecycle as L
 from retentio.plans.mart import customer_mart

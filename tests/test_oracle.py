@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from retentio.sources.tables import TABLES
 
 ORACLES = entry.oracle_sql()

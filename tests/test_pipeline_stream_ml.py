@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from retentio.operators import ml as M
 from retentio.operators.clean import normalise_missing
 from retentio.operators.stats import compute_stats

@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from retentio.plans.mart import customer_mart
 
 # queries that write files or fit models while being built
