@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentio.llm import chat, cube, decontaminate, digest, licenses, line_chunks, ngram_join, quality, secret_scan, sharding
+from retentio.llm import (chat, cube, decontaminate, digest, fill_middle, licenses, line_chunks, ngram_join, quality, secret_scan,
+                          sharding)
 from retentio.llm.tables import read
 
 
@@ -54,6 +55,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("key")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.transform(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_fingerprint": op2_fingerprint,
@@ -65,8 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality": op10_quality,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op5_line_chunks": line_chunks.ORACLE,
+    "op11_fill_middle": fill_middle.ORACLE,
 }
