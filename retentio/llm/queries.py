@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from retentio.llm import (chat, cube, decontaminate, digest, fill_middle, licenses, line_chunks, ngram_join, quality, secret_scan,
-                          sharding)
+                          sharding, token_links)
 from retentio.llm.tables import read
 
 
@@ -59,6 +59,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(fill_middle.transform(read(spark, sf_dir, "documents")))
 
 
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.align(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_fingerprint": op2_fingerprint,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_quality": op10_quality,
     "op11_fill_middle": op11_fill_middle,
+    "op12_token_links": op12_token_links,
 }
 
 ORACLES: dict[str, str] = {
