@@ -3,8 +3,13 @@ from collections import Counter
 
 import numpy as np
 
+from tokenizers import Tokenizer
+
 from retentio.llm import token_links as T
 
+HF = Tokenizer.from_file(T.TOKENIZER_A)
+HF.encode_special_tokens = True
+
 
 def plain_version(rows):
     """Token by token, from byte ranges."""
@@ -15,7 +20,7 @@ def plain_version(rows):
             continue
         whole = (" " + text).encode()
         both = []
-        for ids, table in ((c.a.encode(" " + text, add_special_tokens=False).ids, c.a_bytes), (c.b.encode(text), c.b_bytes)):
+        for ids, table in ((HF.encode(" " + text, add_special_tokens=False).ids, c.a_bytes), (c.b.encode(text), c.b_bytes)):
             at, out = 0, []
             for i in ids:
                 out.append((i, at, at + len(table[i])))
@@ -91,20 +96,33 @@ def test_groups_and_pair_counts(spark, edge_docs):
     assert T.align(edge_docs.limit(0)).collect() == []
 
 
-def test_many_blocks_and_a_forgetful_memo():
-    """Blocks end and alignments are forgotten within a task: the same windows again get the same groups."""
+def test_a_window_is_aligned_once_and_alike_wherever_it_stands():
     c = T.coders(T.TOKENIZER_A, T.TOKENIZER_B)
-    memo = T._Memo(c)
-
-    text = " some words  come\nagain and some words go unhappily"
+    text = " some words  come\nagain and some words go unhappily 1234567 été"
     a, b = (np.array(x, np.uint32) for x in (c.encode_a([text[1:]])[0], c.encode_b([text[1:]])[0]))
     keys, passed = T._windows(a, b, c)
     assert passed[-1] == len(a) and len(set(keys)) < len(keys)
-    first = [memo[k] for k in keys]
-    memo.size = T.REMEMBERED + 1
-    memo.pop(keys[0]), memo[keys[0]]
-    assert list(memo) == keys[:1]
-    again = [T._Memo(c)[k] for k in keys]
-    assert [(w.text, w.links.tolist()) for w in first] == [(w.text, w.links.tolist()) for w in again]
-    joined = T.align_window(a.tolist(), b.tolist(), c)
-    assert joined.text == ";".join(w.text for w in first)
+    block = T._Block(c)
+    numbers = block.numbers(keys)
+    assert len(block) == len(set(keys)) and (block.numbers(keys) == numbers).all() and len(block.texts) == len(block)
+    alone = [T.align_windows([k], c) for k in keys]
+    assert [block.texts[i] for i in numbers] == [x.texts[0] for x in alone]
+    assert [block.groups[i] for i in numbers] == [x.groups[0] for x in alone]
+    assert [block.n_links[i] for i in numbers] == [x.n_links[0] for x in alone]
+
+
+def test_the_rank_encoder_gives_the_ids_of_the_file(spark):
+    c = T.coders(T.TOKENIZER_A, T.TOKENIZER_B)
+    every = ["".join(chr(x) for x in range(lo, lo + 64) if not 0xD800 <= x < 0xE000) for lo in range(0, 0x30000, 64)]
+    texts = [f"{x} a{x}1" for x in every] + ["'ll don't  \n\n x" * 9, "ab" * 20_000, "<|endoftext|>x"]
+    assert c.encode_a(texts) == [e.ids for e in HF.encode_batch([" " + x for x in texts], add_special_tokens=False)]
+    assert c.a.__name__ == "encode_ordinary"
+
+
+def test_blocks_end_within_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words {i % 7} come again {'é' * (i % 5)}") for i in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(T, "BLOCK", 200)
+    monkeypatch.setattr(T, "pieces", lambda at: ((i, i + 1) for i in range(len(at) - 1)))
+    got = [tuple(r) for r in T.align(docs.coalesce(2)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                                                             "groups_sha256").collect()]
+    assert sorted(got) == sorted(plain_version([tuple(r) for r in docs.collect()]))
