@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentio.llm import (chat, cube, decontaminate, digest, fill_middle, licenses, line_chunks, ngram_join, quality, secret_scan,
-                          sharding, token_links)
+from retentio.llm import (chat, cube, decontaminate, digest, fill_middle, licenses, line_chunks, ngram_join, personal, quality,
+                          secret_scan, sharding, token_links)
 from retentio.llm.tables import read
 
 
@@ -63,6 +63,10 @@ def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_links.align(read(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digest(personal.find(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_fingerprint": op2_fingerprint,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_fill_middle": op11_fill_middle,
     "op12_token_links": op12_token_links,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLES: dict[str, str] = {
