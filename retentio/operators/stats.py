@@ -7,11 +7,10 @@ Scale notes
   ``(-count, value)`` -- two combinable aggregates, lowest value wins a tie.
 * median / quantiles: exact, without pulling a column into one task. Spark's
   ``median`` keeps every distinct value of a global group in one buffer,
-  which does not hold at 100 TB. Instead a selection narrows value
-  intervals: a mergeable ``percentile_approx`` sketch gives two values around
-  each rank, exact conditional counts place them, and the interval shrinks
-  several hundredfold a round. It is the same at every size, and no row is
-  ever ranked (``select_ranks``).
+  which does not hold at 100 TB. Instead a radix selection (``select_ranks``)
+  reads a value's 64-bit order-preserving key 16 bits at a time: four
+  combinable counts by digit, for all ranks of all columns at once, whatever
+  the data. No sketch, no row is ever ranked.
 
 The result is a small DataFrame ``(column, kind, n_valid, mean, median,
 mode)``; ``Stats`` holds it as plain values (one per column) for literal
@@ -21,8 +20,10 @@ substitution in the cleaning expressions.
 from __future__ import annotations
 
 import math
+import struct
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,97 +106,94 @@ def _long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
             .where(F.col("value").isNotNull()))
 
 
-#: Grid of the sketch: a round narrows an interval to a few of so many parts.
-GRID = 1000
-#: Far more rounds than any column needs (each narrows several hundredfold).
-MOST_ROUNDS = 64
+#: Bits of a key, and those that one round reads.
+KEY_BITS, DIGIT_BITS = 64, 16
 
 
-def _number(of: dict[str, tuple], i: int) -> Column:
-    """The i-th number that ``of`` holds for a row's column."""
-    return F.element_at(F.create_map(*[x for c, v in of.items() for x in (F.lit(c), F.lit(float(v[i])))]), F.col("column"))
+def order_key(value: Column) -> Column:
+    """A long that orders as the finite double ``value`` does: its exponent and fraction, negative for negative values.
+
+    The two powers of two on either side of a value tell its exponent exactly, whatever the logarithm rounds to.
+    """
+    def magnitude(a: Column) -> Column:
+        near = F.floor(F.log2(a)).cast("double")
+        m = a / F.pow(F.lit(2.0), near)
+        e = near + F.when(m >= 2, 1.0).when(m < 1, -1.0).otherwise(0.0)
+        normal = (F.shiftleft((e + 1023).cast("long"), 52)
+                  + ((a / F.pow(F.lit(2.0), e) - 1) * float(1 << 52)).cast("long"))
+        # below the least normal double there is no exponent to tell
+        return F.when(a < 2.0 ** -1022, (a * 2.0 ** 537 * 2.0 ** 537).cast("long")).otherwise(normal)
+
+    return (F.when(value > 0, magnitude(value)).when(value < 0, -magnitude(-value))
+            .when(value == 0, F.lit(0).cast("long")))
 
 
-def select_ranks(long: DataFrame, keys: dict, accuracy: int = 10 * GRID) -> None:
-    """Exact order statistics of a (column, value) long table.
+def key_value(key: int) -> float:
+    """The double of an ``order_key``."""
+    value = struct.unpack("<d", struct.pack("<q", abs(key)))[0]
+    return -value if key < 0 else value
+
+
+def select_ranks(long: DataFrame, keys: dict) -> None:
+    """Exact order statistics of a (column, value) long table of finite doubles.
 
     ``keys[(column, tag)]`` = {"ranks": (r1, r2)} (0-based ranks among the
     column's values); on return each key has ``found[rank]``.
 
-    Every open rank lies in a value interval (lo, hi]. A round is two
-    combinable aggregates over all open intervals of all columns: a mergeable
-    sketch gives two values of the interval on either side of the rank, exact
-    counts place both, and the nearest values beyond them are noted. A rank
-    within the run of one of these values is found, also when it lies at the
-    edge between two hot values; else its interval shrinks to what lies
-    between them. Rows are never ranked or gathered, whatever the column.
+    A rank is open with the digits of its key found so far (at first none). A
+    round counts, for each such prefix, how many values have which next digit
+    (at most 2 ** 16 rows a prefix, combined before the shuffle), adds the
+    counts up in order inside one row a prefix, and takes the digit in which
+    the rank falls. Four rounds find the whole key, whatever the values.
     """
-    ranks: dict[tuple[str, int], dict] = {}
-    for (c, _), st in keys.items():
-        for r in st["ranks"]:
-            ranks.setdefault((c, r), {"lo": -math.inf, "hi": math.inf, "below": 0, "upto": None, "value": None})
-    value, column = F.col("value"), F.col("column")
-    for _ in range(MOST_ROUNDS):
-        open_ = {k: st for k, st in ranks.items() if st["value"] is None}
-        if not open_:
-            break
-        # ranks of one column with one interval share a slot
-        slots: dict[str, list[tuple[float, float]]] = {}
-        for (c, _), st in open_.items():
-            slots.setdefault(c, [])
-            if (st["lo"], st["hi"]) not in slots[c]:
-                slots[c].append((st["lo"], st["hi"]))
-        width = max(map(len, slots.values()))
-        cand = long.where(column.isin(*slots))
-        aggs = []
-        for j in range(width):
-            of = {c: v[j] for c, v in slots.items() if j < len(v)}
-            inside = (column.isin(*of) & (value > _number(of, 0)) & (value <= _number(of, 1)))
-            aggs += [F.percentile_approx(F.when(inside, value), [i / GRID for i in range(GRID + 1)], accuracy).alias(f"q{j}"),
-                     F.count_if(inside).alias(f"n{j}")]
-        sketch = {r["column"]: r for r in cand.groupBy("column").agg(*aggs).collect()}  # one row per column
-        pivots: dict[str, list[float]] = {c: [] for c in slots}
-        for (c, r), st in open_.items():
-            j = slots[c].index((st["lo"], st["hi"]))
-            if c not in sketch or not sketch[c][f"n{j}"]:
+    spark = long.sparkSession
+    # (column, rank) -> prefix, and how many values of the column lie below it
+    open_: dict[tuple[str, int], tuple[int, int]] = {(c, r): (0, 0) for (c, _), st in keys.items() for r in st["ranks"]}
+    if not open_:
+        return
+    # with the sign bit turned over, digits are unsigned and order as keys do
+    cells = long.select("column", order_key(F.col("value")).bitwiseXOR(F.lit(-1 << 63)).alias("key"))
+    for done in range(0, KEY_BITS, DIGIT_BITS):
+        slots = sorted({(c, prefix) for (c, _), (prefix, _) in open_.items()})
+        number = {slot: i for i, slot in enumerate(slots)}
+        # the shift is data, so that the plan of every round is the same code
+        of = pa.table({"column": [c for c, _ in slots], "prefix": [p for _, p in slots], "slot": list(range(len(slots))),
+                       "shift": [KEY_BITS - DIGIT_BITS - done] * len(slots)},
+                      pa.schema([("column", pa.string()), ("prefix", pa.int64()), ("slot", pa.int32()), ("shift", pa.int32())]))
+        ranks: list[list[int]] = [[] for _ in slots]
+        for (c, r), (prefix, below) in open_.items():
+            ranks[number[c, prefix]].append(r - below)
+        wanted = pa.table({"slot": list(range(len(slots))), "wanted": ranks},
+                          pa.schema([("slot", pa.int32()), ("wanted", pa.list_(pa.int64()))]))
+        upto = F.expr("shiftrightunsigned(key, shift)")
+        counted = (cells.join(F.broadcast(spark.createDataFrame(of)), "column")
+                   .where(F.shiftrightunsigned(upto, DIGIT_BITS) == F.col("prefix"))
+                   .groupBy("slot", upto.alias("upto")).agg(F.count(F.lit(1)).alias("n")))
+        in_order = counted.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("upto", "n"))).alias("counts"))
+
+        def place(rank: Column) -> Column:
+            start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(None).cast("long").alias("upto"),
+                             F.lit(0).cast("long").alias("below"))
+            return F.aggregate("counts", start, lambda acc, x: F.when(
+                acc["upto"].isNull() & (rank < acc["total"] + x["n"]),
+                F.struct((acc["total"] + x["n"]).alias("total"), x["upto"].alias("upto"), acc["total"].alias("below"))).otherwise(
+                F.struct((acc["total"] + x["n"]).alias("total"), acc["upto"].alias("upto"), acc["below"].alias("below"))))
+
+        found = in_order.join(F.broadcast(spark.createDataFrame(wanted)), "slot").select(
+            "slot", F.explode(F.transform("wanted", lambda r: F.struct(r.alias("rank"), place(r).alias("at")))).alias("x"))
+        at = {(row["slot"], row["rank"]): (row["upto"], row["below"]) for row in found.select(
+            "slot", "x.rank", "x.at.upto", "x.at.below").collect()}  # one row per rank
+        for (c, r), (prefix, below) in open_.items():
+            upto, more = at.get((number[c, prefix], r - below), (None, 0))
+            if upto is None:
                 raise ValueError(f"rank {r} is beyond the values of column {c}")
-            at = (r - st["below"]) / sketch[c][f"n{j}"] * GRID
-            for i in (math.floor(at) - 1, math.ceil(at) + 1):
-                v = float(sketch[c][f"q{j}"][min(max(i, 0), GRID)])
-                if v not in pivots[c]:
-                    pivots[c].append(v)
-        placed: dict[tuple[str, float], tuple] = {}
-        aggs = []
-        for i in range(max(map(len, pivots.values()))):
-            of = {c: (v[i],) for c, v in pivots.items() if i < len(v)}
-            mine, pivot = column.isin(*of), _number(of, 0)
-            aggs += [F.count_if(mine & (value < pivot)).alias(f"lt{i}"), F.count_if(mine & (value <= pivot)).alias(f"le{i}"),
-                     F.max(F.when(mine & (value < pivot), value)).alias(f"before{i}"),
-                     F.min(F.when(mine & (value > pivot), value)).alias(f"after{i}")]
-        for row in cand.groupBy("column").agg(*aggs).collect():  # one row per column
-            for i, v in enumerate(pivots[row["column"]]):
-                placed[row["column"], v] = (row[f"lt{i}"], row[f"le{i}"], row[f"before{i}"], row[f"after{i}"])
-        for (c, r), st in open_.items():
-            for v in pivots[c]:
-                lt, le, before, after = placed[c, v]
-                if lt <= r < le:
-                    st["value"] = v
-                elif r == lt - 1:
-                    st["value"] = float(before)
-                elif r == le:
-                    st["value"] = float(after)
-                elif r > le and v > st["lo"]:
-                    st["lo"], st["below"] = v, le
-                elif r < lt and before < st["hi"]:
-                    st["hi"] = float(before)
-    else:
-        raise RuntimeError(f"order statistics not found in {MOST_ROUNDS} rounds")
+            open_[c, r] = upto, below + more
     for (c, _), st in keys.items():
-        st["found"] = {r: ranks[c, r]["value"] for r in st["ranks"]}
+        st["found"] = {r: key_value(open_[c, r][0] + (1 << 63) if open_[c, r][0] < 0 else open_[c, r][0] - (1 << 63))
+                       for r in st["ranks"]}
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], counts: dict[str, int], qs: list[float],
-                    accuracy: int = 10 * GRID) -> dict[str, dict[float, float]]:
+def exact_quantiles(df: DataFrame, cols: list[str], counts: dict[str, int], qs: list[float]) -> dict[str, dict[float, float]]:
     """Exact linear-interpolated quantiles per column (see module notes).
 
     Quantile q of n values sits at position q*(n-1); the two neighbouring
@@ -215,7 +213,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], counts: dict[str, int], qs:
             lo = int(math.floor(pos))
             keys[(c, qi)] = {"ranks": (lo, int(math.ceil(pos))), "frac": pos - lo}
     if keys:
-        select_ranks(_long_numeric(df, cols), keys, accuracy)
+        select_ranks(_long_numeric(df, cols), keys)
     for (c, qi), st in keys.items():
         lo_r, hi_r = st["ranks"]
         a, b = st["found"][lo_r], st["found"][hi_r]
@@ -223,9 +221,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], counts: dict[str, int], qs:
     return result
 
 
-def exact_medians(df: DataFrame, cols: list[str], counts: dict[str, int], **kw) -> dict[str, float]:
+def exact_medians(df: DataFrame, cols: list[str], counts: dict[str, int]) -> dict[str, float]:
     """Exact median per column (distributed selection)."""
-    q = exact_quantiles(df, cols, counts, [0.5], **kw)
+    q = exact_quantiles(df, cols, counts, [0.5])
     return {c: q[c][0.5] for c in cols}
 
 
