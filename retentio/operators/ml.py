@@ -13,13 +13,17 @@
 
 from __future__ import annotations
 
+import json
+import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.functions.fixed import CLASS_CUT, MODEL_FEATURES
+from retentio.functions.fixed import CATEGORICAL_COLUMNS, CLASS_CUT, MODEL_FEATURES
 from retentio.operators.clean import _c
+from retentio.operators.score import ModelUnavailable
 
 # ---------------------------------------------------------------------------
 # M1 / M2
@@ -105,6 +109,15 @@ class EnsembleConfig:
     checkpoint_interval: int = 10
 
 
+class ModelMismatch(ModelUnavailable):
+    """A saved model that was made with other features, categories, cut or statistics."""
+
+
+def _vocabulary() -> list[str]:
+    """The dummy features of the fixed categories."""
+    return [f for f in MODEL_FEATURES if any(f.startswith(c + "_") for c in CATEGORICAL_COLUMNS)]
+
+
 class EnsembleModel:
     """Soft-voting ensemble over a fitted ``PipelineModel`` (M6)."""
 
@@ -115,13 +128,8 @@ class EnsembleModel:
         self.pipeline_model = pipeline_model
         self.features = features
 
-    def score(self, df: DataFrame, prob_col: str = "Churn_Probability") -> DataFrame:
-        """Soft-vote probability; model features absent from ``df`` are added
-        first (fixed-vocabulary dummies, other absent features 0 -- F9), the
-        input columns themselves are left as they are."""
-        from pyspark.ml.functions import vector_to_array
-
-        from retentio.functions.fixed import CATEGORICAL_COLUMNS
+    def with_features(self, df: DataFrame) -> DataFrame:
+        """``df`` with the model features it lacks."""
         added = []
         for f in self.features:
             if f in df.columns:
@@ -133,22 +141,62 @@ class EnsembleModel:
                     expr = (src == f[len(c) + 1:]).cast("double")
                     break
             added.append(expr.alias(f))
-        out = self.pipeline_model.transform(df.select("*", *added))
+        return df.select("*", *added)
+
+    def score(self, df: DataFrame, prob_col: str = "Churn_Probability") -> DataFrame:
+        """Soft-vote probability; model features absent from ``df`` are added
+        first (fixed-vocabulary dummies, other absent features 0 -- F9), the
+        input columns themselves are left as they are."""
+        from pyspark.ml.functions import vector_to_array
+        out = self.pipeline_model.transform(self.with_features(df))
         parts = [vector_to_array(F.col(c))[1] for c in self.PROB_COLS]
         p = (parts[0] + parts[1] + parts[2]) / 3.0
         keep = [_c(c) for c in df.columns if c not in (prob_col, "Predicted_Churn_Numeric")]
         return (out.select(*keep, p.alias(prob_col))
                 .withColumn("Predicted_Churn_Numeric", (F.col(prob_col) > CLASS_CUT).cast("int")))
 
-    def save(self, path: str) -> None:
-        """The pipeline (with the assembler's feature list) to storage."""
-        self.pipeline_model.write().overwrite().save(path)
+    def save(self, path: str, stats_version: str | None = None) -> None:
+        """A model package: the pipeline, its trees as a node table, and what it was fitted with.
+
+        The description is written last: a folder without it is no package.
+        """
+        spark = SparkSession.getActiveSession()
+        self.pipeline_model.write().overwrite().save(os.path.join(path, "pipeline"))
+        self.node_table(os.path.join(path, "pipeline")).write.mode("overwrite").parquet(os.path.join(path, "nodes"))
+        about = {"features": self.features, "vocabulary": _vocabulary(), "class_cut": CLASS_CUT, "models": list(self.MODELS),
+                 "stats_version": stats_version}
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(
+            os.path.join(path, "package"))
 
     @staticmethod
-    def load(path: str) -> "EnsembleModel":
+    def load(path: str, stats_version: str | None = None) -> "EnsembleModel":
+        """The model of a package, checked against this code before anything is planned with it.
+
+        ``stats_version``: the version that the caller cleans with, if the model must have been fitted on the same.
+        """
         from pyspark.ml import PipelineModel
-        pm = PipelineModel.load(path)
-        return EnsembleModel(pm, list(pm.stages[0].getInputCols()))
+        spark = SparkSession.getActiveSession()
+        try:
+            about = json.loads(spark.read.text(os.path.join(path, "package")).first()[0])
+        except AnalysisException as e:
+            raise ModelUnavailable(f"{path} holds no model package") from e
+        wanted = {"vocabulary": _vocabulary(), "class_cut": CLASS_CUT, "models": list(EnsembleModel.MODELS)}
+        if stats_version is not None:
+            wanted["stats_version"] = stats_version
+        wrong = {k: (about.get(k), v) for k, v in wanted.items() if about.get(k) != v}
+        if wrong:
+            raise ModelMismatch("the package was made otherwise: " + "; ".join(f"{k}: {a!r}, not {b!r}" for k, (a, b) in wrong.items()))
+        pm = PipelineModel.load(os.path.join(path, "pipeline"))
+        features = list(pm.stages[0].getInputCols())
+        if features != about["features"]:
+            raise ModelMismatch(f"the pipeline reads {features}, the package names {about['features']}")
+        return EnsembleModel(pm, features)
+
+    def node_table(self, pipeline_dir: str) -> DataFrame:
+        """M6: the trees of this model, saved under ``pipeline_dir``, one row per node."""
+        from retentio.operators.trees import node_table
+        depths = {m: self.pipeline_model.stages[i + 1].getMaxDepth() for i, m in enumerate(self.MODELS)}
+        return node_table(SparkSession.getActiveSession(), pipeline_dir, self.MODELS, self.features, depths)
 
     def importances(self, model: str = "forest") -> list[tuple[str, float]]:
         """M13 input: importances of one of MODELS by feature name (sorted)."""
@@ -232,7 +280,6 @@ def accuracy(df: DataFrame, label: str = "Churn", pred: str = "Predicted_Churn_N
 
 def importance_table(model: EnsembleModel, top: int = 15) -> DataFrame:
     """(model, feature, importance, rank), top ``top`` of each model by importance."""
-    from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     rows = [(m, f, float(w), i + 1) for m in model.MODELS
             for i, (f, w) in enumerate(model.importances(m)[:top])]  # <= 25 model features each
