@@ -100,8 +100,8 @@ def _segment_aggs(prob_col: str = P) -> list[Column]:
 
 # A8 / A9 --------------------------------------------------------------------
 def summary_report(df: DataFrame, prob_col: str = P, pred_col: str = "Predicted_Churn_Numeric",
-                   with_date: bool = True) -> DataFrame:
-    """Eight (Metric, Value) text rows from one aggregate, stacked."""
+                   with_date: bool = True, run_date: str | None = None) -> DataFrame:
+    """Eight (Metric, Value) text rows from one aggregate, stacked; the last is the run's date (today, if not given)."""
     s = df.agg(*_summary_aggs(prob_col, pred_col), *_segment_aggs(prob_col))
     pct = "%.2f%%"
     rows = [
@@ -114,7 +114,8 @@ def summary_report(df: DataFrame, prob_col: str = P, pred_col: str = "Predicted_
         (FX.SUMMARY_METRICS[6], money_text(F.col("expected_loss"))),
     ]
     if with_date:
-        rows.append((FX.SUMMARY_METRICS[7], F.date_format(F.current_date(), "dd/MM/yyyy")))
+        rows.append((FX.SUMMARY_METRICS[7],
+                     F.date_format(F.current_date(), "dd/MM/yyyy") if run_date is None else F.lit(run_date)))
     structs = [F.struct(F.lit(i).alias("position"), F.lit(m).alias("Metric"), v.alias("Value"))
                for i, (m, v) in enumerate(rows)]
     return s.select(F.explode(F.array(*structs)).alias("r")).select("r.position", "r.Metric", "r.Value")
@@ -140,6 +141,24 @@ def churn_rate_by(df: DataFrame, key: str, label: str = "Churn") -> DataFrame:
             .agg(F.avg(_c(label).cast("double")).alias("churn_rate"), F.count(F.lit(1)).alias("n")))
 
 
+def churn_rate_sets(df: DataFrame, keys: list[str], label: str = "Churn") -> DataFrame:
+    """A10 for several keys in one scan: (dimension, value, churn_rate, n), NULL keys left out.
+
+    One Expand and one aggregate over grouping sets of one key each; the
+    grouping id has a zero bit for the key that a row is grouped by.
+    """
+    grouped = (df.groupingSets([[_c(k)] for k in keys], *[_c(k) for k in keys])
+               .agg(F.avg(_c(label).cast("double")).alias("churn_rate"), F.count(F.lit(1)).alias("n"),
+                    F.grouping_id().alias("gid")))
+    every = (1 << len(keys)) - 1
+    dimension = value = None
+    for i, k in enumerate(keys):
+        mine = F.col("gid") == every - (1 << (len(keys) - 1 - i))
+        dimension = F.when(mine, F.lit(k)) if dimension is None else dimension.when(mine, F.lit(k))
+        value = F.when(mine, _c(k).cast("string")) if value is None else value.when(mine, _c(k).cast("string"))
+    return grouped.select(dimension.alias("dimension"), value.alias("value"), "churn_rate", "n").where("value is not null")
+
+
 # A12-A19, A21-A23 -----------------------------------------------------------
 def _with_shares(counts: DataFrame) -> DataFrame:
     """``counts`` (dimension, value, count) with share and height against its dimension's total and largest count.

@@ -1,4 +1,4 @@
-"""Feature engineering and encoding (E1-E10, F9): projections only."""
+"""Feature engineering and encoding: projections only (E1-E10, F9), and target statistics of categories (M5)."""
 
 from __future__ import annotations
 
@@ -78,3 +78,46 @@ def align_features(df: DataFrame, features: list[str] = MODEL_FEATURES, keep: tu
     enc = one_hot_fixed(df, features)
     cols = [(_c(f).cast("double") if f in enc.columns else F.lit(0.0)).alias(f) for f in features]
     return enc.select(*[_c(k) for k in keep if k in enc.columns], *cols)
+
+
+# M5 -------------------------------------------------------------------------
+def ordered_target_statistics(df: DataFrame, columns: list[str], row_hash: Column, label: str = "Churn",
+                              weight: float = 1.0) -> DataFrame:
+    """M5: ``df`` with ``<column>_ts``: the label's mean over the rows of the same category before it, in order of
+    ``row_hash`` (unique), drawn towards the overall mean as by ``weight`` rows; a row's own label is not among them.
+
+    Rows are dealt out by ranges of the hash and written; sums per (part,
+    category) are few, and their running totals say what lies before a part.
+    Inside a part a category's rows are bounded by the part's, so a category
+    that holds a third of all rows is never in one place. A NULL category is one
+    of its own; rows without a label count nothing.
+    """
+    from pyspark.sql import Window as W
+
+    from retentio.plans.batch import materialise
+    y = F.col(f"`{label}`").cast("double")
+    overall = df.agg(F.avg(y)).first()[0] or 0.0
+    part = materialise(df.withColumn("__h", row_hash).repartitionByRange("__h").withColumn("__part", F.spark_partition_id()))
+    out = part
+    for i, c in enumerate(columns):
+        cat = F.col(f"`{c}`").cast("string")
+        sums = part.groupBy("__part", cat.alias("__cat")).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
+        before = W.partitionBy("__cat").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row per part
+        ahead = sums.select(F.col("__part").alias("__p"), F.col("__cat").alias("__c"),
+                            F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("__s"),
+                            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"))
+        own = W.partitionBy("__part", cat).orderBy("__h").rowsBetween(W.unboundedPreceding, -1)
+        here = (out.withColumns({"__s_own": F.coalesce(F.sum(y).over(own), F.lit(0.0)),
+                                 "__n_own": F.coalesce(F.count(y).over(own), F.lit(0))}))
+        joined = here.join(ahead, (here["__part"] == ahead["__p"]) & cat.eqNullSafe(ahead["__c"]))
+        ts = (F.col("__s") + F.col("__s_own") + F.lit(weight * overall)) / (F.col("__n") + F.col("__n_own") + F.lit(weight))
+        out = joined.withColumn(f"{c}_ts", ts).drop("__p", "__c", "__s", "__n", "__s_own", "__n_own")
+    return out.drop("__h", "__part")
+
+
+def target_statistics(df: DataFrame, column: str, label: str = "Churn", weight: float = 1.0) -> DataFrame:
+    """M5: (category, statistic) of a whole training table, for rows that are scored: one row per category."""
+    y = F.col(f"`{label}`").cast("double")
+    overall = df.agg(F.avg(y)).first()[0] or 0.0
+    return df.groupBy(F.col(f"`{column}`").cast("string").alias("category")).agg(
+        ((F.sum(y) + F.lit(weight * overall)) / (F.count(y) + F.lit(weight))).alias("statistic"))

@@ -115,6 +115,26 @@ def dataset_rows(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total_customers")).withColumn("total_features", F.lit(len(df.columns)))
 
 
+def write_observed(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as parquet, and what that one job observed of it, a row per column:
+    (position, name, type, n_null, total_customers, total_features, dataset_size_kb).
+
+    Rows, bytes as CSV (with its header line) and missing values are metrics
+    of the write itself; nothing is scanned again.
+    """
+    seen = Observation("dataset")
+    line = F.to_csv(F.struct(*[_c(c) for c in df.columns]))
+    missing = [F.count_if(nan_to_null(_c(f.name)).isNull() if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+                          else _c(f.name).isNull()).alias(f"null_{i}") for i, f in enumerate(df.schema.fields)]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(line) + 1).alias("bytes"), *missing).write.parquet(path)
+    got = seen.get
+    size = ((got["bytes"] or 0) + len(",".join(df.columns).encode()) + 1) / 1024.0
+    rows = [(i, f.name, f.dataType.simpleString(), got[f"null_{i}"], got["rows"], len(df.columns), size)
+            for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(
+        rows, "position int, name string, type string, n_null long, total_customers long, total_features int, dataset_size_kb double")
+
+
 def class_ratio(df: DataFrame, label: str = "Churn") -> DataFrame:
     """Class counts and imbalance ratio negatives / positives."""
     y = _c(label)

@@ -9,7 +9,7 @@ from retentio.operators import analyze as A
 from retentio.operators import risk as R
 from retentio.operators import rows as W
 from retentio.plans import oracle_sql as O
-from retentio.plans.catalog import register, scored, stable
+from retentio.plans.catalog import _shared, register, scored, stable
 
 P = "Churn_Probability"
 # A stated list of driver weights (a parameter of the queries below): more than the
@@ -211,12 +211,15 @@ def q_a6(spark, sf):
     return stable(A.high_risk_segment(scored(spark, sf)))
 
 
+RUN_DATE = "01/01/2026"  # an argument of the report
+
+
 @register("a8_summary_report", O.chain("scored", f"""SELECT CAST(pos AS INTEGER) AS position, Metric, Value FROM (
-  SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS pos,
-         unnest([{", ".join(O.q(m) for m in FX.SUMMARY_METRICS[:7])}]) AS Metric,
+  SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS pos,
+         unnest([{", ".join(O.q(m) for m in FX.SUMMARY_METRICS[:8])}]) AS Metric,
          unnest([CAST(n AS VARCHAR), printf('%.2f%%', avgp * 100), printf('%.2f%%', rate * 100),
                  CAST(hi AS VARCHAR), CAST(mid AS VARCHAR), CAST(lo AS VARCHAR),
-                 '₹' || format('{{:,.2f}}', loss)]) AS Value
+                 '₹' || format('{{:,.2f}}', loss), '{RUN_DATE}']) AS Value
   FROM (SELECT count(*) AS n, coalesce(avg(Churn_Probability), 0.0) AS avgp,
                CASE WHEN count(*) > 0 THEN sum(Predicted_Churn_Numeric) / count(*) ELSE 0.0 END AS rate,
                count(*) FILTER (WHERE Churn_Probability > 0.7) AS hi,
@@ -224,7 +227,7 @@ def q_a6(spark, sf):
                count(*) FILTER (WHERE Churn_Probability <= 0.3) AS lo,
                coalesce(sum(Churn_Probability) * 850.0, 0.0) AS loss FROM scored))"""))
 def q_a8(spark, sf):
-    return A.summary_report(scored(spark, sf), with_date=False)
+    return A.summary_report(scored(spark, sf), run_date=RUN_DATE)
 
 
 def _rate_sql(key):
@@ -242,6 +245,23 @@ for _key, _name in [("Complain", "a10_churn_rate_by_complain"), ("SatisfactionSc
     register(_name, _rate_sql(_key))(_mk(_key))
 
 
+RATE_KEYS = ["Complain", "SatisfactionScore", "MaritalStatus"]
+
+
+def _rate_sets_sql():
+    chosen = " ".join(f"WHEN grouping({k}) = 0 THEN {{}}" for k in RATE_KEYS)
+    names = chosen.format(*(O.q(k) for k in RATE_KEYS))
+    values = chosen.format(*(f"CAST({k} AS VARCHAR)" for k in RATE_KEYS))
+    return O.chain("scored", f"""SELECT dimension, value, {O.rnd("rate")} AS churn_rate, n FROM (
+  SELECT CASE {names} END AS dimension, CASE {values} END AS value, avg(CAST(Churn AS DOUBLE)) AS rate, count(*) AS n
+  FROM scored GROUP BY GROUPING SETS ({", ".join(f"({k})" for k in RATE_KEYS)})) WHERE value IS NOT NULL""")
+
+
+@register("a10_churn_rate_sets", _rate_sets_sql())
+def q_a10s(spark, sf):
+    return stable(A.churn_rate_sets(scored(spark, sf), RATE_KEYS))
+
+
 def _dash_values_sql():
     def falsy(c, d):
         return (f"CASE WHEN {c} IS NULL OR CAST({c} AS VARCHAR) = '' OR TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) = 0 "
@@ -404,9 +424,24 @@ def q_t3(spark, sf):
 @register("t5_page", O.round_all(O.chain("scored", "SELECT * FROM scored ORDER BY CustomerID LIMIT 50 OFFSET 100"),
                                  SCORED_ROUND))
 def q_t5(spark, sf):
-    s = scored(spark, sf)
-    before = W.page(s.select("CustomerID"), 100).agg(F.max("CustomerID")).first()[0]  # where page 2 of 50 ends
-    return stable(W.page(s, 50, after=before))
+    return stable(W.page_at(scored(spark, sf), _page_index(spark, sf), 3))
+
+
+def _page_index(spark, sf):
+    """The fences of pages of 50, written once per session and data folder."""
+    return _shared("page_index", spark, sf, lambda: W.page_index(scored(spark, sf), 50))
+
+
+@register("t5_page_index", O.chain("scored", """SELECT (r - 1) // 50 + 1 AS page, min(CustomerID) AS first_key, max(CustomerID) AS last_key,
+  count(*) AS n FROM (SELECT CustomerID, row_number() OVER (ORDER BY CustomerID) AS r FROM scored) GROUP BY 1"""))
+def q_t5i(spark, sf):
+    return _page_index(spark, sf)
+
+
+@register("t5_page_at", O.round_all(O.chain("scored", "SELECT * FROM scored ORDER BY CustomerID LIMIT 50 OFFSET 50"), SCORED_ROUND))
+def q_t5a(spark, sf):
+    """Page 2 opened by its fences, without the rows before it."""
+    return stable(W.page_at(scored(spark, sf), _page_index(spark, sf), 2))
 
 
 @register("t5_page_count", O.chain("scored", """SELECT page, (page - 1) * 50 + 1 AS first_row, least(page * 50, n) AS last_row,

@@ -119,6 +119,61 @@ def q_m6(spark, sf):
     return model.score(test).select("CustomerID", "Churn", P, "Predicted_Churn_Numeric")
 
 
+@register("m6_tree_votes", O.chain("mart", """SELECT CustomerID, true AS same_probability, true AS same_class FROM mart
+WHERE ((((CAST(CustomerID AS BIGINT) + 42) % 2147483647) * 48271) % 2147483647) % 100 >= 80"""))
+def q_m6t(spark, sf):
+    """Every test row's vote by the saved package, counted from its node table, against the fitted model's own."""
+    from retentio.operators.trees import vote
+    model, feats = _ensemble(spark, sf)
+    test = feats.where(M.key_split(F.col("CustomerID").cast("long")) == "test")
+    nodes = spark.read.parquet(os.path.join(_package(spark, sf), "nodes"))
+    own = model.score(test).select("CustomerID", F.col(P).alias("p"), F.col("Predicted_Churn_Numeric").alias("c"))
+    table = vote(model.with_features(test), nodes, model.features).select("CustomerID", P, "Predicted_Churn_Numeric")
+    return own.join(table, "CustomerID").select("CustomerID", (F.abs(F.col("p") - F.col(P)) < 1e-9).alias("same_probability"),
+                                                (F.col("c") == F.col("Predicted_Churn_Numeric")).alias("same_class"))
+
+
+@register("m13_tree_importance", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{m}', '{f}', true)" for m in M.EnsembleModel.MODELS for f in FX.MODEL_FEATURES) + ") t(model, feature, same)")
+def q_m13t(spark, sf):
+    """Every feature's importance in every model, summed up from the node table, against the model's own."""
+    from retentio.operators.trees import importances
+    model, _ = _ensemble(spark, sf)
+    own = spark.createDataFrame([(m, f, float(w)) for m in model.MODELS for f, w in model.importances(m)],
+                                "model string, feature string, w double")
+    table = importances(spark.read.parquet(os.path.join(_package(spark, sf), "nodes")))
+    return own.join(table, ["model", "feature"], "left").select(
+        "model", "feature", (F.abs(F.col("w") - F.coalesce("importance", F.lit(0.0))) < 1e-9).alias("same"))
+
+
+def _package(spark, sf):
+    """The ensemble saved with the version of the statistics it was cleaned with."""
+    from retentio.plans.catalog import _shared
+    from retentio.streaming.scoring import scratch_dir
+
+    def build():
+        path = scratch_dir(spark, "package")
+        _ensemble(spark, sf)[0].save(path, stats_version=_stats_version(spark, sf))
+        return path
+    return _shared("package", spark, sf, build)
+
+
+def _stats_version(spark, sf) -> str:
+    from retentio.plans.catalog import stats
+    return stats(spark, sf).fingerprint()
+
+
+@register("s11_model_package", O.chain("mart", """SELECT CustomerID, true AS same FROM mart
+WHERE ((((CAST(CustomerID AS BIGINT) + 42) % 2147483647) * 48271) % 2147483647) % 100 >= 80"""))
+def q_s11(spark, sf):
+    """The package loaded again, checked, and scored with: the same probabilities as before it was saved."""
+    model, feats = _ensemble(spark, sf)
+    test = feats.where(M.key_split(F.col("CustomerID").cast("long")) == "test")
+    again = M.EnsembleModel.load(_package(spark, sf), stats_version=_stats_version(spark, sf))
+    a = model.score(test).select("CustomerID", F.col(P).alias("p"))
+    return a.join(again.score(test).select("CustomerID", P), "CustomerID").select("CustomerID", (F.col("p") == F.col(P)).alias("same"))
+
+
 @register("m13_importance")
 def q_m13(spark, sf):
     model, _ = _ensemble(spark, sf)
@@ -255,10 +310,41 @@ def q_s7(spark, sf):
     return stable(spark.read.schema(s.schema).option("header", True).csv(path))  # Risk_Level from the folder names
 
 
-@register("a24_analysis_result")
+_A24 = [("risk_analysis", k) for k in ("total_customers", "high_risk", "moderate_risk", "low_risk", "average_probability",
+                                       "churn_rate", "total_predicted_churn")] + [
+    ("customer_segmentation", k) for k in ("high_risk_count", "high_risk_avg_probability", "high_risk_loss")] + [
+    ("dataset_info", k) for k in ("total_customers", "total_features")]
+
+
+def _a24_sql():
+    high = "FILTER (WHERE Churn_Probability > 0.7)"
+    of = {"total_customers": "count(*)", "high_risk": f"count(*) {high}",
+          "moderate_risk": "count(*) FILTER (WHERE Churn_Probability > 0.3 AND Churn_Probability <= 0.7)",
+          "low_risk": "count(*) FILTER (WHERE Churn_Probability <= 0.3)", "average_probability": "avg(Churn_Probability)",
+          "churn_rate": "sum(Predicted_Churn_Numeric) / count(*)", "total_predicted_churn": "sum(Predicted_Churn_Numeric)",
+          "high_risk_count": f"count(*) {high}", "high_risk_avg_probability": f"coalesce(avg(Churn_Probability) {high}, 0.0)",
+          "high_risk_loss": f"coalesce(sum(Churn_Probability) {high} * 850.0, 0.0)",
+          "total_features": f"max({len(O.MART_COLS) + 6})"}
+    parts = [f"SELECT '{s}' AS section, '{k}' AS item, CAST({of[k]} AS DOUBLE) AS value FROM scored" for s, k in _A24]
+    from retentio.operators.analyze import PROFILE_FEATURES
+    for f in PROFILE_FEATURES:
+        x = f"CAST({f} AS DOUBLE)"
+        parts += [f"SELECT 'feature_analysis', '{f}.{k}', {e} FROM scored WHERE Churn_Probability > 0.7 HAVING count(*) > 0"
+                  for k, e in (("mean", f"avg({x})"), ("median", f"median({x})"), ("std", f"stddev_samp({x})"))]
+    return O.round_all(O.chain("scored", " UNION ALL ".join(parts)), ["value"])
+
+
+@register("a24_analysis_result", _a24_sql())
 def q_a24(spark, sf):
+    """The nested result's numbers, one a row (its CSV size is compared in p10_dataset_info)."""
     from retentio.operators.analyze import analysis_result
-    return analysis_result(scored(spark, sf))
+    result = analysis_result(scored(spark, sf))
+    flat = [F.struct(F.lit(s).alias("section"), F.lit(k).alias("item"), F.col(f"{s}.{k}").cast("double").alias("value"))
+            for s, k in _A24]
+    profile = F.flatten(F.transform(F.map_entries("feature_analysis"), lambda e: F.array(*[
+        F.struct(F.lit("feature_analysis").alias("section"), F.concat(e["key"], F.lit(f".{k}")).alias("item"),
+                 e["value"][k].alias("value")) for k in ("mean", "median", "std")])))
+    return stable(result.select(F.explode(F.concat(F.array(*flat), profile)).alias("r")).select("r.*"))
 
 
 @register("r18_impact_strings", O.chain("scored", "SELECT CustomerID, " + ", ".join(

@@ -83,6 +83,40 @@ def read_customers_json(spark: SparkSession, path: str, schema: T.StructType = C
     return spark.read.schema(schema).json(path)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def rescued_records(spark: SparkSession, path: str, schema: T.StructType = CUSTOMER_SCHEMA, kind: str = "json",
+                    header: bool = True) -> DataFrame:
+    """Records with what did not parse: the schema's columns, ``line`` (the raw line, NULL if it parsed) and ``reason``.
+
+    A line that is no record, or whose field does not fit its column, is
+    rescued whole; ``reason`` tells which (of CSV: a wrong number of fields
+    counts as no record). A record without an id is rescued too.
+    """
+    held = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = spark.read.schema(held).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    rows = reader.option("header", header).csv(path) if kind == "csv" else reader.json(path)
+    idc = next((c for c in FX.ID_CANDIDATES if c in schema.names), None)
+    line = F.col(CORRUPT)
+    if kind == "json":
+        whole = F.try_parse_json(line).isNotNull()
+    else:
+        whole = F.size(F.split(line, ",", -1)) == len(schema.fields)
+    reason = F.when(line.isNotNull(), F.when(whole, "field of another type").otherwise("no record"))
+    if idc:
+        reason = F.coalesce(reason, F.when(F.col(f"`{idc}`").isNull(), F.lit("no id")))
+        line = F.when(line.isNull() & F.col(f"`{idc}`").isNull(), F.to_json(F.struct(*[F.col(f"`{c}`") for c in schema.names]))).otherwise(line)
+    return rows.select(*[F.col(f"`{c}`") for c in schema.names], line.alias("line"), reason.alias("reason"))
+
+
+def quarantine(records: DataFrame, accepted_dir: str, rejected_dir: str) -> None:
+    """S1/S2 sink of ``rescued_records``: records that parsed as parquet, the others as (reason, line) JSON, by reason."""
+    good = records.where("reason is null").drop("line", "reason")
+    good.write.mode("overwrite").parquet(accepted_dir)
+    records.where("reason is not null").select("reason", "line").write.mode("overwrite").partitionBy("reason").json(rejected_dir)
+
+
 def demo_customers(spark: SparkSession, n: int = 100, seed: int = 42) -> DataFrame:
     """S3: seeded demo rows -- uniform integers [lo, hi), a 0.9/0.1 complaint
     flag and uniform category choices, one seed per column. Distributed over

@@ -1,7 +1,7 @@
 """Sinks (S6-S9, S11): reports are written by Spark, never built in memory.
 
 A distributed file cannot carry appended sections, so the full report is
-three outputs (customers, summary, metadata) under one run folder. The
+three outputs (customers, summary, metadata) that one manifest commits. The
 risk exports are ONE job with ``partitionBy("Risk_Level")`` -- the three
 files partition the scored table and later reads prune by directory.
 """
@@ -10,33 +10,75 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retentio.functions import fixed as FX
 from retentio.functions.columns import js_number
 from retentio.operators import analyze as A
 from retentio.operators import clean as N
 from retentio.operators import rows as W
+from retentio.operators.profile import with_row_count
 from retentio.sources.customers import run_stamp
 
 
-def write_full_report(scored: DataFrame, out_dir: str, data_source: str = "Uploaded CSV",
-                      stamp: str | None = None) -> str:
-    """``customers/`` (all rows, id first, predictions last), ``summary/``
-    and ``metadata/`` as header CSV under ``churn_analysis_complete_report_<stamp>``."""
+REPORT_PARTS = ("customers", "summary", "metadata")
+
+
+class IncompleteReport(RuntimeError):
+    """A report folder without a manifest, or with other rows than its manifest names."""
+
+
+def write_full_report(scored: DataFrame, out_dir: str, data_source: str = "Uploaded CSV", stamp: str | None = None,
+                      run_time: str | None = None, run_date: str | None = None, order_by=None) -> str:
+    """``customers`` (all rows, id first, predictions last), ``summary`` and ``metadata`` as header CSV
+    under ``churn_analysis_complete_report_<stamp>``, committed together.
+
+    A run writes all three into a folder of its own; its writing jobs count
+    their rows. The manifest, which names the run and the counts, is written
+    last: until then readers see the report before, or none. ``run_time`` and
+    ``run_date`` are shown (now, if not given); ids that are missing are made
+    in the order of ``order_by``.
+    """
     base = os.path.join(out_dir, f"churn_analysis_complete_report_{stamp or run_stamp()}")
-    with_id, id_col = W.ensure_id(scored)
-    W.reorder_for_report(with_id, id_col).write.mode("overwrite").option("header", True).csv(
-        os.path.join(base, "customers"))
-    A.summary_report(scored).orderBy("position").drop("position").coalesce(1).write.mode("overwrite") \
-        .option("header", True).csv(os.path.join(base, "summary"))
-    A.report_metadata(scored, data_source).orderBy("position").drop("position").coalesce(1).write \
-        .mode("overwrite").option("header", True).csv(os.path.join(base, "metadata"))
+    run = f"run-{uuid.uuid4().hex}"
+    with_id, id_col = W.ensure_id(scored, order_by)
+    parts = {"customers": W.reorder_for_report(with_id, id_col),
+             "summary": A.summary_report(scored, run_date=run_date).orderBy("position").drop("position").coalesce(1),
+             "metadata": A.report_metadata(scored, data_source, run_time).orderBy("position").drop("position").coalesce(1)}
+    manifest = []
+    for name in REPORT_PARTS:
+        counted, seen = with_row_count(parts[name], name)
+        counted.write.option("header", True).csv(os.path.join(base, run, name))
+        manifest.append((run, name, seen.get["rows"], parts[name].columns))
+    scored.sparkSession.createDataFrame(manifest, MANIFEST).coalesce(1).write.mode("overwrite").json(os.path.join(base, "manifest"))
     return base
 
 
+MANIFEST = "run string, part string, rows long, columns array<string>"
+
+
+def read_full_report(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """The committed parts of a report by name, all columns as text; refused unless they are whole."""
+    try:
+        manifest = spark.read.schema(MANIFEST).json(os.path.join(base, "manifest")).collect()  # one row per part
+    except AnalysisException as e:
+        raise IncompleteReport(f"{base} has no manifest") from e
+    if sorted(r["part"] for r in manifest) != sorted(REPORT_PARTS):
+        raise IncompleteReport(f"the manifest of {base} names {sorted(r['part'] for r in manifest)}")
+    out = {}
+    for r in manifest:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in r["columns"]])
+        out[r["part"]] = spark.read.schema(schema).option("header", True).csv(os.path.join(base, r["run"], r["part"]))
+        if out[r["part"]].count() != r["rows"]:
+            raise IncompleteReport(f"{r['part']} of {base} has other than its {r['rows']} rows")
+    return out
+
+
 def write_risk_exports(scored: DataFrame, out_dir: str, stamp: str | None = None) -> str:
     """All three risk-filtered exports in one job, partitioned by band."""
     base = os.path.join(out_dir, f"churn_analysis_risk_customers_{stamp or run_stamp()}")

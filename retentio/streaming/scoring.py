@@ -15,6 +15,7 @@ import datetime as dt
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,41 @@ def load_stats(spark: SparkSession, path: str) -> Stats:
     return Stats.from_table(spark.read.parquet(path))
 
 
+def publish_stats(stats: Stats, spark: SparkSession, folder: str) -> int:
+    """The next version of a statistics table (``version=1``, ``version=2``, ..), seen by streams from their next batch on."""
+    version = (newest_version(spark, folder) or 0) + 1
+    save_stats(stats, spark, os.path.join(folder, f"version={version}"))
+    return version
+
+
+def newest_version(spark: SparkSession, folder: str) -> int | None:
+    try:
+        return spark.read.parquet(folder).agg(F.max("version")).first()[0]
+    except AnalysisException:  # nothing published yet
+        return None
+
+
+def run_versioned_scoring(spark: SparkSession, source_dir: str, schema: T.StructType, stats_dir: str, out_dir: str,
+                          checkpoint_dir: str, importances: list[tuple[str, float]] | None = None,
+                          model="scorecard") -> DataFrame:
+    """Drain ``source_dir`` (JSON lines), every micro-batch with the newest statistics version that is published
+    when it starts; ``stats_version`` is written with each score.
+
+    A batch writes a folder of its own and overwrites it when it is run again, so a restart scores nothing twice.
+    """
+    def score(batch: DataFrame, number: int) -> None:
+        version = newest_version(spark, stats_dir)
+        if version is None:
+            raise ValueError(f"no statistics version is published under {stats_dir}")
+        stats = load_stats(spark, os.path.join(stats_dir, f"version={version}"))
+        (score_stream(batch, stats, importances, model).withColumn("stats_version", F.lit(int(version)).cast("long"))
+         .write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={number}")))
+
+    (spark.readStream.schema(schema).json(source_dir).writeStream.foreachBatch(score)
+     .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(out_dir).drop("batch")
+
+
 def imputed_records(records: DataFrame, stats: Stats) -> DataFrame:
     """Records as the rules and the scorer see them."""
     return record_clean(normalise_missing(records), stats)

@@ -1,13 +1,13 @@
 """The end-to-end flows on a customer CSV that Spark derives from the driver tables."""
 
 import json
-import os
 
 import pytest
 
 from paths import SF_SMALL
 from retentio.operators import ml as M
 from retentio.plans import lifecycle as L
+from retentio.sources import sinks as K
 from retentio.plans.mart import customer_mart
 
 
@@ -28,7 +28,7 @@ def test_analyze_report_and_export(spark, csv_path, tmp_path):
     demo, demo_scored = L.analyze_batch(spark, None)
     assert demo_scored.count() == 100
     base = L.full_report(spark, csv_path, str(tmp_path))
-    assert spark.read.option("header", True).csv(os.path.join(base, "customers")).count() == n
+    assert K.read_full_report(spark, base)["customers"].count() == n
     parts = [spark.read.option("header", True).csv(L.risk_export(spark, csv_path, str(tmp_path), lv)).count()
              for lv in ("high", "medium", "low")]
     assert sum(parts) == n                            # the three exports partition the table
