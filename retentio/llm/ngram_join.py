@@ -11,9 +11,9 @@ probes the long ones:
    others, by hash. Most of a set's shingles are its own, and a set with enough
    lists of its own has no partner.
 2. Candidates. Each list names a hub, and all others on it are its candidates: a
-   group of copies costs a pair a member, not all pairs. Linked candidates take
-   their hub's label. On lists that still hold several labels, pairs across
-   labels follow that pass the length and position bounds.
+   group of copies costs a pair a member, not all pairs. What these links join is
+   one component, its least class the label of all. On lists that still hold several
+   labels, pairs across labels follow that pass the length and position bounds.
 3. Blocks. Each set is sent once to a block, where it is searched for among the sets
    it is paired with: short lists are heap-merged; what can still reach T is probed
    in the long lists by bisection.
@@ -249,8 +249,8 @@ def _dealt(rows: DataFrame, signs: DataFrame) -> DataFrame:
                     "label", "cls", "n", "at", "sign"))
 
 
-def _cross_pairs(prefixes: DataFrame, labels: DataFrame, signs: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """(hub, a, b): pairs of different labels on one list that the bounds allow and that have not met yet.
+def _cross_pairs(prefixes: DataFrame, labels: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """(hub, a, b): pairs of different labels on one list that the bounds allow, but for pairs with the list's hub, which have met.
 
     Bounds: size, place on the list, and signatures (linked sets differ in n1 + n2 - 2 T shingles at most).
     Lists of one hub lie together, so a group's pairs, which share many lists, are told
@@ -269,6 +269,7 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame, signs: DataFrame, done:
             """Pairs (smaller code << 32 | larger) of the held rows that the bounds allow."""
             t = np.array(held, np.int64)
             t = t[np.argsort(t[:, 1], kind="stable")]
+            hub = code.get(place[0])
             bits = marks.view(U64)
             upto = np.searchsorted(t[:, 1], t[:, 1], "right")  # where other labels begin
             todo = len(t) - upto
@@ -281,6 +282,8 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame, signs: DataFrame, done:
                 n1, n2, a1, a2 = t[x, 3], t[y, 3], t[x, 4], t[y, 4]
                 ok = ((np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent)
                       & (np.minimum(n1 - a1, n2 - a2) >= overlap(n1, n2, percent)))
+                if hub is not None:
+                    ok &= (t[x, 2] != hub) & (t[y, 2] != hub)
                 if place[1] != place[2]:  # two parts: pairs within one arise elsewhere
                     ok &= t[x, 0] != t[y, 0]
                 c1, c2 = t[x[ok], 2], t[y[ok], 2]
@@ -336,9 +339,8 @@ def _cross_pairs(prefixes: DataFrame, labels: DataFrame, signs: DataFrame, done:
     met = (dealt.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q", "gram")
            .select("hub", "p", "q", "gram", "own", "label", "cls", "n", "at", "sign")
            .mapInArrow(batches, "hub binary, a binary, b binary"))
-    once = met.select("hub", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(
-        F.min("hub").alias("hub"))
-    return once.join(done.select("a", "b"), ["a", "b"], "left_anti").select("hub", "a", "b")
+    return met.select("hub", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(
+        F.min("hub").alias("hub")).select("hub", "a", "b")
 
 
 def _near(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
@@ -390,10 +392,11 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], least: list[int]) ->
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` (hub, a, b) whose sets are linked. ``sets``: (cls, grams as bytes).
+    """A spanning forest of the ``pairs`` (hub, a, b) whose sets are linked. ``sets``: (cls, grams as bytes).
 
     Pairs of one hub are blocks: its classes fall into parts of about BLOCK, and each
-    pair of parts with the sets that it needs, each sent once, is worked through by itself.
+    pair of parts with the sets that it needs, each sent once, is worked through by itself;
+    what its links have joined is not tried again.
     """
     members = pairs.select("hub", F.col("a").alias("cls")).union(pairs.select("hub", F.col("b").alias("cls"))).distinct()
     crowded = members.groupBy("hub").agg(F.count("*").alias("k")).where(F.col("k") > 2 * BLOCK)
@@ -408,13 +411,24 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = rows.unionByName(dealt.select("hub", "p", "q", F.lit(1).alias("kind"), "a", "b", none.alias("grams")))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, have, query, names = None, {}, None, []
+        key, have, query, names, above = None, {}, None, [], {}
+
+        def top(x: bytes) -> bytes:
+            while x in above:
+                above[x] = x = above.get(above[x], above[x])
+            return x
 
         def solved() -> pa.RecordBatch:
-            q, against = have[query], [have[x] for x in names]
-            won = divide_skip(q, against, [overlap(len(q), len(x), percent) for x in against])
-            return pa.RecordBatch.from_arrays([pa.array([query] * len(won), pa.binary()),
-                                               pa.array([names[i] for i in won], pa.binary())], ["a", "b"])
+            mine = top(query)
+            todo = [x for x in names if top(x) != mine]
+            q, against = have[query], [have[x] for x in todo]
+            won = []
+            for i in divide_skip(q, against, [overlap(len(q), len(x), percent) for x in against]):
+                mine, other = top(query), top(todo[i])
+                if mine != other:
+                    above[other] = mine
+                    won.append(todo[i])
+            return pa.RecordBatch.from_arrays([pa.array([query] * len(won), pa.binary()), pa.array(won, pa.binary())], ["a", "b"])
 
         for batch in it:
             ids = list(zip(*(batch.column(i).to_pylist() for i in range(6))))
@@ -422,7 +436,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if (h, p, q) != key:
                     if names:
                         yield solved()
-                    key, have, query, names = (h, p, q), {}, None, []
+                    key, have, query, names, above = (h, p, q), {}, None, [], {}
                 if kind == 0:
                     have[one] = np.frombuffer(batch.column(6)[i].as_buffer().to_pybytes(), U64)
                     continue
@@ -476,12 +490,9 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     near = saved(_near(pairs, signs, percent))
     sets = _sets(docs, rows.select("cls", "id"), _classes_of(near, "hub", "cls"), k)
     links = saved(_links(near.select("hub", F.col("hub").alias("a"), F.col("cls").alias("b")), sets, percent))
-    # a label is a hub that its bearers are linked with; hubs pass theirs on once
-    label = links.groupBy(F.col("b").alias("cls")).agg(F.min("a").alias("label"))
-    up = label.select(F.col("cls").alias("label"), F.col("label").alias("above"))
-    labels = label.join(up, "label", "left").select("cls", F.least("label", F.coalesce("above", "label")).alias("label"))
-    done = pairs.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"))
-    rest = saved(_cross_pairs(prefixes, labels, signs.select("cls", "sign"), done, percent))
+    # what hub links join needs no pairs of its own
+    labels = saved(components(links).select(F.col("node").alias("cls"), F.col("component").alias("label")))
+    rest = saved(_cross_pairs(prefixes, labels, signs.select("cls", "sign"), percent))
     if rest.head(1):
         sets = _sets(docs, rows.select("cls", "id"), _classes_of(rest, "a", "b"), k)
         links = saved(links.unionByName(_links(rest, sets, percent)))

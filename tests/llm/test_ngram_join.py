@@ -107,7 +107,7 @@ def test_a_crowded_hub_is_dealt_by_pairs_of_parts(spark, monkeypatch):
     cross = N._cross_pairs
     monkeypatch.setattr(N, "_cross_pairs", lambda *a: seen.append((a, cross(*a))) or seen[-1][1])
     check(templated(spark))
-    (prefixes, labels, signs, done, percent), out = seen[0]
+    _, out = seen[0]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"RepartitionByExpression \[hub#\d+, p#\d+L?, q#\d+L?\]", plan)
 
