@@ -128,13 +128,12 @@ def _pairs_of(column: pa.Array) -> np.ndarray:
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """``postings`` (gram, cls, ..) whose gram has two classes or more, once each, with ``often``: how many classes.
+    """``postings`` (gram, cls) whose gram has two classes or more, once each, with ``often``: how many classes.
 
     Rows stream by gram and class; only a list's rows are held, and those of
     one longer than LONG_LIST go on at once, as so long.
     """
-    schema = pa.schema([("gram", pa.int64()), ("cls", pa.binary()), ("n", pa.int64()), ("first_n", pa.int32()),
-                        ("often", pa.int32())])
+    schema = pa.schema([("gram", pa.int64()), ("cls", pa.binary()), ("often", pa.int32())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, long_ = None, None  # rows of the last list; its gram, once it is too long
@@ -177,14 +176,16 @@ def _shared(postings: DataFrame) -> DataFrame:
         if held is not None and len(held):
             yield from out(counted(held, None))
 
-    return (postings.repartition("gram").sortWithinPartitions("gram", "cls").select("gram", "cls", "n", "first_n")
-            .mapInArrow(batches, "gram long, cls binary, n long, first_n int, often int"))
+    return (postings.repartition("gram").sortWithinPartitions("gram", "cls").select("gram", "cls")
+            .mapInArrow(batches, "gram long, cls binary, often int"))
 
 
 def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
     """(gram, cls, n, at): the rarest shingles of each class that others have too, ``at`` their place in its order."""
-    exploded = rows.where(F.size("grams") > 0).select("cls", "n", "first_n", F.explode("grams").alias("gram"))
-    shared = _shared(exploded)
+    listed = rows.where(F.size("grams") > 0)
+    sizes = listed.select("cls", "n", "first_n").dropDuplicates(["cls"])
+    # sizes grow with the classes: no broadcast, and the window below needs the same dealing
+    shared = _shared(listed.select("cls", F.explode("grams").alias("gram"))).join(sizes.hint("merge"), "cls")
     other = F.shiftrightunsigned("gram", 32) >= F.lit(FIRST)
     own = W.partitionBy("cls")
     shared = shared.withColumn("other", other).withColumn(
@@ -407,7 +408,8 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     needs = dealt.select("hub", "p", "q", F.col("a").alias("cls")).union(
         dealt.select("hub", "p", "q", F.col("b").alias("cls"))).distinct()
     none = F.lit(None).cast("binary")
-    rows = needs.join(sets, "cls").select("hub", "p", "q", F.lit(0).alias("kind"), F.col("cls").alias("a"), none.alias("b"), "grams")
+    # what meets grows with the data on both sides: dealt by class at every size
+    rows = needs.join(sets.hint("merge"), "cls").select("hub", "p", "q", F.lit(0).alias("kind"), F.col("cls").alias("a"), none.alias("b"), "grams")
     rows = rows.unionByName(dealt.select("hub", "p", "q", F.lit(1).alias("kind"), "a", "b", none.alias("grams")))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,21 +456,32 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(cls, grams): the whole sets of the ``wanted`` classes, from one document each."""
-    chosen = classes.join(wanted, "cls").groupBy("cls").agg(F.min("id").alias("id")).select("id")
-    sent = docs.sparkSession.sparkContext.broadcast(bloom(saved(chosen), "id")[0])
+    chosen = saved(classes.join(wanted.hint("merge"), "cls").groupBy("cls").agg(F.min("id").alias("id"))
+                   .select("id", F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long").alias("name")))
+    context = docs.sparkSession.sparkContext
+    ids, names = (context.broadcast(bloom(chosen.select(F.col(c).alias("id")), "id")[0]) for c in ("id", "name"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for batch in it:
-            batch = batch.filter(pa.array(sent.value.has(batch.column(0).to_numpy().view(U64))))
+            batch = batch.filter(pa.array(ids.value.has(batch.column(0).to_numpy().view(U64))))
             raw, at = utf8(batch.column(1))
             for lo, hi in pieces(at):
-                found = [s for s in shingles(Words(raw, at, lo, hi, NOT_SPACE), k) if len(s)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()),
-                     pa.array([s.tobytes() for s in found], pa.binary())], ["cls", "grams"])
+                found = []
+                for s in shingles(Words(raw, at, lo, hi, NOT_SPACE), k):
+                    c = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                    # repeated rows of an id send their set once a task
+                    if c is None or c in sent or not names.value.has(np.frombuffer(c[:8], ">u8").astype(U64))[0]:
+                        continue
+                    if len(sent) >= REMEMBERED:
+                        sent.clear()
+                    sent.add(c)
+                    found.append((c, s.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["cls", "grams"])
 
+    # what the filter of ids lets through beside the chosen is dropped by the filter of classes; both are bounded
     every = docs.select(F.xxhash64("doc_id").alias("id"), "text").mapInArrow(batches, "cls binary, grams binary")
-    return saved(every.join(wanted, "cls", "left_semi"))
+    return saved(every)
 
 
 def _classes_of(pairs: DataFrame, *columns: str) -> DataFrame:
@@ -483,10 +496,7 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     rows = saved(_classes(docs, k, percent))
     prefixes = saved(_prefixes(rows, percent))
     pairs = saved(_hub_pairs(prefixes, percent))
-    several = prefixes.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    shared = prefixes.join(several, "gram", "left_semi").select("cls").distinct()
-    signs = saved(rows.where("sign is not null").select("cls", "n", "sign").join(shared, "cls", "left_semi")
-                  .dropDuplicates(["cls"]))
+    signs = saved(rows.where("sign is not null").select("cls", "n", "sign").dropDuplicates(["cls"]))
     near = saved(_near(pairs, signs, percent))
     sets = _sets(docs, rows.select("cls", "id"), _classes_of(near, "hub", "cls"), k)
     links = saved(_links(near.select("hub", F.col("hub").alias("a"), F.col("cls").alias("b")), sets, percent))
