@@ -63,7 +63,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, every: int = EVERY, least: int
     all others; other columns are not read; an empty table gives an empty table.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.unhex(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), text))).alias("row"),
+    rows = docs.select("doc_id", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text))).alias("row"),
                        text.alias("text"))
     split = rows.withColumn("lines", _lines(F.col("text"))).withColumn("chunks", _chunks(F.col("lines"), window, every))
     places = saved(split.select("doc_id", "row", F.explode(F.transform(

@@ -35,3 +35,13 @@ def test_edges(spark, edge_docs):
     assert all(r.text == "" and r.n_lines == 0 for r in got if r.doc_id == 4 or r.doc_id is None)
     assert len({r.text for r in got if r.doc_id == 1}) == 1
     assert L.dedup(edge_docs.limit(0)).collect() == []
+
+
+def test_a_null_id_is_no_part_of_the_text(spark):
+    """(null, "5:..") and (5, "..") are two documents: each keeps its own result."""
+    lines = "\n".join(f"a line of number {i} here" for i in range(30))
+    rows = [(3, lines), (None, "5:" + lines), (5, lines)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in L.dedup(df).collect()}
+    assert got[None].text == "5:" + lines and got[None].n_removed == 0   # a null id comes first
+    assert got[5].n_removed > 0 and got[3].n_removed > 0

@@ -23,13 +23,35 @@ def best(value, w=S.WINDOW):
                for i in range(len(value) - w + 1))
 
 
+FILLERS = ["example", "sample", "dummy", "placeholder", "changeme", "notasecret", "redacted", "test_key", "testkey", "0123456789", "abcdefgh"]
+UUID = re.compile("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+SEGMENT = re.compile("(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+|[A-Za-z](?![A-Za-z]))[-_+=]*)*")
+
+
+def fills(v, a, b):
+    """Whether a filler begins at a place a .. b."""
+    low = v.lower()
+    return any(any(low.startswith(w, i) for w in FILLERS) or UUID.match(v, i)
+               or len(v) >= i + 8 and len(set(v[i:i + 8])) == 1 for i in range(a, b + 1))
+
+
+def never(v):
+    """The allow-list, rule by rule."""
+    if re.match("(?i)sha(1|256|384|512)-", v):
+        return True
+    if fills(v, 0, len(v)) and not any(
+            len(m.group()) >= 20 and re.search("[0-9]", m.group()) and not fills(v, m.start(), m.end())
+            for c in ("+", "+/") for m in re.finditer(f"[A-Za-z0-9{c}]+", v)):
+        return True
+    return v.count("/") >= 3 and all(SEGMENT.fullmatch(x) for x in v.split("/"))
+
+
 def extra(text, spans):
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
         v = m.group()
-        if not re.search("[0-9]", v) or re.search(S.ALLOWED, v) or any(a < m.end() and m.start() < e for a, _, e in spans):
+        if not re.search("[0-9]", v) or never(v) or any(a < m.end() and m.start() < e for a, _, e in spans):
             continue
-        need = next(b for _, t, b in S.CLASSES if re.search(t, v))
-        if need < 9 and best(v) >= need:
+        if re.search("[^0-9_=/+-]", v) and best(v) >= (3.75 if re.search("[^0-9a-fA-F]", v) else 2.9):
             yield (m.start(), 3, m.end())
 
 
