@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from paths import SF_SMALL
+from retentio.plans import catalog
 from retentio.sources.tables import TABLES
 
 ORACLES = entry.oracle_sql()
@@ -24,7 +25,7 @@ def _rows(tbl):
     return sorted(tuple(repr(data[c][i]) for c in cols) for i in range(tbl.num_rows))
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF_SMALL)
     got = df.toArrow()
