@@ -53,13 +53,13 @@ def test_row_level_queries_do_not_shuffle(spark, name):
 def test_a_page_is_a_range_of_the_scan(spark):
     """Both fences reach the parquet filter; the rows before the page are not read to find it."""
     s = catalog.scored(spark, SF_SMALL)
-    index = W.page_index(s, 10)
+    index = W.page_index(s, 20)
     txt = _plan(W.page_at(s, index, 4))
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(CustomerID", txt)
     assert re.search(r"PushedFilters: \[[^\]]*LessThanOrEqual\(CustomerID", txt)
     every = [r[0] for r in s.select("CustomerID").orderBy("CustomerID").collect()]
     pages = [[r["CustomerID"] for r in W.page_at(s, index, k).collect()] for k in (1, 4, index.count())]
-    assert pages[0] == every[:10] and pages[1] == every[30:40] and pages[2] == every[(index.count() - 1) * 10:]
+    assert pages[0] == every[:20] and pages[1] == every[60:80] and pages[2] == every[(index.count() - 1) * 20:]
     assert W.page_at(s, index, index.count() + 1).count() == 0
 
 
