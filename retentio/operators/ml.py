@@ -208,8 +208,8 @@ class EnsembleModel:
 def fit_ensemble(train: DataFrame, label: str = "Churn", features: list[str] = MODEL_FEATURES,
                  cfg: EnsembleConfig | None = None, weight_col: str | None = None,
                  boost_weight_col: str | None = None) -> EnsembleModel:
-    """M3-M6: fit RF + two GBTs in one pipeline (training data: aligned features)."""
-    from pyspark.ml import Pipeline
+    """M3-M6: fit RF + two GBTs, a pipeline of all three (training data: aligned features)."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     cfg = cfg or EnsembleConfig()
@@ -231,8 +231,10 @@ def fit_ensemble(train: DataFrame, label: str = "Churn", features: list[str] = M
     if boost_weight_col or weight_col:
         for est in (gbt_a, gbt_b):
             est.setWeightCol(boost_weight_col or weight_col)
-    model = Pipeline(stages=[asm, rf, gbt_a, gbt_b]).fit(train)
-    return EnsembleModel(model, features)
+    # each on the features alone, not on the predictions of those before; a copy leaves the training summary behind,
+    # which holds the session and so cannot travel to tasks once the session has observed metrics
+    assembled = asm.transform(train)
+    return EnsembleModel(PipelineModel([asm, *(est.fit(assembled).copy() for est in (rf, gbt_a, gbt_b))]), features)
 
 
 # ---------------------------------------------------------------------------
