@@ -54,6 +54,8 @@ CHUNK = 1 << 17
 BLOCK = 256
 #: Classes of a hub that are paired up in one place, with as many others.
 PART = 8192
+#: Shingles of a hub's sets that lie in one place, with as many others.
+PART_SHINGLES = 1 << 22
 #: Pairs that a task holds to tell repeated ones apart.
 FOUND = 1 << 21
 #: Classes that a task remembers, to send each one's shingles once.
@@ -108,7 +110,7 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     if len(sent) >= REMEMBERED:
                         sent.clear()
                     sent.add(c)
-                    signs.append(np.packbits(np.bincount((s >> U64(3)) % U64(SIGN), minlength=SIGN) & 1).view(np.int64).tolist())
+                    signs.append(_signature(s).tolist())
                     grams.append(s[:max(upto, len(s) - needed(len(s), percent) + 1)].view(np.int64))
                 ends = np.cumsum([0] + [len(g) for g in grams])
                 yield pa.RecordBatch.from_arrays(
@@ -231,16 +233,19 @@ def _hub_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
 def _dealt(rows: DataFrame, signs: DataFrame) -> DataFrame:
     """Lists with several labels, each row once for every part that its list meets: (hub, p, q) is worked through in one place.
 
-    The classes of a hub (the least class of each of its lists) fall into parts of about PART,
-    the same on all its lists, so a pair of classes has its place, and a place has two parts at most.
+    The classes of a hub (the least class of each of its lists) fall into parts of about PART
+    classes and PART_SHINGLES shingles, the same on all its lists, so a pair of classes has its
+    place, and a place has two parts at most.
     """
     # lists of two have met already
     lists = rows.groupBy("gram").agg(F.count("*").alias("k"), F.min("cls").alias("hub"), F.min("label").alias("l1"),
                                      F.max("label").alias("l2")).where("k > 2 and l1 <> l2").select("gram", "hub")
     listed = rows.join(lists, "gram")
     # the number of parts decides the order of work alone: an estimate will do
-    crowded = listed.groupBy("hub").agg(F.approx_count_distinct("cls").alias("k")).where(F.col("k") > PART)
-    parts = F.coalesce(F.ceil(F.col("k") / PART), F.lit(1).cast("long"))
+    crowded = (listed.groupBy("hub").agg(F.approx_count_distinct("cls").alias("k"), F.avg("n").alias("mean"))
+               .select("hub", F.ceil(F.greatest(F.col("k") / PART, F.col("k") * F.col("mean") / PART_SHINGLES)).alias("k"))
+               .where("k > 1"))
+    parts = F.coalesce("k", F.lit(1).cast("long"))
     placed = listed.join(crowded, "hub", "left").withColumn("own", F.pmod(F.xxhash64("cls"), parts)).drop("k")
     meets = (placed.join(crowded.select("hub"), "hub", "left_semi").groupBy("gram")
              .agg(F.collect_set("own").alias("others")))
@@ -250,98 +255,214 @@ def _dealt(rows: DataFrame, signs: DataFrame) -> DataFrame:
                     "label", "cls", "n", "at", "sign"))
 
 
-def _cross_pairs(prefixes: DataFrame, labels: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """(hub, a, b): pairs of different labels on one list that the bounds allow, but for pairs with the list's hub, which have met.
-
-    Bounds: size, place on the list, and signatures (linked sets differ in n1 + n2 - 2 T shingles at most).
-    Lists of one hub lie together, so a group's pairs, which share many lists, are told
-    apart where they arise; a hub of more than PART classes is dealt out by pairs of parts.
+def _whole_lists(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows (hub, p, q, gram, ..) that come in this order, a batch or so at a time, no list cut; without a gram they pass at once."""
+    held = None
+    for batch in it:
+        if not len(batch):
+            continue
+        t = pa.Table.from_batches([batch])
+        if held is not None:
+            t = pa.concat_tables([held, t]).combine_chunks()
+        at = _starts(t)
+        last = len(t) if t["gram"][len(t) - 1].as_py() is None else int(at[-1])
+        held = t.slice(last) if last < len(t) else None
+        if last:
+            yield t.slice(0, last)
+    if held is not None:
+        yield held
+
+
+def _starts(t: pa.Table, *columns: str) -> np.ndarray:
+    """Rows that begin another (hub, p, q) and ``columns`` (the gram, if none is named)."""
+    hub = _pairs_of(t["hub"].combine_chunks())
+    fresh = np.r_[True, (hub[1:] != hub[:-1]).any(1)]
+    for c in ("p", "q", *(columns or ("gram",))):
+        x = t[c].combine_chunks().fill_null(0).to_numpy()
+        fresh[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(fresh)
+
+
+def _across(t: pa.Table, signs: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y) of rows of one list in ``t``, whole lists, that may be linked: CHUNK at a time.
+
+    Pairs of one label are joined already, those with the list's hub have met; where two parts
+    meet, pairs within one arise elsewhere. Bounds: size, place on the list, and signatures
+    (linked sets differ in n1 + n2 - 2 T shingles at most).
+    """
+    n, at, own, label = (t[c].combine_chunks().to_numpy() for c in ("n", "at", "own", "label"))
+    cls, hub = _pairs_of(t["cls"].combine_chunks()), _pairs_of(t["hub"].combine_chunks())
+    is_hub, apart = (cls == hub).all(1), t["p"].combine_chunks().to_numpy() != t["q"].combine_chunks().to_numpy()
+    begin = np.zeros(len(t), np.int64)
+    begin[_starts(t)] = 1
+    lists = np.cumsum(begin)
+    order = np.lexsort((label, lists))
+    n, at, own, label, lists, is_hub, apart = (v[order] for v in (n, at, own, label, lists, is_hub, apart))
+    bits = signs.view(U64)[order]
+
+    def ends(fresh: np.ndarray) -> np.ndarray:
+        """For each row the first one of the next run."""
+        cut = np.r_[np.flatnonzero(fresh), len(fresh)]
+        return np.repeat(cut[1:], np.diff(cut))
+
+    other_list = np.r_[True, lists[1:] != lists[:-1]]
+    upto = ends(other_list | np.r_[True, label[1:] != label[:-1]])  # where other labels begin
+    todo = ends(other_list) - upto
+    todo[is_hub] = 0
+    before = np.r_[0, np.cumsum(todo)]
+    lo = 0
+    while lo < len(todo):
+        hi = max(lo + 1, int(np.searchsorted(before, before[lo] + CHUNK, "right")) - 1)
+        k = todo[lo:hi]
+        x = np.repeat(np.arange(lo, hi), k)
+        y = np.arange(len(x)) - np.repeat(before[lo:hi] - before[lo], k) + np.repeat(upto[lo:hi], k)
+        least = overlap(n[x], n[y], percent)
+        ok = ((np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+              & (np.minimum(n[x] - at[x], n[y] - at[y]) >= least) & ~is_hub[y] & (~apart[x] | (own[x] != own[y])))
+        x, y, least = x[ok], y[ok], least[ok]
+        differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+        near = differ <= n[x] + n[y] - 2 * least
+        yield order[x[near]], order[y[near]]
+        lo = hi
+
+
+def _signature(s: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount((s >> U64(3)) % U64(SIGN), minlength=SIGN) & 1).view(np.int64)
+
+
+def _open_rows(prefixes: DataFrame, labels: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """(hub, p, q, gram, own, label, cls, n, at): rows of lists that have a possible partner of another label there.
+
+    Never more rows than the dealt lists have: pairs are looked at and dropped where they arise.
     """
     rows = saved(prefixes.join(labels, "cls", "left").select(
         "gram", "cls", "n", "at", F.xxhash64(F.coalesce("label", "cls")).alias("label")))
-    dealt = _dealt(rows, signs)
-    schema = pa.schema([("hub", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+    names = ["hub", "p", "q", "gram", "own", "label", "cls", "n", "at"]
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_lists(it):
+            paired = np.zeros(len(t), bool)
+            bits = t["sign"].combine_chunks().flatten().to_numpy().reshape(-1, SIGN // 64)
+            for x, y in _across(t, bits, percent):
+                paired[x] = paired[y] = True
+            yield from t.select(names).filter(pa.array(paired)).combine_chunks().to_batches()
+
+    return (_dealt(rows, signs).repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q", "gram")
+            .select(*names, "sign").mapInArrow(
+        batches, "hub binary, p long, q long, gram long, own long, label long, cls binary, n long, at long"))
+
+
+class _Place:
+    """The sets and lists of one (hub, p, q): what its links join, beyond what labels join, is its spanning forest."""
+
+    def __init__(self, key: tuple, percent: int):
+        self.key, self.percent = key, percent
+        self.code: dict[bytes, int] = {}
+        self.names: list[bytes] = []
+        self.sets: list[np.ndarray] = []
+        self.signs: list[np.ndarray] = []
+        self.above: list[int] = []
+        self.of_label: dict[int, int] = {}
+        self.found: list[np.ndarray] = []
+        self.size = 0
+
+    def put(self, cls: bytes, grams: np.ndarray) -> None:
+        self.code[cls] = len(self.names)
+        self.names.append(cls)
+        self.sets.append(grams)
+        self.signs.append(_signature(grams))
+        self.above.append(len(self.above))
+
+    def top(self, x: int) -> int:
+        while self.above[x] != x:
+            self.above[x] = x = self.above[self.above[x]]
+        return x
+
+    def meet(self, t: pa.Table) -> Iterator[tuple[bytes, bytes]]:
+        """Hold the pairs of lists; yields links found so far, if there are many."""
+        codes = np.array([self.code[c] for c in t["cls"].to_pylist()], np.int64)
+        for c, label in set(zip(codes.tolist(), t["label"].to_pylist())):
+            self.above[self.top(c)] = self.top(self.of_label.setdefault(label, c))
+        for x, y in _across(t, np.stack(self.signs)[codes], self.percent):
+            c1, c2 = codes[x], codes[y]
+            self.found.append(np.unique(np.minimum(c1, c2) << 32 | np.maximum(c1, c2)))
+            self.size += len(self.found[-1])
+            if self.size > FOUND:
+                self.found = [np.unique(np.concatenate(self.found))]
+                self.size = len(self.found[0])
+                if self.size > FOUND // 2:  # a pair that comes again is joined, or tried again
+                    yield from self.links()
+
+    def links(self) -> Iterator[tuple[bytes, bytes]]:
+        if not self.found:
+            return
+        every = np.unique(np.concatenate(self.found))
+        self.found, self.size = [], 0
+        one, two = every >> 32, every & 0xFFFFFFFF
+        cut = np.flatnonzero(np.r_[True, one[1:] != one[:-1], True]) if len(one) else np.zeros(1, int)
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            query = int(one[lo])
+            others = two[lo:hi].tolist()
+            for i in range(0, len(others), BLOCK):
+                mine = self.top(query)
+                todo = [c for c in others[i:i + BLOCK] if self.top(c) != mine]
+                q, against = self.sets[query], [self.sets[c] for c in todo]
+                for w in divide_skip(q, against, [overlap(len(q), len(s), self.percent) for s in against]):
+                    mine, other = self.top(query), self.top(todo[w])
+                    if mine != other:
+                        self.above[other] = mine
+                        yield self.names[query], self.names[todo[w]]
+
+
+def _cross_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between classes of different labels, a spanning forest a place. ``rows`` as of _open_rows.
+
+    A set is sent once to each (hub, p, q) that it has a possible partner in, and pairs are
+    verified there where they arise: pairs never become rows. A place holds the sets of two
+    parts, about PART_SHINGLES each.
+    """
+    none = F.lit(None)
+    needs = rows.select("hub", "p", "q", "cls").distinct()
+    # what meets grows with the data on both sides: dealt by class at every size
+    given = needs.join(sets.hint("merge"), "cls").select(
+        "hub", "p", "q", none.cast("long").alias("gram"), none.cast("long").alias("own"), none.cast("long").alias("label"),
+        "cls", none.cast("long").alias("n"), none.cast("long").alias("at"), "grams")
+    every = rows.withColumn("grams", none.cast("binary")).unionByName(given)
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, code, names, marks, found, size = None, {}, [], np.empty((16, SIGN // 64), np.int64), [], 0
-        held, gram = [], None  # rows of the list at hand: (own, label, code, n, at)
-
-        def listed() -> Iterator[np.ndarray]:
-            """Pairs (smaller code << 32 | larger) of the held rows that the bounds allow."""
-            t = np.array(held, np.int64)
-            t = t[np.argsort(t[:, 1], kind="stable")]
-            hub = code.get(place[0])
-            bits = marks.view(U64)
-            upto = np.searchsorted(t[:, 1], t[:, 1], "right")  # where other labels begin
-            todo = len(t) - upto
-            lo = 0
-            while lo < len(t):
-                hi = max(lo + 1, int(np.searchsorted(np.cumsum(todo[lo:]), CHUNK, "right")) + lo)
-                x = np.repeat(np.arange(lo, hi), todo[lo:hi])
-                starts = np.repeat(np.cumsum(todo[lo:hi]) - todo[lo:hi], todo[lo:hi])
-                y = np.arange(len(x)) - starts + np.repeat(upto[lo:hi], todo[lo:hi])
-                n1, n2, a1, a2 = t[x, 3], t[y, 3], t[x, 4], t[y, 4]
-                ok = ((np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent)
-                      & (np.minimum(n1 - a1, n2 - a2) >= overlap(n1, n2, percent)))
-                if hub is not None:
-                    ok &= (t[x, 2] != hub) & (t[y, 2] != hub)
-                if place[1] != place[2]:  # two parts: pairs within one arise elsewhere
-                    ok &= t[x, 0] != t[y, 0]
-                c1, c2 = t[x[ok], 2], t[y[ok], 2]
-                apart = np.bitwise_count(bits[c1] ^ bits[c2]).sum(1, dtype=np.int64)
-                near = apart <= n1[ok] + n2[ok] - 2 * overlap(n1[ok], n2[ok], percent)
-                c1, c2 = c1[near], c2[near]
-                yield np.minimum(c1, c2) << 32 | np.maximum(c1, c2)
-                lo = hi
+        place, out = None, []
 
         def told() -> pa.RecordBatch:
-            nonlocal size
-            every = np.unique(np.concatenate(found))
-            one, two = every >> 32, every & 0xFFFFFFFF
-            all_ = pa.array(names, pa.binary())
-            x, y = all_.take(pa.array(one)), all_.take(pa.array(two))
-            found[:], size = [], 0
-            return pa.RecordBatch.from_arrays([pa.array([place[0]] * len(every), pa.binary()), x, y], schema=schema)
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            if len(held) > 1:
-                for f in listed():
-                    found.append(np.unique(f))
-                    size += len(found[-1])
-                    if size > FOUND:
-                        found[:] = [np.unique(np.concatenate(found))]
-                        size = len(found[0])
-                        if size > FOUND // 2:  # what comes again is told apart after the exchange
-                            yield told()
-            held.clear()
-
-        for batch in it:
-            for h, p, q, g, own_, label, cls, n, at, sign in zip(*(c.to_pylist() for c in batch.columns)):
-                if (h, p, q) != place or g != gram:
-                    yield from close()
-                    if (h, p, q) != place:
-                        if found:
-                            yield told()
-                        place, code, names = (h, p, q), {}, []
-                    gram = g
-                i = code.get(cls)
-                if i is None:
-                    i = code[cls] = len(names)
-                    names.append(cls)
-                    if i == len(marks):
-                        marks = np.concatenate([marks, np.empty_like(marks)])
-                    marks[i] = sign
-                held.append((own_, label, i, n, at))
-        yield from close()
-        if found:
-            yield told()
-
-    met = (dealt.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q", "gram")
-           .select("hub", "p", "q", "gram", "own", "label", "cls", "n", "at", "sign")
-           .mapInArrow(batches, "hub binary, a binary, b binary"))
-    return met.select("hub", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(
-        F.min("hub").alias("hub")).select("hub", "a", "b")
+            batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], schema=schema)
+            out.clear()
+            return batch
+
+        for t in _whole_lists(it):
+            cut = np.r_[_starts(t, "p"), len(t)]
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                mine = t.slice(lo, hi - lo)
+                key = tuple(mine[c][0].as_py() for c in ("hub", "p", "q"))
+                if place is None or key != place.key:
+                    if place is not None:
+                        out.extend(place.links())
+                    place = _Place(key, percent)
+                n_sets = mine["gram"].null_count
+                for cls, grams in zip(mine["cls"].slice(0, n_sets).to_pylist(), mine["grams"].slice(0, n_sets).to_pylist()):
+                    if cls not in place.code:  # two tasks may send one set
+                        place.put(cls, np.frombuffer(grams, U64))
+                if n_sets < len(mine):
+                    out.extend(place.meet(mine.slice(n_sets)))
+            if len(out) >= 1 << 12:
+                yield told()
+        if place is not None:
+            out.extend(place.links())
+        yield told()
+
+    # sets (without a gram) come before the lists of their place
+    return (every.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q", F.col("gram").asc_nulls_first())
+            .select("hub", "p", "q", "gram", "own", "label", "cls", "n", "at", "grams")
+            .mapInArrow(batches, "a binary, b binary"))
 
 
 def _near(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
@@ -502,10 +623,10 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     links = saved(_links(near.select("hub", F.col("hub").alias("a"), F.col("cls").alias("b")), sets, percent))
     # what hub links join needs no pairs of its own
     labels = saved(components(links).select(F.col("node").alias("cls"), F.col("component").alias("label")))
-    rest = saved(_cross_pairs(prefixes, labels, signs.select("cls", "sign"), percent))
+    rest = saved(_open_rows(prefixes, labels, signs.select("cls", "sign"), percent))
     if rest.head(1):
-        sets = _sets(docs, rows.select("cls", "id"), _classes_of(rest, "a", "b"), k)
-        links = saved(links.unionByName(_links(rest, sets, percent)))
+        sets = _sets(docs, rows.select("cls", "id"), _classes_of(rest, "cls"), k)
+        links = saved(links.unionByName(_cross_links(rest, sets, percent)))
     return rows, components(links).select(F.col("node").alias("cls"), "component")
 
 

@@ -104,14 +104,46 @@ def test_a_crowded_hub_is_dealt_by_pairs_of_parts(spark, monkeypatch):
     monkeypatch.setattr(N, "FOUND", 4)
     monkeypatch.setattr(N, "CHUNK", 16)
     seen = []
-    cross = N._cross_pairs
-    monkeypatch.setattr(N, "_cross_pairs", lambda *a: seen.append((a, cross(*a))) or seen[-1][1])
+    cross = N._cross_links
+    monkeypatch.setattr(N, "_cross_links", lambda *a: seen.append((a, cross(*a))) or seen[-1][1])
     check(templated(spark))
     _, out = seen[0]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"RepartitionByExpression \[hub#\d+, p#\d+L?, q#\d+L?\]", plan)
 
 
+def near_threshold(spark, n=120, seed=3):
+    """One large group whose members are mostly just beyond the threshold of one another: all share lists, no hub links many."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(100), rng.choice([1, 2, 2, 3])):
+            words[at] = f"y{rng.randint(0, 5)}"
+        rows.append((i, " ".join(words)))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_pairs_never_become_rows(spark, monkeypatch):
+    made = []
+    for name in ("_open_rows", "_cross_links"):
+        plain = getattr(N, name)
+        monkeypatch.setattr(N, name, lambda *a, plain=plain: made.append(N.saved(plain(*a))) or made[-1])
+    docs = near_threshold(spark)
+    check(docs)
+    rows, links = made
+    places = rows.select("hub", "p", "q", "cls").distinct().count()
+    assert rows.count() > 0 and links.count() < places
+    # a forest: fewer links than classes in every place
+    assert links.count() <= places - rows.select("hub", "p", "q").distinct().count()
+
+
+def test_large_sets_make_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "PART_SHINGLES", 500)
+    check(near_threshold(spark, 60, 9))
+
+
 def test_places_are_bounded_and_every_pair_has_one(spark, monkeypatch):
     monkeypatch.setattr(N, "PART", 20)
     names = [i.to_bytes(16, "big") for i in range(200)]
