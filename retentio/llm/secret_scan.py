@@ -17,10 +17,11 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ["assign", "access", "hex", "entropy"]
 
-#: Characters of candidate strings; a candidate is a maximal run with a digit in it.
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: A candidate is a maximal run of these characters with a digit in it.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]*+"
 WINDOW = 20
+#: Windows of a candidate that are looked at together.
+PIECE = 128
 #: Bits a character of the best window, by character class: (class, test, least entropy).
 CLASSES = [("digits", r"^[0-9_=/+-]+$", 9.0), ("hex", r"^[0-9a-fA-F]+$", 2.9), ("other", r".", 3.75)]
 _FILLER = (r"(?i:example|sample|dummy|placeholder|changeme|notasecret|redacted|test_?key|0123456789|abcdefgh"
@@ -63,34 +64,52 @@ def _found(text: Column, test: str, spans: Column) -> Column:
     return F.when(text.rlike(test), spans).otherwise(F.array().cast(_SPANS))
 
 
+def _best(piece: Column, window: int) -> Column:
+    """Highest entropy of the windows of a short string of ASCII: a character enters, the one ``window`` back leaves.
+
+    sum(n log2 n) of the first window changes by the counts of these two
+    alone, taken in the window with both of them; the least sum is the highest entropy.
+    """
+    f = [n * math.log2(n) if n else 0.0 for n in range(window + 2)]
+    whole = F.array(*map(F.lit, f[1:]))
+    added = F.array(*[F.lit(f[n] - f[n - 1]) for n in range(1, window + 2)])
+
+    def count(within: Column, n: int, c: Column) -> Column:
+        return F.lit(n) - F.octet_length(F.replace(within, c, F.lit("")))
+
+    head = F.substring(piece, 1, window)
+    first = F.aggregate(F.array_distinct(F.split(head, "")), F.lit(0.0), lambda acc, c: acc + F.when(
+        c == "", 0.0).otherwise(F.element_at(whole, F.greatest(count(head, window, c), F.lit(1)))))
+    moves = F.transform(
+        F.regexp_extract_all(piece, F.lit(f"(?s)(?=(.{{{window + 1}}}))"), F.lit(1)),
+        lambda w: F.element_at(added, count(w, window + 1, F.substring(w, window + 1, 1)))
+        - F.element_at(added, count(w, window + 1, F.substring(w, 1, 1))))
+    least = F.aggregate(
+        moves, F.struct(first.alias("sum"), F.lit(float(f[window])).alias("least")),
+        lambda acc, d: F.struct((acc["sum"] + d).alias("sum"), F.least(acc["least"], acc["sum"]).alias("least")),
+        lambda acc: F.least(acc["sum"], acc["least"]))
+    return F.lit(math.log2(window)) - least / F.lit(float(window))
+
+
+def _pieces(value: Column, window: int) -> Column:
+    """Pieces of ``value`` that between them hold each of its windows once, so that no step looks far."""
+    return F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{window},{PIECE + window - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+
+
 def best_entropy(value: Column, window: int = WINDOW) -> Column:
-    """Highest Shannon entropy (bits) of any ``window`` consecutive characters of ``value``.
+    """Highest Shannon entropy (bits) of any ``window`` consecutive characters of ``value``; 0 if it is shorter."""
+    return F.coalesce(F.array_max(F.transform(_pieces(value, window), lambda p: _best(p, window))), F.lit(0.0))
+
 
-    One pass: a character enters, the one ``window`` back leaves; the counts of
-    both, and with them sum(n log2 n), change by what these two do.
+def reaches(value: Column, bits: Column, window: int = WINDOW) -> Column:
+    """Whether ``best_entropy`` is ``bits`` or more: ends at the first piece that reaches it.
+
+    A piece of k different characters has no window of more than log2 k bits, so it needs no look.
     """
-    # an entering character is counted before the other leaves, so a count can reach window + 1
-    f = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)])
-    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
-
-    def step(acc: Column, i: Column) -> Column:
-        into = F.element_at(acc["codes"], i)
-        out = F.when(i > window, F.element_at(acc["codes"], F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
-        have = F.element_at(acc["counts"], into)
-        entered = acc["sum"] + F.element_at(f, have + 2) - F.element_at(f, have + 1)
-        leaving = F.when(out > 0, F.element_at(acc["counts"], F.greatest(out, F.lit(1)))
-                         + F.when(out == into, 1).otherwise(0)).otherwise(F.lit(0))
-        total = entered + F.when(out > 0, F.element_at(f, F.greatest(leaving, F.lit(1)))
-                                 - F.element_at(f, F.greatest(leaving, F.lit(1)) + 1)).otherwise(F.lit(0.0))
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k + 1 == into, 1).otherwise(0)
-                             - F.when(k + 1 == out, 1).otherwise(0))
-        bits = F.lit(math.log2(window)) - total / F.lit(float(window))
-        return F.struct(acc["codes"].alias("codes"), counts.alias("counts"), total.alias("sum"),
-                        F.when(i >= window, F.greatest(acc["best"], bits)).otherwise(acc["best"]).alias("best"))
-
-    zero = F.struct(codes.alias("codes"), F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"),
-                    F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(value)), zero, step, lambda acc: acc["best"])
+    def most(p: Column) -> Column:
+        return F.log2(F.size(F.array_distinct(F.split(p, ""))).cast("double")) + 1e-9
+
+    return F.exists(_pieces(value, window), lambda p: (most(p) >= bits) & (_best(p, window) >= bits))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -114,15 +133,17 @@ def scan(docs: DataFrame) -> DataFrame:
                _matches(F.col("text"), CANDIDATE, 0, 3, WINDOW)).alias("e"))
     base = base.select("doc_id", F.array_sort(F.concat("a", "k", "h")).alias("base"), "e")
 
-    def stands(s: Column) -> Column:
+    def judged(s: Column) -> Column:
+        """A candidate with the entropy that it needs, null if something else rules it out: found once, not at each piece."""
         v = s["value"]
         need = F.lit(9.0)
         for _, test, bits in reversed(CLASSES):
             need = F.when(v.rlike(test), F.lit(bits)).otherwise(need)
-        return ~v.rlike(ALLOWED) & (need < 9.0) & ~F.exists(
-            "base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (best_entropy(v) >= need)
+        overlaps = F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return F.struct(s.alias("span"), F.when(~overlaps & ~v.rlike(ALLOWED), F.nullif(need, F.lit(9.0))).alias("need"))
 
-    return base.select("doc_id", "base", F.array_sort(F.concat("base", F.filter("e", stands))).alias("spans"))
+    secret = F.filter(F.transform("e", judged), lambda c: c["need"].isNotNull() & reaches(c["span"]["value"], c["need"]))
+    return base.select("doc_id", "base", F.array_sort(F.concat("base", F.transform(secret, lambda c: c["span"]))).alias("spans"))
 
 
 def listed(spans: str | Column) -> Column:

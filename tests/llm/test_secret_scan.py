@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -124,3 +125,26 @@ def test_a_very_long_run_is_judged(spark):
     long_ = "".join(rng.choice(BASE64) for _ in range(20_000))
     assert entropy_spans(spark, ["/ab1" * 20_000, "a-" * 20_000 + "dummy9"]) == [False, False]
     assert re.search(S.ALLOWED, long_) is None
+
+
+def test_a_run_of_a_million_characters_takes_seconds(spark):
+    """Low entropy in every window, so that none ends the look early, and many different characters in all."""
+    rng = random.Random(5)
+    starts = [rng.randrange(5) for _ in range(16_500)]
+    run = "".join("ghijklmnop"[k:k + 6] * 6 + "QRSTUVWXYZ"[k:k + 5] * 5 + "0" for k in starts)[:1_000_000]
+    key = "Zx9Qm2Lp7Rt4Vw8Yb1Nc6Kd3"
+    assert max(best(run[i:i + 400]) for i in range(0, 100_000, 380)) < 3.75
+    assert entropy_spans(spark, [run[:1000]]) == [False]
+    began = time.monotonic()
+    assert entropy_spans(spark, [run, run[:700_000] + key + run[700_000:], run + key]) == [False, True, True]
+    assert time.monotonic() - began < 20
+
+
+def test_pieces_hold_every_window(spark):
+    """Long values whose best window lies across the cuts."""
+    rng = random.Random(6)
+    values = ["a" * at + "".join(rng.sample(BASE64, 20)) + "b" * 100 for at in range(30, 150)] + ["a" * 19, "", "ab" * 10]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for r in df.select("v", S.best_entropy(F.col("v")).alias("b"), S.reaches(F.col("v"), F.lit(3.75)).alias("r")).collect():
+        want = best(r.v) if len(r.v) >= S.WINDOW else 0.0
+        assert abs(r.b - want) < 1e-9 and r.r == (want >= 3.75)
