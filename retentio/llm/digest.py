@@ -3,8 +3,12 @@
 Every window of 32 bytes has a Shannon entropy; how often that level occurs
 over all documents tells how improbable the window is. In each neighbourhood
 the rarest window wins, and windows that win often enough are the features.
-Their hashes go into Bloom filters, a new one after so many. Two fingerprints
-are as alike as their filters' common bits beyond what chance would give.
+Their hashes go into Bloom filters, a new one after so many. Every text, long
+or short, also has small features: of its windows of 8 bytes those whose hash
+starts with enough zero bits that about as many remain at any length, in one
+filter for each number of zeros, so that texts of different lengths meet in the
+filters that both have. Two fingerprints are as alike as their filters' common
+bits beyond what chance would give, weighed by the bytes the features cover.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +29,10 @@ WINDOW = 32
 #: A window competes with its neighbours in so many places, and must win so many of them.
 NEIGHBOURS = 32
 WINS = 12
-#: Texts of fewer bytes have features of their own kind.
-SHORT = 8 * WINDOW
+#: Bytes of a small window, how many small features a text keeps at most (about), and their filters.
+SMALL = 8
+SMALL_FEATURES = 128
+SMALL_FILTERS = 4
 LEVELS = 256
 FILTER_BITS = 2048
 BITS_PER_FEATURE = 5
@@ -140,61 +147,121 @@ def _lanes(data: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray
     return out
 
 
-def fingerprint(data: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Filters (rows of FILTER_BITS / 8 bytes) of a text whose windows have ``ranks``.
+class Print(NamedTuple):
+    """A fingerprint: ``small`` filters of hashes with ``zeros``, ``zeros`` + 1, .. leading zero bits (the last: or more); ``wide`` chain."""
 
-    In a text of a few windows nothing stands out: all its windows of 8 bytes
-    are features. A still shorter one is a feature as a whole; an empty one has none.
-    """
-    if len(data) >= 8:
-        short = len(data) < SHORT
-        hashes = _lanes(data, np.arange(len(data) - 7), 8) if short else _lanes(data, features(ranks))
-        # windows of equal bytes count once
-        _, first = np.unique(hashes, return_index=True)
-        hashes = hashes[np.sort(first)]
-    elif len(data):
-        hashes = np.frombuffer(hashlib.blake2b(data.tobytes(), digest_size=8).digest(), U64)
-    else:
-        return np.zeros((0, FILTER_BITS // 8), np.uint8)
-    filters = np.zeros((-(-len(hashes) // FEATURES_PER_FILTER), FILTER_BITS), bool)
-    chain = np.arange(len(hashes)) // FEATURES_PER_FILTER
+    zeros: int
+    small: np.ndarray
+    wide: np.ndarray
+
+
+def _filled(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """``n`` filters (rows of FILTER_BITS / 8 bytes), each hash in that of its number ``at``."""
+    filters = np.zeros((n, FILTER_BITS), bool)
     bits = FILTER_BITS.bit_length() - 1
     for k in range(BITS_PER_FEATURE):
-        filters[chain, ((hashes >> U64(bits * k)) & U64(FILTER_BITS - 1)).astype(np.int64)] = True
+        filters[at, ((hashes >> U64(bits * k)) & U64(FILTER_BITS - 1)).astype(np.int64)] = True
     return np.packbits(filters, axis=1)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """0 .. 1: for each filter of the shorter chain the best of the other, by normalised overlap, on average.
-
-    Overlap beyond chance, as a share of what two such filters can share beyond
-    chance. Two empty fingerprints are alike; an empty and another are not.
-    """
+def _small(data: np.ndarray) -> tuple[int, np.ndarray]:
+    """Small filters; a text of fewer than SMALL bytes is one feature as a whole."""
+    n = len(data) - SMALL + 1
+    zeros = max(0, (-(-n // SMALL_FEATURES) - 1).bit_length())
+    if n > 0:
+        found = []
+        for a in range(0, n, STRETCH):
+            part = data[a:min(n, a + STRETCH) + SMALL - 1]
+            hashes = _lanes(part, np.arange(len(part) - SMALL + 1), SMALL)
+            found.append(hashes[hashes <= U64((1 << (64 - zeros)) - 1)])
+        hashes = np.unique(np.concatenate(found))
+    else:
+        hashes = np.frombuffer(hashlib.blake2b(data.tobytes(), digest_size=8).digest(), U64) >> U64(1) | U64(1 << 63)
+    row = np.zeros(len(hashes), np.int64)
+    for k in range(1, SMALL_FILTERS):
+        row += hashes < U64(1 << (64 - zeros - k))
+    return zeros, _filled(mix(hashes), row, SMALL_FILTERS)  # zeros in front would show in a filter's bits
+
+
+def fingerprint(data: np.ndarray, ranks: np.ndarray) -> Print:
+    """Filters of a text whose windows have ``ranks``; an empty text has none."""
+    none = np.zeros((0, FILTER_BITS // 8), np.uint8)
+    if not len(data):
+        return Print(0, none, none)
+    zeros, small = _small(data)
+    if not len(ranks):
+        return Print(zeros, small, none)
+    hashes = _lanes(data, features(ranks))
+    # windows of equal bytes count once
+    _, first = np.unique(hashes, return_index=True)
+    hashes = hashes[np.sort(first)]
+    return Print(zeros, small, _filled(hashes, np.arange(len(hashes)) // FEATURES_PER_FILTER, -(-len(hashes) // FEATURES_PER_FILTER)))
+
+
+def _excess(na: np.ndarray, nb: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Common bits beyond chance and cutoff, and the most there could be, of filters with ``na`` and ``nb`` bits."""
+    chance = na * nb / FILTER_BITS
+    most = np.minimum(na, nb)
+    chance = chance + CUTOFF * (most - chance)
+    return common - chance, most - chance
+
+
+def _wide_likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """For each filter of the shorter chain the best of the other, on average; and the bits of the shorter chain."""
     if len(a) > len(b):
         a, b = b, a
     if not len(a):
-        return float(len(b) == 0)
-    if a.shape == b.shape and (a == b).all():
-        return 1.0
-    weight = np.unpackbits(a, axis=1).sum(1, dtype=np.int64)
-    best = np.zeros(len(a))
+        return 0.0, 0.0
     wa = np.unpackbits(a, axis=1).astype(np.float32)
+    weight = wa.sum(1)
+    best = np.zeros(len(a))
     for lo in range(0, len(b), 64):
         wb = np.unpackbits(b[lo:lo + 64], axis=1).astype(np.float32)
         nb = wb.sum(1)
         for x in range(0, len(a), 1024):
-            na = wa[x:x + 1024].sum(1)
-            common = wa[x:x + 1024] @ wb.T
-            chance = np.outer(na, nb) / FILTER_BITS
-            most = np.minimum(na[:, None], nb[None, :])
-            chance = chance + CUTOFF * (most - chance)
-            score = np.where(most > chance, (common - chance) / np.maximum(most - chance, 1e-9), 0.0)
+            over, most = _excess(weight[x:x + 1024, None], nb[None, :], wa[x:x + 1024] @ wb.T)
+            score = np.where(most > 0, over / np.maximum(most, 1e-9), 0.0)
             best[x:x + 1024] = np.maximum(best[x:x + 1024], score.clip(0, 1).max(1))
-    return float((best * weight).sum() / weight.sum())
+    return float((best * weight).sum() / weight.sum()), float(weight.sum())
+
+
+def _small_likeness(a: Print, b: Print) -> tuple[float, float]:
+    """Over the numbers of zeros that both keep; and the bits there that the two could share."""
+    if a.zeros > b.zeros:
+        a, b = b, a
+    skip = b.zeros - a.zeros
+    if skip >= SMALL_FILTERS or not len(a.small) or not len(b.small):
+        return 0.0, 0.0
+    n = SMALL_FILTERS - skip
+    mine = np.unpackbits(a.small[skip:], axis=1)
+    theirs = np.unpackbits(b.small, axis=1)
+    theirs = np.concatenate([theirs[:n - 1], theirs[n - 1:].max(0, keepdims=True)])  # "or more" from the same number
+    na, nb = mine.sum(1, dtype=np.int64), theirs.sum(1, dtype=np.int64)
+    over, most = _excess(na, nb, (mine & theirs).sum(1, dtype=np.int64))
+    if most.sum() <= 0:
+        return 0.0, 0.0
+    return float(min(1.0, max(0.0, over.sum() / most.sum()))), float(np.minimum(na, nb).sum())
+
+
+def likeness(a: Print, b: Print) -> float:
+    """0 .. 1: common bits beyond chance, as a share of what such filters can share beyond chance.
+
+    The wide chains' and the small filters' likeness, each weighed by bits of
+    the shorter one times bytes of a window. Two empty fingerprints are alike;
+    an empty and another are not.
+    """
+    if packed(a) == packed(b):
+        return 1.0
+    if not len(a.small) or not len(b.small):
+        return 0.0
+    (wide, w), (small, s) = _wide_likeness(a.wide, b.wide), _small_likeness(a, b)
+    w, s = w * WINDOW, s * SMALL
+    return (wide * w + small * s) / (w + s) if w + s else 0.0
 
 
-def packed(filters: np.ndarray) -> str:
-    return base64.b64encode(filters.tobytes()).decode()
+def packed(p: Print) -> str:
+    """Base64 of a byte (zeros), the small filters and the wide ones; nothing of an empty text."""
+    return base64.b64encode(bytes([p.zeros]) + p.small.tobytes() + p.wide.tobytes()).decode() if len(p.small) else ""
 
 
 def in_order(docs: DataFrame) -> DataFrame:
