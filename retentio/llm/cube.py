@@ -128,6 +128,8 @@ def land(units: list[tuple[float, float]]) -> list[float]:
 
 def _flight(last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        # equal rows came as one with their number here
+        rows = rows.loc[rows.index.repeat(rows["alike"])].assign(alike=1)
         # large documents first, so that mostly small ones are left to land
         rows = rows.sort_values(["size", "spread", "doc_id"], ascending=[False, True, True], kind="stable")
         draw = random.Random(repr(tuple(map(str, key)))).random  # the block's own numbers: reruns agree
@@ -142,6 +144,15 @@ def _flight(last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     return run
 
 
+def deal(state: DataFrame) -> DataFrame:
+    """Rows (spread, alike, blocks) with their ``block``: ``alike`` equal rows go evenly to as many blocks as they fill."""
+    share = F.floor(F.col("alike") / F.col("blocks"))
+    dealt = F.transform(F.sequence(F.lit(0).cast("long"), F.least("alike", "blocks") - 1), lambda j: F.struct(
+        F.pmod(F.pmod(F.col("spread"), F.col("blocks")) + j, F.col("blocks")).alias("block"),
+        (share + F.when(j < F.col("alike") % F.col("blocks"), 1).otherwise(0)).alias("alike")))
+    return state.withColumn("deal", F.explode(dealt)).drop("alike").select("*", "deal.block", "deal.alike").drop("deal")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): key (of the text), source, size,
     source_size, target, copies, taken.
@@ -151,8 +162,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP,
     without cost; null ids, a null source and repeated rows are rows as others;
     other columns are not read; an empty table gives an empty table.
     """
-    narrow = saved(sizes(docs).withColumn("spread", F.xxhash64("doc_id", "key", "source")))
-    totals = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
+    narrow = saved(sizes(docs).groupBy("doc_id", "key", "source", "size").agg(F.count("*").alias("alike"))
+                   .withColumn("spread", F.xxhash64("doc_id", "key", "source")))
+    totals = narrow.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size"),
+                                          F.sum("alike").alias("source_docs"))
     goal = saved(targets(totals, weights, cap))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     g = goal.withColumn("ratio", ratio).withColumnRenamed("source", "__source")
@@ -162,9 +175,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP,
              .withColumn("blocks", F.ceil(F.col("source_docs") / block)))
     most = totals.agg(F.max("source_docs")).first()[0] or 0
     blocks = -(-most // block)
-    number: Column = F.pmod(F.col("spread"), F.col("blocks"))
-    state = state.withColumn("block", number).select(
-        "doc_id", "key", "source", "size", "spread", "source_size", "target", "whole", "p", "block")
+    state = deal(state).select(
+        "doc_id", "key", "source", "size", "spread", "source_size", "target", "whole", "p", "block", "alike")
     schema = state.schema
     done = []
     while True:

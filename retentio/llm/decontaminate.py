@@ -109,10 +109,6 @@ def bloom(hashes: DataFrame, column: str) -> tuple[Filter, int]:
     return hashes.select(column).rdd.mapPartitions(part).treeReduce(lambda a, b: a | b, depth=2) if n else empty, n
 
 
-def _kinds(grams: DataFrame, column: str) -> DataFrame:
-    return grams.select(F.col(column)).distinct()
-
-
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_words, n_hit, items (sorted ids as strings), and ``key`` of the text.
 
@@ -179,14 +175,12 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
                      pa.array(n_words, pa.int64()), pa.array(hits, schema.field("at").type)], schema=schema)
 
-    listed = (docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(
-        places, "doc_id long, key binary, n_words long, at array<struct<gram:long,pos:long,before:int,words:string>>")
-        .select("doc_id", "key", "n_words", F.posexplode_outer("at").alias("k", "at")))
-    # rows without a place get a key of their own for the join, not one null for all
-    lone = F.xxhash64("doc_id", "key")
-    listed = listed.select("doc_id", "key", "n_words", F.coalesce("k", F.lit(0)).alias("k"), "at",
-                           F.coalesce(F.col("at.gram"), lone).alias("gram"))
-    joined = listed.join(index, "gram", "left")
+    scanned = saved(docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(
+        places, "doc_id long, key binary, n_words long, at array<struct<gram:long,pos:long,before:int,words:string>>"))
+    # equal rows are counted here, and their places, equal too, go on once
+    rows = scanned.groupBy("doc_id", "key").agg(F.first("n_words").alias("n_words"), F.count("*").alias("rows"))
+    joined = (scanned.where(F.size("at") > 0).select("doc_id", "key", F.posexplode("at").alias("k", "at"))
+              .dropDuplicates(["doc_id", "key", "k"]).withColumn("gram", F.col("at.gram")).join(index, "gram"))
     words = F.split(F.col("at.words"), " ")
 
     def occurs(win):
@@ -195,17 +189,18 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
         return (begin >= 0) & (begin + win["n"] <= F.size(words)) & (
             F.array_join(F.slice(words, F.greatest(begin, F.lit(0)) + 1, win["n"]), " ") == win["words"])
 
-    true = F.when(F.col("at").isNotNull() & F.col("wins").isNotNull(), F.filter("wins", occurs))
+    true = F.filter("wins", occurs)
     verified = joined.select(
-        "doc_id", "key", "n_words", "k",
+        F.col("doc_id").alias("__id"), F.col("key").alias("__key"),
         F.transform(true, lambda x: F.struct((F.col("at.pos") - x["offset"]).alias("a"),
                                              (F.col("at.pos") - x["offset"] + x["n"]).alias("b"))).alias("spans"),
         F.flatten(F.transform(true, lambda x: x["items"])).alias("items"))
-    # k = 0 comes once for each of several equal rows
-    grouped = verified.groupBy("doc_id", "key").agg(
-        F.first("n_words").alias("n_words"), F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).alias("rows"),
+    hit = verified.where(F.size("spans") > 0).groupBy("__id", "__key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    grouped = rows.join(hit, rows["doc_id"].eqNullSafe(hit["__id"]) & (rows["key"] == hit["__key"]), "left").select(
+        "doc_id", "key", "n_words", "rows", F.coalesce("spans", F.array().cast(hit.schema["spans"].dataType)).alias("spans"),
+        F.coalesce("items", F.array().cast(hit.schema["items"].dataType)).alias("items"))
     zero = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("end"))
     union = F.aggregate("spans", zero, lambda acc, s: F.struct(
         (acc["hit"] + F.greatest(s["b"] - F.greatest(s["a"], acc["end"]), F.lit(0).cast("long"))).alias("hit"),

@@ -113,7 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Telling words by their log odds over texts that are not near copies, and the shape of the text.
 
     ``sample`` bounds the labelled documents used; rows without both labels and
-    labels without a document do not count. Without labels nothing is rejected.
+    labels without a document do not count. Rows that repeat an id count once,
+    with one of their texts. Without labels nothing is rejected.
     """
     chosen = (labels.where("quality is not null and toxic is not null and doc_id is not null")
               .groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"),
@@ -132,7 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                      pa.array([np.unique(w.hashes[a:b]).tobytes() for a, b in zip(w.first[:-1], w.first[1:])], pa.binary()),
                      pa.array([x.tobytes() for x in shape], pa.binary())], ["toxic", "poor", "words", "shape"])
 
-    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "poor")
+    # one row an id, however often it is repeated: that of the least digest
+    one = (docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id")
+           .agg(F.min(F.struct(text_key().alias("key"), "text")).alias("r")))
+    rows = (one.join(F.broadcast(chosen), "doc_id").select("r.text", "toxic", "poor")
             .mapInArrow(batches, "toxic int, poor int, words binary, shape binary").collect())
     # the same order in every run, whichever task ended first
     rows.sort(key=lambda r: hashlib.blake2b(bytes(r.words) + bytes(r.shape) + bytes([r.toxic, r.poor])).digest())

@@ -56,3 +56,20 @@ def test_edges(spark, edge_docs):
     assert cube.mix(edge_docs.limit(0)).collect() == []
     out = cube.repeated(edge_docs)
     assert out.columns == edge_docs.columns and out.count() <= 3 * edge_docs.count()
+
+
+def test_copies_of_a_row_fill_no_block(spark):
+    """100,000 equal rows are dealt to all blocks; the mix of them keeps its targets and agrees with itself."""
+    state = spark.createDataFrame([(k, n, 30) for k, n in [(5, 100_000), (-7, 31), (9, 29), *((k, 1) for k in range(3000))]],
+                                  "spread long, alike long, blocks long")
+    per = [r[0] for r in cube.deal(state).groupBy("block").sum("alike").select("sum(alike)").collect()]
+    assert sum(per) == 103_060 and max(per) - min(per) < 200
+    rows = [(1, "one two three", "a")] * 20_000 + [(i, "w " * (i % 50), "b") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    got = cube.mix(docs, block=512).toPandas()
+    assert len(got) == len(rows)
+    for _, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) < 0.01 * g.target.iloc[0]
+    again = cube.mix(docs.repartition(3), block=512).toPandas()
+    order = ["source", "doc_id", "copies"]
+    assert got.sort_values(order)[order].values.tolist() == again.sort_values(order)[order].values.tolist()

@@ -58,3 +58,16 @@ def test_clean_keeps_columns_and_clean_rows(spark, edge_docs):
     left = D.clean(edge_docs, items)
     assert left.columns == edge_docs.columns and left.count() == edge_docs.count() - 1
     assert 6 not in {r.doc_id for r in left.collect()}
+
+
+def test_copies_of_a_contaminated_row(spark):
+    """100,000 equal rows with a window, and as many clean ones: each its own row, with the result of one."""
+    item = " ".join(f"i{k}" for k in range(12))
+    kinds = [(1, f"a b {item} c"), (2, "x y z"), (None, item), (1, "other text")]
+    docs = spark.range(200_000).selectExpr("id % 2 as k").union(spark.range(2, 4).toDF("k"))
+    names = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(kinds)], "k long, doc_id long, text string")
+    docs = docs.join(names, "k").select("doc_id", "text")
+    items = spark.createDataFrame([(1, item), (2, item + " more")], "item_id long, text string")
+    got = D.scan(docs, items).groupBy("doc_id", "n_words", "n_hit", "items").count().collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(
+        [(1, 15, 12, ["1", "2"], 100_000), (2, 3, 0, [], 100_000), (None, 12, 12, ["1", "2"], 1), (1, 2, 0, [], 1)], key=repr)

@@ -48,3 +48,14 @@ def test_edges(spark, edge_docs):
     assert Q.classify(edge_docs.limit(0), labels).collect() == []
     left = Q.accepted(edge_docs, labels.limit(0))
     assert left.columns == edge_docs.columns and left.count() == edge_docs.count()
+
+
+def test_copies_of_a_labelled_row_count_once(spark):
+    """A repeated row changes nothing in the fit."""
+    rows = [(i, ("vile nasty words here " if i % 3 == 0 else "good calm text there ") + f"number {i} " * 5) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality long, toxic long")
+    one = Q.fit(docs, labels)
+    many = Q.fit(docs.union(spark.createDataFrame([rows[0]], "doc_id long, text string").crossJoin(spark.range(100_000)).drop("id")), labels)
+    for a, b in zip(one, many):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b))
