@@ -47,10 +47,15 @@ def node_table(spark: SparkSession, pipeline_dir: str, models: tuple[str, ...],
 
 
 def _whole_trees(nodes: DataFrame, features: list[str]) -> DataFrame:
-    """One row: all trees as (model, weight, depth, nodes), a tree's nodes at the places that its links name."""
+    """One row: all trees as (model, weight, depth, nodes), a tree's nodes at the places that its links name.
+
+    Both links of a leaf name the leaf itself, so a descent that goes on stays there.
+    """
     at = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f), F.lit(i))])
-    node = F.struct("node", F.coalesce(F.element_at(at, F.col("feature")), F.lit(-1)).alias("f"), "threshold", "left", "right",
-                    "value")
+    leaf = F.col("left") < 0
+    node = F.struct("node", F.coalesce(F.element_at(at, F.col("feature")), F.lit(-1)).alias("f"), "threshold",
+                    F.when(leaf, F.col("node")).otherwise(F.col("left")).alias("left"),
+                    F.when(leaf, F.col("node")).otherwise(F.col("right")).alias("right"), "value")
     trees = nodes.groupBy("model", "tree", "weight", "depth").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
     return trees.agg(F.array_sort(F.collect_list(F.struct("model", "tree", "weight", "depth", "nodes"))).alias("trees"))
 
@@ -66,15 +71,23 @@ def vote(df: DataFrame, nodes: DataFrame, features: list[str], prob_col: str = "
     x = F.array(*[_c(f).cast("double") for f in features])
     trees = _whole_trees(nodes, features).scalar()
 
-    def leaf(tree: Column) -> Column:
-        def step(node: Column, _: Column) -> Column:
-            n = F.get(tree["nodes"], node)
-            return F.when(n["left"] < 0, node).when(F.get(F.col("__x"), n["f"]) <= n["threshold"], n["left"]).otherwise(n["right"])
+    def leaf(tree: Column, row: Column) -> Column:
+        # what a step needs is bound once: the node it is at, the row's values and the tree's nodes; inside a lambda
+        # an expression is evaluated wherever it is written
+        def down(places: Column) -> Column:
+            def step(n: Column, _: Column) -> Column:
+                return F.get(places, F.when(F.get(row, n["f"]) <= n["threshold"], n["left"]).otherwise(n["right"]))
+
+            return F.aggregate(F.sequence(F.lit(1), tree["depth"]), F.get(places, F.lit(0)), step)["value"]
+
+        return F.get(F.transform(F.array(tree["nodes"]), down), F.lit(0))
 
-        return F.get(tree["nodes"], F.aggregate(F.sequence(F.lit(1), tree["depth"]), F.lit(0), step))["value"]
+    def leaves_of(both: Column) -> Column:
+        return F.transform(both["trees"], lambda t: F.struct(t["model"].alias("model"), t["weight"].alias("weight"),
+                                                             leaf(t, both["x"]).alias("value")))
 
-    leaves = df.withColumns({"__x": x, "__all": trees}).withColumn("__trees", F.transform("__all", lambda t: F.struct(
-        t["model"].alias("model"), t["weight"].alias("weight"), leaf(t).alias("value"))))
+    leaves = df.withColumn("__both", F.struct(x.alias("x"), trees.alias("trees"))).withColumn(
+        "__trees", F.get(F.transform(F.array("__both"), leaves_of), F.lit(0)))
     models = sorted(r[0] for r in nodes.select("model").distinct().collect())  # the ensemble's members
 
     def of(model: str) -> Column:
@@ -84,7 +97,7 @@ def vote(df: DataFrame, nodes: DataFrame, features: list[str], prob_col: str = "
 
     p = sum((of(m) for m in models), F.lit(0.0)) / len(models)
     return (leaves.withColumn(prob_col, p).withColumn("Predicted_Churn_Numeric", (F.col(prob_col) > class_cut).cast("int"))
-            .drop("__x", "__all", "__trees"))
+            .drop("__both", "__trees"))
 
 
 def importances(nodes: DataFrame) -> DataFrame:

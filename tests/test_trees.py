@@ -66,3 +66,17 @@ def test_package_is_checked_before_planning(spark, fitted, tmp_path, monkeypatch
     spark.createDataFrame([(json.dumps(about),)], "value string").write.mode("overwrite").text(os.path.join(other, "package"))
     with pytest.raises(M.ModelMismatch, match="names"):
         M.EnsembleModel.load(other)
+
+
+def test_a_descent_binds_the_rows_values_once(spark, fitted):
+    model, feats, path = fitted
+    shown = "spark.sql.debug.maxToStringFields"
+    spark.conf.set(shown, "1000")
+    try:
+        voted = T.vote(model.with_features(feats), spark.read.parquet(os.path.join(path, "nodes")), model.features)
+        plan = voted.select("Churn_Probability")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset(shown)
+    line = next(x for x in plan.splitlines() if "AS __trees" in x)
+    before, _, inside = line.partition("lambdafunction(")
+    assert "Tenure#" in before and "Tenure#" not in inside  # not built again at every step of every tree
