@@ -205,10 +205,38 @@ class EnsembleModel:
         return sorted(zip(self.features, imp), key=lambda t: -t[1])
 
 
+#: Rows of a part that is worth a task of its own, and the most rows of a part.
+PART_ROWS, PART_MOST = 10_000, 1_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over all cores, where it has ``PART_ROWS`` rows for each of two parts at least.
+
+    Fits pass over their rows thousands of times and the largest part sets the
+    pace of each pass; files follow the sizes of a shuffle, not the cores. More
+    parts than cores would cost a forest dearly: each part sends the sums of
+    all nodes.
+    """
+    n = df.count()
+    if n < 2 * PART_ROWS:
+        return df
+    return df.repartition(max(min(df.sparkSession.sparkContext.defaultParallelism, n // PART_ROWS), -(-n // PART_MOST)))
+
+
 def fit_ensemble(train: DataFrame, label: str = "Churn", features: list[str] = MODEL_FEATURES,
                  cfg: EnsembleConfig | None = None, weight_col: str | None = None,
                  boost_weight_col: str | None = None) -> EnsembleModel:
-    """M3-M6: fit RF + two GBTs, a pipeline of all three (training data: aligned features)."""
+    """M3-M6: fit RF + two GBTs, a pipeline of all three (training data: aligned features).
+
+    The three know nothing of each other, so they are fitted side by side: a
+    boosted round is a chain of short jobs, which alone leave cores idle. Only
+    the forest caches the nodes that rows are at (a descent through 200 trees
+    a pass costs more); a boosted round has one tree of few levels, where
+    keeping a table a level costs more than the descent. The trees are the same either way.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -219,12 +247,12 @@ def fit_ensemble(train: DataFrame, label: str = "Churn", features: list[str] = M
                                 predictionCol="pred_rf", cacheNodeIds=True,
                                 checkpointInterval=cfg.checkpoint_interval)
     gbt_a = GBTClassifier(labelCol=label, featuresCol="features", maxIter=cfg.gbt_iter, maxDepth=cfg.gbt_depth,
-                          stepSize=cfg.gbt_step, seed=cfg.seed, predictionCol="pred_gbt_a", cacheNodeIds=True,
+                          stepSize=cfg.gbt_step, seed=cfg.seed, predictionCol="pred_gbt_a",
                           checkpointInterval=cfg.checkpoint_interval)
     gbt_a.setProbabilityCol("p_gbt_a").setRawPredictionCol("raw_gbt_a")
     gbt_b = GBTClassifier(labelCol=label, featuresCol="features", maxIter=cfg.gbt_iter, maxDepth=cfg.gbt_depth,
                           stepSize=cfg.gbt_step, seed=cfg.seed + 1, subsamplingRate=0.8,
-                          predictionCol="pred_gbt_b", cacheNodeIds=True, checkpointInterval=cfg.checkpoint_interval)
+                          predictionCol="pred_gbt_b", checkpointInterval=cfg.checkpoint_interval)
     gbt_b.setProbabilityCol("p_gbt_b").setRawPredictionCol("raw_gbt_b")
     if weight_col:
         rf.setWeightCol(weight_col)
@@ -233,8 +261,10 @@ def fit_ensemble(train: DataFrame, label: str = "Churn", features: list[str] = M
             est.setWeightCol(boost_weight_col or weight_col)
     # each on the features alone, not on the predictions of those before; a copy leaves the training summary behind,
     # which holds the session and so cannot travel to tasks once the session has observed metrics
-    assembled = asm.transform(train)
-    return EnsembleModel(PipelineModel([asm, *(est.fit(assembled).copy() for est in (rf, gbt_a, gbt_b))]), features)
+    assembled = asm.transform(spread(train))
+    with ThreadPool(3) as pool:
+        fitted = pool.map(inheritable_thread_target(train.sparkSession)(lambda est: est.fit(assembled).copy()), (rf, gbt_a, gbt_b))
+    return EnsembleModel(PipelineModel([asm, *fitted]), features)
 
 
 # ---------------------------------------------------------------------------

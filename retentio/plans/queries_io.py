@@ -104,7 +104,8 @@ def _ensemble(spark, sf):
     from retentio.plans.catalog import _shared
 
     def build():
-        feats = materialise(align_features(features(spark, sf), keep=("CustomerID", "Churn")))
+        # dealt evenly, so that fits and votes have as many parts as cores
+        feats = materialise(M.spread(align_features(features(spark, sf), keep=("CustomerID", "Churn"))))
         train = feats.where(M.key_split(F.col("CustomerID").cast("long")) == "train")
         train = materialise(train.withColumns({"__w": M.class_weights(train),
                                                "__ratio": M.class_weights(train, mode="ratio")}))
